@@ -7,10 +7,13 @@ the planning works on the histogram of lengths, which has at most `capacity` row
 
 from __future__ import annotations
 
+import struct
+import unicodedata
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,39 +31,78 @@ CACHE_WORDS = 400_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+def _byte_letters() -> dict[int, str]:
+    """The vocabulary's letter for each byte: printable Latin-1 stands for itself, the other bytes for U+0100 onward."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
 class _WordIds:
     """Token ids of whole texts as little-endian bytes, by way of a cache over the text's words.
 
-    The vocabulary's pre-tokens never reach across white space, so a text's ids are those of its words in order.
+    The vocabulary's pre-tokens never reach across white space, so a text's ids are those of its words in order. A
+    word of Latin letters and marks after it is a run of letters and a run of marks, each a pre-token of its own.
     """
 
+    LETTERS = _byte_letters()
+    MARKS = ".,;:!?%$#&*"
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        self.letters: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {"": b""}
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def word(self, word: str) -> bytes:
+        plain = word.rstrip(self.MARKS)
+        low = plain.lower()
+        if not (plain.isalpha() and (plain.isascii() or max(low) < "\u0250" and "\u0130" not in plain and unicodedata.is_normalized("NFC", word))):
+            return self.whole(word)
+        if (ids := self.letters.get(low)) is None:
+            spelt = low if low.isascii() else low.encode().decode("latin-1").translate(self.LETTERS)
+            found = [t.id for t in self.tokenizer.model.tokenize(spelt)]
+            ids = struct.pack(f"<{len(found)}I", *found)
+            if len(self.letters) < CACHE_WORDS:
+                self.letters[low] = ids
+        after = word[len(plain) :]
+        if (mark := self.marks.get(after)) is None:
+            mark = self.whole(after)
+            if len(self.marks) < CACHE_WORDS:
+                self.marks[after] = mark
+        return ids + mark
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
+        known = self.known
         for text in texts:
             if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # str.split parts at these, the vocabulary does not
-                yield self._encode([text])[0]
+                yield self.whole(text)
                 continue
             words = text.split()
-            if len(self.known) > CACHE_WORDS:
-                self.known.clear()
-            if new := list({w for w in words if w not in self.known}):
-                self.known.update(zip(new, self._encode(new), strict=True))
-            yield b"".join(map(self.known.__getitem__, words))
+            new = {w: self.word(w) for w in set(words).difference(known)}
+            if len(known) < CACHE_WORDS:
+                known.update(new)
+                yield b"".join(map(known.__getitem__, words))
+            else:
+                yield b"".join([new[w] if w in new else known[w] for w in words])
+
+
+@lru_cache(maxsize=1)
+def _word_ids(path: str) -> _WordIds:
+    """One cache for each worker process, kept from task to task."""
+    return _WordIds(path)
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, text: str = "text") -> DataFrame:
     """Documents as runs of at most `capacity` ids: doc_id, piece, start, length, ids_crc32. A null text is empty; each document ends with EOS."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end, step = _WordIds(tokenizer_path), np.array([EOS], "<u4").tobytes(), 4 * capacity
+        encode, end, step = _word_ids(tokenizer_path), np.array([EOS], "<u4").tobytes(), 4 * capacity
         for batch in batches:
             out: list[tuple] = []
             texts = [x or "" for x in batch.column(1).to_pylist()]
