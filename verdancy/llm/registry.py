@@ -12,9 +12,11 @@ from verdancy.llm.embeddings import op8_embedding_near_dedup
 from verdancy.llm.minhash import op1_minhash_near_dedup
 from verdancy.llm.packing import op9_best_fit_packing
 
+from verdancy.llm.quality import op10_quality_classifier
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op3_benchmark_decontamination, op4_chat_formatting, op8_embedding_near_dedup, op9_best_fit_packing)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op3_benchmark_decontamination, op4_chat_formatting, op8_embedding_near_dedup, op9_best_fit_packing, op10_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
