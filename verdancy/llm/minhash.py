@@ -20,11 +20,11 @@ from verdancy.llm.storage import dropped, stored
 
 BANDS = 48
 PERMUTATIONS_PER_BAND = 3
-SKETCH_BITS = 128
-SKETCH_LEAST = 95
-CENTRES = 8
+BLOCK = 256
+BROADCAST_IDS = 1_000_000
 _CACHE_WORDS = 400_000
 _CHUNK = 1 << 15
+_COLUMNS = 8192
 
 
 def _hash_functions(n: int) -> np.ndarray:
@@ -63,7 +63,7 @@ class _Shingles:
 
 
 def signatures(docs: DataFrame, width: int, text: str = "text", bands: int = BANDS) -> DataFrame:
-    """Per document: n_shingles, a 128-bit fingerprint of its set, a one-bit sketch of its signature, and its band keys."""
+    """Per document: n_shingles, a 128-bit fingerprint of its set, and its band keys."""
     per, functions = PERMUTATIONS_PER_BAND, _hash_functions(bands * PERMUTATIONS_PER_BAND)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,18 +92,16 @@ def signatures(docs: DataFrame, width: int, text: str = "text", bands: int = BAN
             keys = np.repeat(np.arange(bands, dtype=np.uint64)[None], len(sets), 0)
             for j in range(values.shape[2]):
                 keys = _mix(keys * np.uint64(0x9E3779B97F4A7C15) + values[:, :, j])
-            bits = (_mix(np.concatenate([low, high], 1)[:, :SKETCH_BITS]) & np.uint64(1)).astype(bool)
-            sketch = np.packbits(bits, axis=1).view("<i8")
             keys = keys.view(np.int64)
             keys_list = pa.ListArray.from_arrays(np.arange(0, (len(full) + 1) * bands, bands, dtype=np.int32), pa.array(keys[full].ravel()))
             place = np.full(len(sets), -1)
             place[full] = np.arange(len(full))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes), pa.array(prints, pa.binary()), pa.array(sketch[:, 0]), pa.array(sketch[:, 1]), keys_list.take(pa.array(place, mask=place < 0))],
-                ["doc_id", "n_shingles", "print", "sketch0", "sketch1", "keys"],
+                [batch.column(0), pa.array(sizes), pa.array(prints, pa.binary()), keys_list.take(pa.array(place, mask=place < 0))],
+                ["doc_id", "n_shingles", "print", "keys"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col(text)).mapInArrow(sign, "doc_id long, n_shingles long, print binary, sketch0 long, sketch1 long, keys array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.col(text)).mapInArrow(sign, "doc_id long, n_shingles long, print binary, keys array<long>")
 
 
 def _sets(docs: DataFrame, width: int, text: str) -> DataFrame:
@@ -116,13 +114,19 @@ def _sets(docs: DataFrame, width: int, text: str) -> DataFrame:
     return docs.select("doc_id", text).mapInArrow(make, "doc_id long, set array<long>")
 
 
+def _sets_of(wanted: DataFrame, docs: DataFrame, width: int, text: str) -> DataFrame:
+    """doc_id and shingle set of the documents named in wanted (doc_id), which is broadcast only up to BROADCAST_IDS rows."""
+    wanted = stored(wanted.distinct())
+    small = wanted.count() <= BROADCAST_IDS
+    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).where("doc_id is not null")
+    picked = picked.join(F.broadcast(wanted) if small else wanted, "doc_id", "left_semi")
+    return _sets(picked.groupBy("doc_id").agg(F.max(text).alias(text)), width, text)
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, text: str, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough; only documents of some pair have their sets built again."""
     pairs = stored(pairs.distinct())
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).where("doc_id is not null")
-    texts = picked.join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.max(text).alias(text))
-    sets = stored(_sets(texts, width, text))
+    sets = stored(_sets_of(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")), docs, width, text))
     of = lambda k: sets.select(F.col("doc_id").alias(k), F.col("set").alias(f"set_{k}"))
     both = F.size(F.array_intersect("set_a", "set_b"))
     kept = pairs.join(of("a"), "a").join(of("b"), "b").where(100 * both >= percent * (F.size("set_a") + F.size("set_b") - both))
@@ -131,13 +135,72 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, text: str, percent
     return links
 
 
+def _linked_in_block(ids: np.ndarray, comps: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges between members of different components in one pair of blocks (or in one block, where all are on side 0): each node with the smallest id it reaches here."""
+    left = np.flatnonzero(sides == 0)
+    right = np.flatnonzero(sides == 1) if sides.any() else left
+    sizes = np.array([len(x) for x in sets])
+    _, token, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    often = df[token] > 1
+    names, token = np.unique(token[often], return_inverse=True)
+    row, both = row[often], np.zeros((len(left), len(right)), np.float32)
+    order = np.argsort(token, kind="stable")
+    token, row = token[order], row[order]
+    for at in range(0, len(names), _COLUMNS):
+        lo, hi = np.searchsorted(token, (at, at + _COLUMNS))
+        has = np.zeros((len(sets), min(_COLUMNS, len(names) - at)), np.float32)
+        has[row[lo:hi], token[lo:hi] - at] = 1
+        both += has[left] @ has[right].T
+    linked = 100 * both >= percent * (sizes[left][:, None] + sizes[right][None] - both)
+    i, j = np.nonzero(linked & (comps[left][:, None] != comps[right][None]))
+    a, b, root = left[i], right[j], np.argsort(np.argsort(ids))
+    first = root.copy()
+    while len(a):
+        low = root.copy()
+        np.minimum.at(low, a, root[b])
+        np.minimum.at(low, b, root[a])
+        if (low == root).all():
+            break
+        root = low
+    moved = root != first
+    return ids[moved], np.sort(ids)[root[moved]]
+
+
+def _block_edges(percent: int):
+    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        key = None
+
+        def flush() -> pa.RecordBatch:
+            ids, comps, sides = (np.array(x) for x in zip(*(h[:3] for h in held), strict=True))
+            a, b = _linked_in_block(ids, comps, sides, [h[3] for h in held], percent)
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            names, ids, comps, sides = (batch.column(i).to_pylist() for i in range(4))
+            column = batch.column(4)
+            flat, offsets = column.values.to_numpy(), column.offsets.to_numpy()
+            for i, name in enumerate(names):
+                if name != key:
+                    if held:
+                        yield flush()
+                    held, key = [], name
+                held.append((ids[i], comps[i], sides[i], flat[offsets[i] : offsets[i + 1]].copy()))
+        if held:
+            yield flush()
+
+    return edges
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text", bands: int = BANDS) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
     Documents whose shingle sets have a Jaccard similarity of percent/100 or more are linked; component_id is the
     smallest doc_id reachable over links, kept marks its bearer. Equal sets are one class from the start, so copies are
-    never expanded into pairs. First each class is held against a few centres of its buckets; then, in buckets that
-    still hold several components, all members outside the largest component are held against the others. A link
+    never expanded into pairs. Each class is first held against its home, the most central class it shares a bucket
+    with. In buckets that still hold several components, classes are put into blocks by home and component, and pairs
+    of blocks that meet in such a bucket are compared on full sets, so that pairs of documents are never rows. A link
     whose documents share a bucket is therefore never lost; a pair at the threshold misses all 48 buckets with
     probability (1 - 0.8 ** 6) ** 48 < 1e-6.
 
@@ -147,36 +210,49 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     """
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
     signed = stored(signatures(named, width, bands=bands))
-    one = signed.where("doc_id is not null").groupBy("doc_id").agg(F.max_by(F.struct("n_shingles", "print", "sketch0", "sketch1", "keys"), F.struct("n_shingles", "print")).alias("s")).select("doc_id", "s.*")
-    classes = one.where("n_shingles > 0").groupBy("print").agg(F.min("doc_id").alias("class"), F.first("n_shingles").alias("n"), F.first("sketch0").alias("s0"), F.first("sketch1").alias("s1"), F.first("keys").alias("keys"))
-    classes = stored(classes.drop("print"))
-    slim = classes.select("class", F.posexplode("keys").alias("band", "key"))
-    turn = F.pmod("band", F.lit(CENTRES))
-    centres = slim.groupBy("key").agg(F.count("*").alias("members"), F.min(F.struct(F.xxhash64("class", turn).alias("h"), "class")).alias("c")).where("members > 1").select("key", F.col("c.class").alias("centre"))
-    shared = stored(slim.join(centres, "key").select("key", "class", "centre"))
-    first = shared.where("class <> centre").select(F.least("class", "centre").alias("a"), F.greatest("class", "centre").alias("b"))
+    one = signed.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.max_by("keys", F.struct("n_shingles", "print")).alias("keys"), F.max(F.struct("n_shingles", "print")).alias("s"))
+    classes = stored(one.groupBy("s.print").agg(F.min("doc_id").alias("class"), F.first("keys").alias("keys")).select("class", "keys"))
+    slim = classes.select("class", F.explode("keys").alias("key"))
+    counts = slim.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    shared = stored(slim.join(counts, "key"))
+    central = shared.groupBy("class").agg(F.sum("members").alias("weight"))
+    weighed = shared.select("key", "class").join(central, "class")
+    best = F.struct(F.col("weight"), (-F.col("class")).alias("turned"))
+    centre = weighed.groupBy("key").agg(F.max(best).alias("centre"))
+    homes = stored(shared.select("key", "class").join(centre, "key").groupBy("class").agg((-F.max("centre")["turned"]).alias("home")))
+    first = homes.where("class <> home").select(F.least("class", "home").alias("a"), F.greatest("class", "home").alias("b"))
     links = _confirmed(first, named, width, "text", percent)
     labels = components(links)
 
     # buckets that still hold several components
-    info = shared.join(classes.select("class", "n", "s0", "s1"), "class").join(labels.select(F.col("node").alias("class"), "component"), "class", "left")
-    info = info.select("key", "class", "n", "s0", "s1", F.coalesce("component", "class").alias("comp"))
-    sizes = info.groupBy("key", "comp").agg(F.count("*").alias("members"))
-    largest = sizes.groupBy("key").agg(F.count("*").alias("comps"), F.max_by("comp", F.struct("members", "comp")).alias("top")).where("comps > 1").select("key", "top")
-    mixed = stored(info.join(largest, "key"))
-    x, y = mixed.where("comp <> top").alias("x"), mixed.alias("y")
-    alike = SKETCH_BITS - F.bit_count(F.col("x.s0").bitwiseXOR(F.col("y.s0"))) - F.bit_count(F.col("x.s1").bitwiseXOR(F.col("y.s1")))
-    near = (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & (alike >= SKETCH_LEAST)
-    fits = (100 * F.col("x.n") >= percent * F.col("y.n")) & (100 * F.col("y.n") >= percent * F.col("x.n"))
-    once = (F.col("y.comp") == F.col("y.top")) | (F.col("x.class") < F.col("y.class"))
-    second = x.join(y, near & fits & once).select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b"))
-    links2 = _confirmed(second, named, width, "text", percent)
+    placed = homes.join(labels.select(F.col("node").alias("class"), "component"), "class", "left").select("class", "home", F.coalesce("component", "class").alias("comp"))
+    big = placed.groupBy("comp").agg(F.count("*").alias("n")).where(F.col("n") >= BLOCK)
+    pure = placed.join(big.select("comp"), "comp", "left_semi").withColumn("pure", F.col("comp"))
+    rest = placed.join(big.select("comp"), "comp", "left_anti").withColumn("pure", F.lit(None).cast("long"))
+    pool = pure.unionByName(rest)
+    amounts = pool.groupBy("home", "pure").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    same = (F.col("p.home") == F.col("q.home")) & F.col("p.pure").eqNullSafe(F.col("q.pure"))
+    pool = pool.alias("p").join(amounts.alias("q"), same).select("p.class", "p.comp", "p.home", "p.pure", F.struct("p.home", "p.pure", F.pmod(F.xxhash64("p.class"), F.col("q.blocks")).alias("nth")).alias("block"))
+    pool = stored(pool.select("class", "comp", "pure", "block"))
+    info = shared.select("key", "class").join(pool, "class")
+    several = info.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    mixed = info.join(several, "key")
+    met = stored(mixed.select("key", "block", "pure").distinct())
+    x, y = met.alias("x"), met.alias("y")
+    apart = F.col("x.pure").isNull() | F.col("y.pure").isNull() | (F.col("x.pure") != F.col("y.pure"))
+    pairs = stored(x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.block") <= F.col("y.block")) & apart).select(F.col("x.block").alias("lo"), F.col("y.block").alias("hi")).distinct())
+    ends = pairs.select("lo", "hi", F.col("lo").alias("block"), F.lit(0).alias("side")).union(pairs.where("lo <> hi").select("lo", "hi", F.col("hi"), F.lit(1)))
+    taking = pool.join(ends.select("block").distinct(), "block", "left_semi").select("class", "comp", "block")
+    sets = stored(_sets_of(taking.select(F.col("class").alias("doc_id")), named, width, "text"))
+    members = ends.join(taking, "block").join(sets.withColumnRenamed("doc_id", "class"), "class")
+    tasks = members.select(F.to_json(F.struct("lo", "hi")).alias("task"), "class", "comp", "side", "set").repartition("task").sortWithinPartitions("task")
+    links2 = stored(tasks.mapInArrow(_block_edges(percent), "a long, b long"))
     merged = components(links.union(links2))
-    dropped(shared, mixed)
+    dropped(shared, homes, pool, met, pairs, sets)
 
     sized = signed.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.struct("n_shingles", "print")).alias("s")).select("doc_id", "s.*")
     roots = sized.join(sized.where("n_shingles > 0").groupBy("print").agg(F.min("doc_id").alias("class")), "print", "left")
-    rows = signed.select("doc_id", F.col("n_shingles").alias("own")).where("doc_id is null").select("doc_id", F.col("own").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
+    rows = signed.where("doc_id is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"))
     named_rows = roots.join(merged.withColumnRenamed("node", "class"), "class", "left").select("doc_id", "n_shingles", F.coalesce("component", "class", "doc_id").alias("component_id"))
     return named_rows.unionByName(rows).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
