@@ -13,10 +13,11 @@ from verdancy.llm.minhash import op1_minhash_near_dedup
 from verdancy.llm.packing import op9_best_fit_packing
 
 from verdancy.llm.quality import op10_quality_classifier
+from verdancy.llm.toxicity import op6_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op3_benchmark_decontamination, op4_chat_formatting, op8_embedding_near_dedup, op9_best_fit_packing, op10_quality_classifier)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op3_benchmark_decontamination, op4_chat_formatting, op6_toxicity, op8_embedding_near_dedup, op9_best_fit_packing, op10_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
