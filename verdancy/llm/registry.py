@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from verdancy.llm.chat import OP4_SQL, op4_chat_formatting
 from verdancy.llm.decontamination import op3_benchmark_decontamination
 from verdancy.llm.embeddings import op8_embedding_near_dedup
+from verdancy.llm.html import op2_html_extraction
 from verdancy.llm.minhash import op1_minhash_near_dedup
 from verdancy.llm.packing import op9_best_fit_packing
 
@@ -17,7 +18,7 @@ from verdancy.llm.toxicity import op6_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op3_benchmark_decontamination, op4_chat_formatting, op6_toxicity, op8_embedding_near_dedup, op9_best_fit_packing, op10_quality_classifier)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_html_extraction, op3_benchmark_decontamination, op4_chat_formatting, op6_toxicity, op8_embedding_near_dedup, op9_best_fit_packing, op10_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
