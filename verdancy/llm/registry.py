@@ -13,12 +13,14 @@ from verdancy.llm.html import op2_html_extraction
 from verdancy.llm.minhash import op1_minhash_near_dedup
 from verdancy.llm.packing import op9_best_fit_packing
 
+from verdancy.llm.pseudo_likelihood import op7_lm_scoring
 from verdancy.llm.quality import op10_quality_classifier
+from verdancy.llm.rollups import op5_token_rollups
 from verdancy.llm.toxicity import op6_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_html_extraction, op3_benchmark_decontamination, op4_chat_formatting, op6_toxicity, op8_embedding_near_dedup, op9_best_fit_packing, op10_quality_classifier)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_html_extraction, op3_benchmark_decontamination, op4_chat_formatting, op5_token_rollups, op6_toxicity, op7_lm_scoring, op8_embedding_near_dedup, op9_best_fit_packing, op10_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
