@@ -40,31 +40,28 @@ def reply_paths(messages: DataFrame, keep: int = 1) -> DataFrame:
     ring of replies; a repeated id counts once.
     """
     nodes = stored(messages.where("id is not null").groupBy("id").agg(F.min("parent").alias("parent"), F.max(F.coalesce("score", F.lit(0.0))).cast("double").alias("score")))
-    hop = stored(nodes.select("id", F.col("parent").alias("to"), "score", F.lit(1).cast("long").alias("len")))
+    hop = stored(nodes.select("id", F.col("parent").alias("to"), F.coalesce("parent", "id").alias("top"), "score", F.lit(1).cast("long").alias("len")))
     jumps, reach, left = [], 1, None
     while (now := hop.where("to is not null").count()) and now != left:  # rings alone never get fewer
         jumps.append((reach, hop))
         left = now
-        up = hop.select(F.col("id").alias("to"), F.col("to").alias("to2"), F.col("score").alias("score2"), F.col("len").alias("len2"))
-        joined = hop.join(up, "to", "left").where("to is null or to2 is not null or len2 is not null")
-        hop = stored(joined.select("id", F.when(F.col("to").isNull(), None).otherwise(F.col("to2")).alias("to"), (F.col("score") + F.coalesce("score2", F.lit(0.0))).alias("score"), (F.col("len") + F.coalesce("len2", F.lit(0))).alias("len")))
+        up = hop.select(F.col("id").alias("to"), F.col("to").alias("to2"), F.col("top").alias("top2"), F.col("score").alias("score2"), F.col("len").alias("len2"))
+        ahead = hop.where("to is not null").join(up, "to")  # a parent that isn't there ends a path below no root
+        ahead = ahead.select("id", F.col("to2").alias("to"), F.col("top2").alias("top"), (F.col("score") + F.col("score2")).alias("score"), (F.col("len") + F.col("len2")).alias("len"))
+        hop = stored(hop.where("to is null").union(ahead))
         reach *= 2
-    # hop now holds, for all that hang below a root, the whole path's score and length
+    # hop now holds, for all that hang below a root, the whole path's root, score and length
     leaves = hop.where("to is null").join(nodes.select(F.col("parent").alias("id")).where("id is not null").distinct(), "id", "left_anti")
-    front = leaves.select(F.col("id").alias("leaf"), "id", F.lit(0).cast("long").alias("up"))
-    root = front
-    for reach, jump in reversed(jumps):
-        ahead = jump.where("to is not null").select("id", F.col("to").alias("above"))
-        root = root.join(ahead, "id", "left").select("leaf", F.coalesce("above", "id").alias("id"))
-    scored = leaves.select(F.col("id").alias("leaf"), "score", "len").join(root.select("leaf", F.col("id").alias("root")), "leaf")
+    scored = leaves.select(F.col("id").alias("leaf"), "score", "len", F.col("top").alias("root"))
     rank = F.row_number().over(Window.partitionBy("root").orderBy(F.desc("score"), "leaf"))
     chosen = stored(scored.withColumn("rank", rank).where(F.col("rank") <= keep))
-    path = chosen.select("leaf", F.col("leaf").alias("id"), F.lit(0).cast("long").alias("up"))
+    path = stored(chosen.select("leaf", F.col("leaf").alias("id"), F.lit(0).cast("long").alias("up")))
     for reach, jump in reversed(jumps):
-        ahead = jump.where("to is not null").select("id", F.col("to").alias("above"))
-        path = path.union(path.join(ahead, "id").select("leaf", F.col("above").alias("id"), (F.col("up") + reach).alias("up")))
+        ahead, before = jump.where("to is not null").select("id", F.col("to").alias("above")), path
+        path = stored(before.union(before.join(ahead, "id").select("leaf", F.col("above").alias("id"), (F.col("up") + reach).alias("up"))))
+        dropped(before)
     out = stored(path.join(chosen, "leaf").select("root", "rank", (F.col("len") - 1 - F.col("up")).alias("depth"), "id"))
-    dropped(nodes, hop, chosen, *(j for _, j in jumps))
+    dropped(nodes, hop, chosen, path, *(j for _, j in jumps))
     return out
 
 
