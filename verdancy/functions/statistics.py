@@ -42,8 +42,8 @@ def band(df: DataFrame, low: str, high: str, points: int) -> DataFrame:
     x = F.col(low) + (F.col(high) - F.col(low)) * F.col("k") / (points - 1)
     s = F.sqrt(F.greatest(F.col("syy") - F.col("sxy") * F.col("sxy") / F.col("sxx"), F.lit(0.0)) / (F.col("n") - 2))
     half = Z95 * s * F.sqrt(1 / F.col("n") + F.pow(F.col("x") - F.col("mx"), 2) / F.col("sxx"))
-    grid = grid.withColumn("x", x).withColumn("fit", F.col("intercept") + F.col("slope") * F.col("x")).withColumn("half", half)
-    return grid.withColumn("lower", F.col("fit") - F.col("half")).withColumn("upper", F.col("fit") + F.col("half"))
+    grid = grid.withColumn("x", x).withColumn("fit", F.col("intercept") + F.col("slope") * F.col("x")).withColumn("_half", half)
+    return grid.withColumn("lower", F.col("fit") - F.col("_half")).withColumn("upper", F.col("fit") + F.col("_half"))
 
 
 def standard_error(x: str) -> Column:

@@ -48,7 +48,7 @@ def leaf_table(model: RandomForestRegressionModel, features: int) -> dict[str, n
         raise ValueError(f"unknown layout of a saved forest: {nodes.columns}")
     rows = nodes.select(
         "treeID", "nodeData.id", "nodeData.prediction", "nodeData.leftChild", "nodeData.rightChild",
-        F.col("nodeData.impurityStats")[0].alias("cover"), F.col("nodeData.split.featureIndex").alias("f"), F.col("nodeData.split.leftCategoriesOrThreshold")[0].alias("t"),
+        F.get("nodeData.impurityStats", F.lit(0)).alias("cover"), F.col("nodeData.split.featureIndex").alias("f"), F.get("nodeData.split.leftCategoriesOrThreshold", F.lit(0)).alias("t"),
     ).toPandas()
     value, tree, low, high, kept = [], [], [], [], []
     for name, own in rows.groupby("treeID"):
@@ -117,7 +117,9 @@ def with_ratios(df: DataFrame, features: list[str]) -> DataFrame:
 def cross_validated(df: DataFrame, keys: list[str], features: list[str], target: str, weight: str | None = None, folds: int = FOLDS, fold=None, **forest) -> DataFrame:
     """Out-of-fold contributions and predictions of every row: each fold is explained by a forest that never saw it."""
     columns = [*dict.fromkeys([*keys, *features, target, *([weight] if weight else [])])]
-    rows = complete_cases(df.select(*columns, *([fold] if isinstance(fold, str) else [])))
+    if isinstance(fold, str) and fold not in columns:
+        columns.append(fold)
+    rows = complete_cases(df.select(*columns))
     rows = rows.withColumn("fold", F.col(fold) if isinstance(fold, str) else hash_fold(keys, folds)).persist()
     out = []
     for k in [r["fold"] for r in rows.select("fold").distinct().orderBy("fold").collect()]:
