@@ -11,7 +11,7 @@ from verdancy.functions.scalars import absolute_share, drought_phase, region_num
 from verdancy.functions.statistics import t_quantile
 from verdancy.operators.aggregates import chilling_days, degree_days, natural_breaks, regression_metrics, slice_means, whisker_summary
 from verdancy.operators.calendar import pooled_window, seasonal_means, sliding_windows
-from verdancy.operators.cleaning import complete_cases, complete_stations, median_split, outer_quantiles
+from verdancy.operators.cleaning import complete_cases, complete_stations, median_split, outer_quantiles, quantiles
 from verdancy.operators.forest import contributions, cross_validated, fit_forest
 from verdancy.operators.grid import class_share, coarsened, forest_mask, mosaic, nearest_index, nearest_valid, support
 from verdancy.operators.reshape import grouped_sample, hashed_sample, wide_to_long, zero_crossings
@@ -149,6 +149,14 @@ def test_splits_and_quantiles(spark):
     assert median_split(odd, "v", ["k"], overlap=True).count() == 8
 
 
+def test_ranked_quantiles_are_exact(spark):
+    df = spark.range(3000).select((F.col("id") % 3).alias("k"), F.pmod(F.xxhash64("id"), F.lit(97)).cast("double").alias("v"))
+    qs = {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.981, "e": 1.0}
+    exact = sorted(tuple(round(x, 9) for x in r) for r in quantiles(df, "v", ["k"], qs).collect())
+    assert sorted(tuple(round(x, 9) for x in r) for r in quantiles(df.repartition(9), "v", ["k"], qs, ranked=True).collect()) == exact
+    assert [round(x, 9) for x in quantiles(df, "v", [], qs, ranked=True).first()] == [round(x, 9) for x in quantiles(df, "v", [], qs).first()]
+
+
 def test_thin_groups_have_narrow_whiskers(spark):
     got = whisker_summary(spark.createDataFrame([("a", 1.0), ("a", 3.0)], "k string, v double"), ["k"], "v", 10.0).first()
     assert (got.q05, got.q50, got.q95) == (1.9, 2.0, 2.1)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdancy.functions.scalars import drought_phase
@@ -57,7 +57,34 @@ def drought_threshold(df: DataFrame, value: str, by: list[str], q: float = 0.25)
     return df.join(low, by).where(F.col(value) > F.col("_low")).groupBy(*by).agg(F.percentile(value, q).alias("threshold"))
 
 
-def quantiles(df: DataFrame, value: str, by: list[str], qs: dict[str, float]) -> DataFrame:
+def ranked_quantiles(df: DataFrame, value: str, by: list[str], qs: dict[str, float]) -> DataFrame:
+    """Exact interpolated quantiles of groups of any size: rows are ranged by group and value, ranks come from counts per range.
+
+    percentile() keeps a group's distinct values in one task; here a group spreads over as many tasks as it needs, and
+    only the two rows around each quantile are gathered. Equal values are counted as one row, so a frequent value is
+    no large range.
+    """
+    counted = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
+    counted = counted.repartitionByRange(*by, value).sortWithinPartitions(*by, value).withColumn("_pid", F.spark_partition_id()).persist()
+    own = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
+    ranges = counted.groupBy(*by, "_pid").agg(F.sum("_c").alias("_n"))
+    before = ranges.withColumn("_before", F.sum("_n").over(own.orderBy("_pid")) - F.col("_n")).withColumn("_all", F.sum("_n").over(own)).drop("_n")
+    upto = F.sum("_c").over(Window.partitionBy(*by, "_pid").orderBy(value))
+    placed = counted.join(before, [*by, "_pid"]).withColumn("_hi", F.col("_before") + upto).withColumn("_lo", F.col("_hi") - F.col("_c"))
+    out = []
+    for name, q in qs.items():
+        at = F.lit(float(q)) * (F.col("_all") - 1)
+        holds = lambda k: (F.col("_lo") <= k) & (k < F.col("_hi"))
+        low, high = F.max(F.when(holds(F.floor(at)), F.col(value))), F.max(F.when(holds(F.ceil(at)), F.col(value)))
+        part = F.max(at - F.floor(at))
+        out.append((low + (high - low) * part).alias(name))
+    return placed.groupBy(*by).agg(*out)
+
+
+def quantiles(df: DataFrame, value: str, by: list[str], qs: dict[str, float], ranked: bool = False) -> DataFrame:
+    """Quantiles per group; ranked for groups whose distinct values may not fit into one task."""
+    if ranked:
+        return ranked_quantiles(df, value, by, qs)
     return df.groupBy(*by).agg(*(F.percentile(value, q).alias(name) for name, q in qs.items()))
 
 
