@@ -16,13 +16,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdancy.llm.components import components
-from verdancy.llm.storage import dropped, stored
+from verdancy.llm.storage import dropped, parts, small_batches, stored
 
 BANDS = 48
 PERMUTATIONS_PER_BAND = 3
 BLOCK = 256
 BROADCAST_IDS = 1_000_000
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 200_000
 _CHUNK = 1 << 15
 _COLUMNS = 8192
 
@@ -49,12 +49,12 @@ class _Shingles:
         if not words:
             return np.empty(0, np.uint64)
         known = self.known
-        if len(known) > _CACHE_WORDS:
-            known.clear()
-        for w in words:
-            if w not in known:
-                known[w] = xxhash.xxh3_64_intdigest(w)
-        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        new = {w: xxhash.xxh3_64_intdigest(w) for w in set(words).difference(known)}
+        if len(known) < _CACHE_WORDS:
+            known.update(new)
+            new = {}
+        ids = (new[w] if w in new else known[w] for w in words) if new else map(known.__getitem__, words)
+        h = np.fromiter(ids, np.uint64, len(words))
         k = min(self.width, len(h))
         total = np.full(len(h) - k + 1, k, np.uint64)
         for i in range(k):
@@ -68,7 +68,7 @@ def signatures(docs: DataFrame, width: int, text: str = "text", bands: int = BAN
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = _Shingles(width)
-        for batch in batches:
+        for batch in parts(batches):
             sets = [shingles(x) for x in batch.column(1).to_pylist()]
             sizes = np.array([len(s) for s in sets], np.int64)
             prints = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
@@ -107,7 +107,7 @@ def signatures(docs: DataFrame, width: int, text: str = "text", bands: int = BAN
 def _sets(docs: DataFrame, width: int, text: str) -> DataFrame:
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = _Shingles(width)
-        for batch in batches:
+        for batch in parts(batches):
             sets = [shingles(x).view(np.int64) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "set"])
 
@@ -208,6 +208,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     largest of its texts. A null doc_id gives a row with null component_id that isn't kept. An empty table gives an
     empty result.
     """
+    small_batches(docs.sparkSession)
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
     signed = stored(signatures(named, width, bands=bands))
     one = signed.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.max_by("keys", F.struct("n_shingles", "print")).alias("keys"), F.max(F.struct("n_shingles", "print")).alias("s"))

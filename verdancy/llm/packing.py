@@ -20,14 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from verdancy.llm.storage import stored
+from verdancy.llm.storage import parts, small_batches, stored
 
 CAPACITY = 4096
 GROUPS = 32
 SMALL_SHARE = 8
 SHARDS = 64
 EOS = 1
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -103,7 +103,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end, step = _word_ids(tokenizer_path), np.array([EOS], "<u4").tobytes(), 4 * capacity
-        for batch in batches:
+        for batch in parts(batches):
             out: list[tuple] = []
             texts = [x or "" for x in batch.column(1).to_pylist()]
             for doc, ids in zip(batch.column(0).to_pylist(), encode(texts), strict=True):
@@ -115,6 +115,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col(text)).mapInArrow(cut, PIECES)
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdancy.llm.packing import _word_ids
-from verdancy.llm.storage import shared_dir, stored
+from verdancy.llm.storage import parts, shared_dir, small_batches, stored
 
 KEYS = ("source", "lang", "tokenizer")
 SCHEMA = "source string, lang string, tokenizer string, docs long, tokens long, batch string"
@@ -27,10 +27,11 @@ def token_counts(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _word_ids(tokenizer_path)
-        for batch in batches:
+        for batch in parts(batches):
             tokens = [len(ids) // 4 for ids in encode([x or "" for x in batch.column(4).to_pylist()])]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), pa.array(tokens, pa.int64())], ["doc_id", "source", "lang", "text_hash", "tokens"])
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "lang", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_hash"), "text")
     return rows.mapInArrow(count, "doc_id long, source string, lang string, text_hash string, tokens long")
 
