@@ -83,6 +83,15 @@ def landcover(spark: SparkSession, sf_dir: str) -> DataFrame:
 LANDCOVER = """landcover AS (SELECT (p_partkey // 50)::INT AS row, (p_partkey % 50)::INT AS col, (p_size % 30)::INT AS cls, p_retailprice AS elev, (p_size % 15 + 1)::INT AS region_id FROM part)"""
 
 
+ROWS, COLS = 42, 50  # the least grid; its rows grow with the table
+
+
+def grid_size(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
+    """Rows and columns of the grid that holds every pixel of the table."""
+    last = landcover(spark, sf_dir).agg(F.max("row")).first()[0]
+    return max(ROWS, 0 if last is None else last + 1), COLS
+
+
 def contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signed columns in the role of contributions of seasons and climate."""
     return regional(spark, sf_dir).select(

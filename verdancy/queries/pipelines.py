@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from verdancy.operators.calendar import seasonal_means
 from verdancy.operators.grid import GridSpec, coarsened, support
 from verdancy.plans.pipelines import add_factors, anomaly_maps, drought_legacy, maps_with_profiles, panel_limit, phenology_stack, pixel_summary, repair_winter, sensitivity_panel, study_area, summarize_cells, tag_regions, trend_anomaly_grid, union_countries, wide_summary
-from verdancy.queries.frames import CONTRIBUTIONS, LANDCOVER, OBS, YEARLY, Queries, contributions, landcover, obs, r6, yearly
+from verdancy.queries.frames import CONTRIBUTIONS, LANDCOVER, OBS, YEARLY, Queries, contributions, grid_size, landcover, obs, r6, yearly
 from verdancy.queries.grids import _NEAREST
 from verdancy.queries.summaries import _MASK, _SHARE, mask, season_sql, shares
 from verdancy.queries.windows import WINDOW3, YEARS
@@ -22,7 +22,7 @@ _CELLS = f"""{season_sql(_SEASONS)}, kept AS (SELECT * FROM obs SEMI JOIN (SELEC
 
 
 def summary(spark, d):
-    return summarize_cells(obs(spark, d), mask(spark, d), "ts", ["value", "tp"], _SEASONS, (42, 50), (4, 5), more_than=12)
+    return summarize_cells(obs(spark, d), mask(spark, d), "ts", ["value", "tp"], _SEASONS, grid_size(spark, d), (4, 5), more_than=12)
 
 
 @QUERIES("k1_summarize_cells", f"WITH {OBS}, {LANDCOVER}, {_MASK}, {_CELLS} SELECT row, col, season, season_year, round(value, 6) AS value, round(tp, 6) AS tp, round(weights, 6) AS weights FROM summ")
@@ -62,8 +62,8 @@ def k4(spark, d):
 
 @QUERIES("k5_resummary", f"WITH {YEARLY}, {LANDCOVER}, {_MASK}, s AS (SELECT row // 8 AS row, col // 10 AS col, sum(keep) AS n FROM mask WHERE row < 40 GROUP BY 1, 2), c AS (SELECT row // 8 AS row, col // 10 AS col, year, avg(value) AS value FROM yearly WHERE row < 40 GROUP BY ALL) SELECT c.row::INT AS row, c.col::INT AS col, year, round(value, 6) AS value FROM c JOIN s ON s.row = c.row AND s.col = c.col WHERE n > 51")
 def k5(spark, d):
-    cells = coarsened(yearly(spark, d), ["year"], ["value"], 8, 10, 42, 50)
-    kept = support(mask(spark, d), [], "keep", 8, 10, 42, 50, more_than=51)
+    cells = coarsened(yearly(spark, d), ["year"], ["value"], 8, 10, *grid_size(spark, d))
+    kept = support(mask(spark, d), [], "keep", 8, 10, *grid_size(spark, d), more_than=51)
     return cells.join(kept.select("row", "col"), ["row", "col"]).select("row", "col", "year", r6("value").alias("value"))
 
 
@@ -81,7 +81,7 @@ def k7(spark, d):
 
 @QUERIES("k8_anomaly_maps", f"WITH {YEARLY}, a AS (SELECT row, col, year, tp - avg(tp) OVER (PARTITION BY row, col) AS x FROM yearly) SELECT year, (row // 2)::INT AS row, (col // 5)::INT AS col, round(avg(x), 6) AS anomaly FROM a WHERE row < 42 GROUP BY ALL")
 def k8(spark, d):
-    return anomaly_maps(yearly(spark, d), ["row", "col"], "tp", (42, 50), (2, 5)).withColumn("anomaly", r6("anomaly"))
+    return anomaly_maps(yearly(spark, d), ["row", "col"], "tp", grid_size(spark, d), (2, 5)).withColumn("anomaly", r6("anomaly"))
 
 
 _ROW = "SELECT '{w}' AS what, round(regr_slope(y, x), 8) AS slope FROM ({q})"
@@ -138,8 +138,8 @@ def k12(spark, d):
 
 @QUERIES("k13_study_area", f"WITH {YEARLY}, {LANDCOVER}, {_MASK}, s AS (SELECT row // 4 AS row, col // 5 AS col, sum(keep) AS n FROM mask WHERE row < 40 GROUP BY 1, 2), q AS (SELECT quantile_cont(n, 0.25) AS q FROM s WHERE n > 0), c AS (SELECT row // 4 AS row, col // 5 AS col, avg(value) AS v FROM yearly WHERE row < 40 AND year = 1998 GROUP BY 1, 2) SELECT s.row::INT AS row, s.col::INT AS col, round(coalesce(CASE WHEN n > q THEN v END, -9999.0), 6) AS value FROM s CROSS JOIN q LEFT JOIN c ON c.row = s.row AND c.col = s.col")
 def k13(spark, d):
-    cells = coarsened(yearly(spark, d), ["year"], ["value"], 4, 5, 42, 50).withColumnRenamed("year", "season_year")
-    counts = support(mask(spark, d), [], "keep", 4, 5, 42, 50, more_than=-1)
+    cells = coarsened(yearly(spark, d), ["year"], ["value"], 4, 5, *grid_size(spark, d)).withColumnRenamed("year", "season_year")
+    counts = support(mask(spark, d), [], "keep", 4, 5, *grid_size(spark, d), more_than=-1)
     return study_area(cells, counts, "value", 1998).select("row", "col", r6("value").alias("value"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from verdancy.operators.aggregates import annual_means, baseline, box_whiskers, chilling_days, classed, degree_days, density_2d, histogram, natural_breaks, regression_metrics, robust_range, slice_means, station_extent, symmetric_limit, thornthwaite_pet, whisker_summary, zonal_profile
 from verdancy.operators.calendar import SEASONS, same_year_winter, seasonal_means
 from verdancy.operators.grid import class_share, coarsened, scaffold, support
-from verdancy.queries.frames import CONTRIBUTIONS, LANDCOVER, OBS, REGIONAL, YEARLY, Queries, contributions, landcover, obs, r6, regional, table, yearly
+from verdancy.queries.frames import CONTRIBUTIONS, LANDCOVER, OBS, REGIONAL, YEARLY, Queries, contributions, grid_size, landcover, obs, r6, regional, table, yearly
 
 QUERIES = Queries()
 SEASON_LIST = ["annual", "spring", "summer", "autumn", "winter", "winter_cross", "summer_half", "winter_half", "chilling"]
@@ -91,7 +91,7 @@ def d9(spark, d):
 
 @QUERIES("d10_coarsened_mean", f"WITH {YEARLY} SELECT year, (row // 4)::INT AS row, (col // 6)::INT AS col, round(avg(value), 6) AS value FROM yearly WHERE row < 40 AND col < 48 GROUP BY ALL")
 def d10(spark, d):
-    return coarsened(yearly(spark, d), ["year"], ["value"], 4, 6, 42, 50).withColumn("value", r6("value"))
+    return coarsened(yearly(spark, d), ["year"], ["value"], 4, 6, *grid_size(spark, d)).withColumn("value", r6("value"))
 
 
 _MASK = "mask AS (SELECT row, col, (cls > 9)::INT AS keep FROM landcover)"
@@ -103,17 +103,17 @@ def mask(spark, d):
 
 @QUERIES("d11_coarsened_sum", f"WITH {LANDCOVER}, {_MASK} SELECT (row // 4)::INT AS row, (col // 5)::INT AS col, sum(keep)::BIGINT AS n, round(sum(keep) / 20, 6) AS weights FROM mask WHERE row < 40 GROUP BY 1, 2")
 def d11(spark, d):
-    return coarsened(mask(spark, d), [], ["keep"], 4, 5, 42, 50, "sum").select("row", "col", F.col("keep").alias("n"), r6(F.col("keep") / 20).alias("weights"))
+    return coarsened(mask(spark, d), [], ["keep"], 4, 5, *grid_size(spark, d), "sum").select("row", "col", F.col("keep").alias("n"), r6(F.col("keep") / 20).alias("weights"))
 
 
 @QUERIES("d12_support", f"WITH {LANDCOVER}, {_MASK} SELECT (row // 4)::INT AS row, (col // 5)::INT AS col, sum(keep)::BIGINT AS n, round(sum(keep) / 20, 6) AS weights FROM mask WHERE row < 40 GROUP BY 1, 2 HAVING sum(keep) > 12")
 def d12(spark, d):
-    return support(mask(spark, d), [], "keep", 4, 5, 42, 50, more_than=12).withColumn("weights", r6("weights"))
+    return support(mask(spark, d), [], "keep", 4, 5, *grid_size(spark, d), more_than=12).withColumn("weights", r6("weights"))
 
 
 @QUERIES("d12_support_quantile", f"WITH {LANDCOVER}, {_MASK}, s AS (SELECT row // 4 AS row, col // 5 AS col, sum(keep) AS n FROM mask WHERE row < 40 GROUP BY 1, 2), q AS (SELECT quantile_cont(n, 0.25) AS q FROM s WHERE n > 0) SELECT row::INT AS row, col::INT AS col, n::BIGINT AS n FROM s, q WHERE n > q")
 def d12_quantile(spark, d):
-    n = support(mask(spark, d), [], "keep", 4, 5, 42, 50, more_than=-1)
+    n = support(mask(spark, d), [], "keep", 4, 5, *grid_size(spark, d), more_than=-1)
     q = n.where("n > 0").agg(F.percentile("n", 0.25).alias("q"))
     return n.crossJoin(F.broadcast(q)).where("n > q").select("row", "col", "n")
 
@@ -201,6 +201,6 @@ def d26(spark, d):
 
 @QUERIES("d27_valid_cells", f"WITH {LANDCOVER}, {_MASK}, s AS (SELECT row // 4 AS row, col // 5 AS col, sum(keep) AS n FROM mask WHERE row < 40 GROUP BY 1, 2) SELECT r::INT AS row, c::INT AS col, (coalesce(n, 0) > 12)::INT AS valid, coalesce(n, 0)::BIGINT AS n FROM (SELECT unnest(range(0, 10)) AS r) CROSS JOIN (SELECT unnest(range(0, 10)) AS c) LEFT JOIN s ON row = r AND col = c")
 def d27(spark, d):
-    n = support(mask(spark, d), [], "keep", 4, 5, 42, 50, more_than=-1)
-    full = scaffold(spark, 10, 10).join(n, ["row", "col"], "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
+    n = support(mask(spark, d), [], "keep", 4, 5, *grid_size(spark, d), more_than=-1)
+    full = scaffold(spark, grid_size(spark, d)[0] // 4, 10).join(n, ["row", "col"], "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
     return full.select("row", "col", (F.col("n") > 12).cast("int").alias("valid"), "n")

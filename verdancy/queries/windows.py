@@ -8,7 +8,7 @@ from verdancy.operators.calendar import pooled_window, sliding_windows
 from verdancy.operators.reshape import anomaly, first_per_key, grouped_sample, hashed_sample, long_to_wide, sign_runs, tagged_union, wide_to_long, zero_crossings
 from verdancy.operators.grid import coarsened
 from verdancy.operators.trends import window_anomaly
-from verdancy.queries.frames import CONTRIBUTIONS, OBS, YEARLY, Queries, contributions, obs, r6, table, yearly
+from verdancy.queries.frames import CONTRIBUTIONS, OBS, YEARLY, Queries, contributions, grid_size, obs, r6, table, yearly
 
 QUERIES = Queries()
 YEARS = list(range(1995, 2002))
@@ -36,7 +36,7 @@ def f2(spark, d):
 
 @QUERIES("f3_anomaly", f"WITH {YEARLY}, a AS (SELECT row, col, year, value - avg(value) OVER (PARTITION BY row, col) AS x FROM yearly) SELECT year, (row // 4)::INT AS row, (col // 5)::INT AS col, round(avg(x), 6) AS anomaly FROM a WHERE row < 40 GROUP BY ALL")
 def f3(spark, d):
-    return coarsened(anomaly(yearly(spark, d), ["row", "col"], "value"), ["year"], ["anomaly"], 4, 5, 42, 50).withColumn("anomaly", r6("anomaly"))
+    return coarsened(anomaly(yearly(spark, d), ["row", "col"], "value"), ["year"], ["anomaly"], 4, 5, *grid_size(spark, d)).withColumn("anomaly", r6("anomaly"))
 
 
 @QUERIES("f4_window_anomaly", f"WITH {YEARLY}, {WINDOW3}, b AS (SELECT row, col, avg(value) AS b FROM yearly GROUP BY 1, 2) SELECT window_start, round(avg(value - b) / stddev_samp(b), 6) AS z FROM w JOIN b USING (row, col) GROUP BY 1")
