@@ -1,8 +1,8 @@
 """Language-model scores by masked pseudo-likelihood.
 
 A network with a window to both sides predicts each token of a text from its neighbours, the token itself masked.
-The sum of the log-probabilities is the document's score. The words known are the corpus's most frequent ones; the
-others fall into classes by their ending. Every partition trains one copy on all of its documents in numpy; the
+The sum of the log-probabilities is the document's score. The network knows the corpus's most frequent words; the
+others fall into classes by their ending, and a word's share of its class is counted over all documents. Every partition trains one copy on all of its documents in numpy; the
 copies' parameters are averaged by the number of tokens that each has seen.
 """
 
@@ -11,13 +11,15 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdancy.llm.storage import parts, small_batches
+from verdancy.llm.storage import parts, small_batches, stored
 
 WORDS = 448
 ENDINGS = 64
@@ -28,6 +30,7 @@ WINDOW = 2
 BATCH = 8192
 RATE = 0.1
 COUNTED_WORDS = 200_000
+CARRIED_WORDS = 200_000  # the most frequent words' counts travel to the workers, the others' are joined
 _CACHE_WORDS = 200_000
 
 
@@ -35,8 +38,8 @@ def _tokens_of() -> int:
     return WORDS + ENDINGS
 
 
-def frequent_words(docs: DataFrame) -> list[str]:
-    """The WORDS most frequent words of all documents; partial counts leave a task whenever they get many."""
+def counted_words(docs: DataFrame) -> DataFrame:
+    """Every word of all documents with its count; partial counts leave a task whenever they get many."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()
@@ -52,8 +55,29 @@ def frequent_words(docs: DataFrame) -> list[str]:
                 found.clear()
         yield out()
 
-    rows = docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r["word"] for r in rows.orderBy(F.desc("n"), "word").limit(WORDS).collect()]
+    return docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def frequent_words(counted: DataFrame) -> list[str]:
+    """The WORDS most frequent words."""
+    return [r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(WORDS).collect()]
+
+
+def class_counts(counted: DataFrame, words: list[str]) -> tuple[DataFrame, np.ndarray, dict[str, int]]:
+    """Counts of all words that stand in classes, the total of each class, and the counts of as many of these words, above a count, as are carried."""
+    fixed = counted.sparkSession.createDataFrame([(w,) for w in words], "word string")
+    rare = counted.join(F.broadcast(fixed), "word", "left_anti")
+    totals = np.ones(ENDINGS)
+    for r in rare.groupBy((F.crc32(F.right("word", F.lit(2))) % ENDINGS).alias("c")).agg(F.sum("n").alias("n")).collect():
+        totals[r["c"]] = r["n"]
+    least, room = None, CARRIED_WORDS
+    for n, size in sorted(map(tuple, rare.groupBy("n").agg(F.count("*")).collect()), reverse=True):
+        room -= size
+        if room < 0:
+            break
+        least = n
+    carried = {} if least is None else dict(zip(*(c.to_pylist() for c in rare.where(F.col("n") >= least).toArrow().columns), strict=True))
+    return rare, totals, carried
 
 
 class _Ids:
@@ -78,6 +102,31 @@ class _Ids:
         return np.fromiter(ids, np.int16, len(words))
 
 
+class _Shares(_Ids):
+    """Token ids of texts with the log-probabilities of words in their classes."""
+
+    def __init__(self, words: list[str], totals: np.ndarray, carried: dict[str, int]):
+        super().__init__(words)
+        self.at = {w: i for i, w in enumerate([*words, *carried])}
+        self.token = np.array([self._id(w) for w in self.at], np.int16)
+        self.less = np.log(totals)
+        self.share = np.r_[np.zeros(len(words)), np.log(np.array(list(carried.values()), float)) - self.less[self.token[len(words) :] - WORDS]]
+
+    def __call__(self, text: str | None) -> tuple[np.ndarray, float, Counter]:
+        """Ids, the sum of log-probabilities within classes as far as counts are carried, and the words whose log-count is still to be added."""
+        words = (text or "").split()
+        at = np.fromiter(map(self.at.get, words, repeat(-1)), np.int64, len(words))
+        open_ = np.flatnonzero(at < 0)
+        ids = self.token[at]
+        total = self.share[at[at >= 0]].sum()
+        missing = Counter(words[i] for i in open_.tolist())
+        if missing:
+            own = {w: self._id(w) for w in missing}
+            ids[open_] = [own[words[i]] for i in open_.tolist()]
+            total -= self.less[ids[open_] - WORDS].sum()
+        return ids, float(total), missing
+
+
 class Network:
     """tanh of summed position-wise embeddings, then a softmax over groups and one over the group's tokens."""
 
@@ -210,28 +259,38 @@ def train(docs: DataFrame, words: list[str]) -> np.ndarray:
 def pseudo_likelihoods(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, n_tokens, log_likelihood (summed), mean_log_likelihood.
 
-    Null and empty texts have no tokens, a sum of 0 and no mean. Repeated rows are scored each; whole texts are read,
-    however long. An empty table gives an empty result. Extra columns are ignored.
+    A word that the network doesn't know by itself has the probability of its class, times its share of the class in
+    the counts of all documents. Null and empty texts have no tokens, a sum of 0 and no mean. Repeated rows are scored
+    each; whole texts are read, however long. An empty table gives an empty result. Extra columns are ignored.
     """
     small_batches(docs.sparkSession)
-    words = frequent_words(docs)
+    counted = stored(counted_words(docs))
+    words = frequent_words(counted)
     words += [f"\x00{k}" for k in range(WORDS - len(words))]  # a small corpus leaves places that no word takes
-    model = docs.sparkSession.sparkContext.broadcast((words, train(docs, words)))
+    rare, totals, carried = class_counts(counted, words)
+    model = docs.sparkSession.sparkContext.broadcast((words, totals, carried, train(docs, words)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, flat = model.value
-        ids, net = _Ids(words), Network(flat)
+        words, totals, carried, flat = model.value
+        shares, net, row = _Shares(words, totals, carried), Network(flat), TaskContext.get().partitionId() << 40
         for batch in parts(batches):
-            texts = [ids(x) for x in batch.column(1).to_pylist()]
+            texts, within, missing = zip(*map(shares, batch.column(1).to_pylist()), strict=True)
             sizes = np.array([len(t) for t in texts], np.int64)
             target, around = _windows(texts)
             found = [net.log_probabilities(target[at : at + BATCH], around[:, at : at + BATCH]) for at in range(0, len(target), BATCH)]
             each = np.r_[0.0, np.cumsum(np.concatenate(found).astype(float))] if found else np.zeros(1)
             ends = np.cumsum(sizes)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(each[ends] - each[ends - sizes])], ["doc_id", "n_tokens", "log_likelihood"])
-
-    scored = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(score, "doc_id long, n_tokens long, log_likelihood double")
-    return scored.withColumn("mean_log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")))
+            rows = np.arange(row, row := row + len(texts), dtype=np.int64)
+            kinds = (pa.list_(pa.string()), pa.list_(pa.int32()))
+            left = [pa.array([list(x) for x in part], kind) for part, kind in zip((missing, [m.values() for m in missing]), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(rows), batch.column(0), pa.array(sizes), pa.array(each[ends] - each[ends - sizes] + np.array(within)), *left], ["row", "doc_id", "n_tokens", "known", "word", "times"])
+
+    scored = stored(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(score, "row long, doc_id long, n_tokens long, known double, word array<string>, times array<int>"))
+    left = scored.select("row", F.explode(F.arrays_zip("word", "times")).alias("x")).select("row", "x.word", "x.times")
+    added = left.join(rare, "word").groupBy("row").agg(F.sum(F.col("times") * F.log("n")).alias("added"))
+    out = scored.select("row", "doc_id", "n_tokens", "known").join(added, "row", "left")
+    out = out.select("doc_id", "n_tokens", (F.col("known") + F.coalesce("added", F.lit(0.0))).alias("log_likelihood"))
+    return out.withColumn("mean_log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")))
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
