@@ -1,8 +1,8 @@
 """Toxicity by noisy-channel deobfuscation.
 
-Spans that look disguised (leetspeak inside a word, letters spelt apart, letters drawn out) become lattices of what
-their characters may stand for; a Viterbi search under a character trigram model of the corpus picks the likeliest
-reading. The restored words' features, chosen on labelled rows, score the document.
+Spans that hold a sign, a digit or a letter drawn out, or single characters in a row, become lattices of what their
+characters may stand for: substituted, separated, repeated or unchanged. A Viterbi search under a character trigram
+model of all documents picks the likeliest reading. The restored words' features, chosen on labelled rows, score the document.
 """
 
 from __future__ import annotations
@@ -28,18 +28,24 @@ EVIDENCE = 24.0  # least log-likelihood ratio of a feature
 PREFIXES = (3, 4, 5, 6, 7, 8)
 _NONE: dict[str, float] = {}
 SUBSTITUTED = 2.0  # cost of reading a character as another, in nats
-DROPPED = 0.5  # cost of leaving out a separator or a repeated letter
+DROPPED = 0.5  # cost of leaving out a repeated letter
 
 # What a disguising character may stand for.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e"}
-_SEPARATORS = " .-_*·"
+_SEPARATORS = ".-_*·"
 _LETTER = r"[^\W\d_]"
+_SIGN = r"[0-9@$!|+€]"
+_ONE = rf"(?:{_LETTER}|{_SIGN})"
 _WORDS = re.compile(rf"{_LETTER}+")
-_RUNS = re.compile(rf"(?:{_LETTER}|[0-9@$!|+€])+")
-_LEET = re.compile(rf"{_LETTER}[0-9@$!|+€]+{_LETTER}|^[0-9@$!|+€]{_LETTER}{{2}}")
-_LONG = re.compile(rf"({_LETTER})\1\1")
-_JOINED = re.compile(rf"{_LETTER}(?:[.\-_*·]{_LETTER}){{2,}}")
-_APART = re.compile(rf"(?<!\S){_LETTER}(?: {_LETTER}){{2,}}(?!{_LETTER}|\d)")
+_RUNS = re.compile(rf"{_ONE}+")
+_LEET = re.compile(_SIGN)
+_LONG = re.compile(rf"({_ONE})\1\1")
+_JOINED = re.compile(rf"(?<!{_ONE}){_ONE}(?:[{re.escape(_SEPARATORS)}]+{_ONE}){{2,}}(?!{_ONE})")
+_APART = re.compile(rf"(?<!\S){_ONE}(?:[{re.escape(_SEPARATORS)}]*\s+[{re.escape(_SEPARATORS)}]*{_ONE}){{2,}}(?!{_ONE})")
+_LEFT_OUT = re.compile(rf"[\s{re.escape(_SEPARATORS)}]")
+_LONG_RUN = re.compile(rf"({_ONE})\1{{2,}}")
+_COUNTED = re.compile(rf"(?:{_LETTER}|[0-9])+")
+COUNTED_WORDS = 150_000  # tokens counted at a time
 PIECE = 200  # longer disguised runs are read in pieces, none is left out
 
 
@@ -61,24 +67,26 @@ class CharModel:
         return math.log((self.three.get(before + letter, 0) + 0.05) / (self.two.get(before, 0) + 0.05 * self.size))
 
 
-def restored(span: str, kind: str, lm: CharModel) -> str:
-    """The likeliest reading of a disguised span: a Viterbi search whose states are the last two letters read."""
+def restored(span: str, lm: CharModel) -> str:
+    """The likeliest reading of a span: a Viterbi search whose states are the last two characters read.
+
+    Any character may be substituted, any repetition of three or more shortened, separators and white space are left
+    out; digits may stay as they are.
+    """
     beam: dict[str, tuple[float, str]] = {"^^": (0.0, "")}
+    drawn = {i for m in _LONG_RUN.finditer(span) for i in range(m.start() + 1, m.end())}
     for i, c in enumerate(span):
+        if _LEFT_OUT.match(c):
+            continue  # every path leaves it out
+        ways = [(x, SUBSTITUTED) for x in LEET.get(c, "")]
+        if c.isalnum():
+            ways.append((c, 0.0))
+        else:
+            ways.append(("", 2 * SUBSTITUTED))
+        if i in drawn:
+            ways.append(("", DROPPED))
         after: dict[str, tuple[float, str]] = {}
-        repeats = i > 0 and span[i - 1] == c and kind == "long"
         for state, (cost, said) in beam.items():
-            ways: list[tuple[str, float]] = []
-            if c.isalpha():
-                ways.append((c, 0.0))
-                if repeats:
-                    ways.append(("", DROPPED))
-            elif c in _SEPARATORS and kind == "apart":
-                ways.append(("", DROPPED))
-            for x in LEET.get(c, ""):
-                ways.append((x, SUBSTITUTED))
-            if not ways:
-                ways.append(("", 2 * SUBSTITUTED))
             for x, price in ways:
                 to = state if not x else state[1] + x
                 total = cost + price - (lm(state, x) if x else 0.0)
@@ -95,23 +103,26 @@ class Reader:
         self.lm = lm
         self.known: dict[str, tuple[str, ...]] = {}
 
-    def restore(self, span: str, kind: str) -> Iterator[str]:
+    def restore(self, span: str) -> Iterator[str]:
         for at in range(0, len(span), PIECE):
-            yield restored(span[at : at + PIECE], kind, self.lm)
+            piece = span[at : at + PIECE]
+            said = restored(piece, self.lm)
+            if said and said != piece:
+                yield said
 
     def read(self, token: str) -> tuple[str, ...]:
         """The words of a token that stands between white space."""
         words = _WORDS.findall(token)
         if len(words) == 1 and len(words[0]) == len(token) and not _LONG.search(token):
             return (token,)
-        if m := _JOINED.search(token):
-            words += self.restore(m[0], "apart")
+        for m in _JOINED.finditer(token):
+            words += self.restore(m[0])
         for run in _RUNS.findall(token):
             run = run.rstrip("!|+")  # marks at a word's end are punctuation
-            if _LEET.search(run):
-                words += self.restore(run, "leet")
-            elif _LONG.search(run):
-                words += self.restore(run, "long")
+            plain = run.rstrip("@$€")  # and these may be
+            for span in (run, plain) if plain != run else (run,):
+                if _LEET.search(span) or _LONG.search(span):
+                    words += self.restore(span)
         return tuple(words)
 
     def token(self, token: str) -> tuple[str, ...]:
@@ -124,9 +135,9 @@ class Reader:
 
     def spelt_apart(self, low: str, tokens: set[str]) -> Iterator[str]:
         """Readings of single letters in a row."""
-        if any(len(t) == 1 for t in tokens):
+        if any(len(t.strip(_SEPARATORS)) == 1 for t in tokens):
             for m in _APART.finditer(low):
-                yield from self.restore(m[0], "apart")
+                yield from self.restore(m[0])
 
     def __call__(self, text: str | None) -> set[str]:
         low = (text or "").lower()
@@ -141,19 +152,29 @@ def features_of(word: str) -> list[str]:
 
 
 def _char_counts(texts: DataFrame) -> dict[str, int]:
+    """Character trigrams of all texts' runs of letters and digits."""
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter = Counter()
-        for batch in parts(batches):
-            for x in batch.column(0).to_pylist():
-                words = Counter(_WORDS.findall((x or "").lower()))
-                for w, n in words.items():
+        tokens, found = Counter(), Counter()
+
+        def add() -> None:
+            for t, n in tokens.items():
+                for w in _COUNTED.findall(t):
                     w = f"^^{w}$"
                     for i in range(len(w) - 2):
                         found[w[i : i + 3]] += n
+            tokens.clear()
+
+        for batch in parts(batches):
+            for x in batch.column(0).to_pylist():
+                tokens.update((x or "").lower().split())
+            if len(tokens) > COUNTED_WORDS:
+                add()
+        add()
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["gram", "n"])
 
     rows = texts.select("text").mapInArrow(count, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    return {r["gram"]: r["n"] for r in rows.orderBy(F.desc("n"), "gram").limit(200_000).collect()}
+    return dict(zip(*(c.to_pylist() for c in rows.toArrow().columns), strict=True))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -163,9 +184,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").join(F.broadcast(own), "doc_id").select("text", "toxic")
 
 
-def train(sample: DataFrame) -> dict:
-    """Character model, features with their log-odds, and a logistic calibration, from a bounded table of (text, toxic)."""
-    lm = CharModel(_char_counts(sample))
+def train(sample: DataFrame, docs: DataFrame) -> dict:
+    """Character model of all docs; features with their log-odds, and a logistic calibration, from a bounded table of (text, toxic)."""
+    lm = CharModel(_char_counts(docs))
     bound = sample.sparkSession.sparkContext.broadcast(lm)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,7 +283,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     small_batches(docs.sparkSession)
     sample = stored(labelled_sample(docs, labels))
-    model = docs.sparkSession.sparkContext.broadcast(train(sample))
+    model = docs.sparkSession.sparkContext.broadcast(train(sample, docs))
     dropped(sample)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
