@@ -91,12 +91,17 @@ def category_at(points: DataFrame, grid: DataFrame, spec: GridSpec, x: str, y: s
     return placed.join(grid.select("row", "col", value), ["row", "col"], "left")
 
 
-def nearest_valid(grid: DataFrame, value: str, invalid: int, radius: int) -> DataFrame:
+def nearest_valid(grid: DataFrame, value: str, invalid: int, radius: int | None = None) -> DataFrame:
     """Invalid cells take the valid value at the least distance (ties: smaller row, then column).
 
     Cells look in growing square rings; a ring's find is final once no nearer cell can lie outside the square. Each
-    round joins only the cells that are still open, by exact cell.
+    round joins only the cells that are still open, by exact cell. Rings double until no cell is open or the ring
+    exceeds the grid's extent; a radius, where one is given, ends the search there.
     """
+    whole = radius is None
+    if whole:
+        ends = grid.agg(F.max("row") - F.min("row"), F.max("col") - F.min("col")).first()
+        radius = max(1, *(x or 0 for x in ends))
     valid = grid.where(F.col(value) != invalid).select(F.col("row").alias("vr"), F.col("col").alias("vc"), F.col(value).alias("v"))
     missing = grid.where(F.col(value) == invalid).select("row", "col")
     found = None
@@ -112,6 +117,8 @@ def nearest_valid(grid: DataFrame, value: str, invalid: int, radius: int) -> Dat
         if r >= radius:
             break
         missing = missing.join(sure.select("row", "col"), ["row", "col"], "left_anti")
+        if whole and missing.isEmpty():
+            break
         r = min(2 * r, radius)
     kept = grid.where(F.col(value) != invalid).select("row", "col", value)
     rest = grid.where(F.col(value) == invalid).select("row", "col").join(found, ["row", "col"], "left")

@@ -46,7 +46,7 @@ def pixel_summary(shares: DataFrame, seasonal: DataFrame, years: list[int], valu
     return shares.select("row", "col", "dominant").join(long_to_wide(seasonal, ["row", "col"], "season_year", years, values), ["row", "col"])
 
 
-def tag_regions(cells: DataFrame, grid: DataFrame, spec: GridSpec, x: str, y: str, invalid: int = 15, radius: int = 8) -> DataFrame:
+def tag_regions(cells: DataFrame, grid: DataFrame, spec: GridSpec, x: str, y: str, invalid: int = 15, radius: int | None = None) -> DataFrame:
     """Region of each cell; cells on an invalid region take the nearest valid one, cells off the grid have none."""
     return category_at(cells, nearest_valid(grid, "region_id", invalid, radius), spec, x, y, "region_id")
 

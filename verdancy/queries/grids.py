@@ -71,7 +71,7 @@ _NEAREST = "nv AS (SELECT a.row, a.col, arg_min(b.region_id, {'d': (a.row - b.ro
 
 @QUERIES("e8_nearest_valid", f"WITH {LANDCOVER}, {_NEAREST} SELECT row, col, region_id FROM landcover WHERE region_id <> 15 UNION ALL SELECT l.row, l.col, nv.region_id FROM landcover l LEFT JOIN nv USING (row, col) WHERE l.region_id = 15")
 def e8(spark, d):
-    return nearest_valid(landcover(spark, d), "region_id", 15, 8)
+    return nearest_valid(landcover(spark, d), "region_id", 15)
 
 
 @QUERIES("e9_elevation_over_time", f"WITH {OBS}, {LANDCOVER}, w AS (SELECT ord, line, part, value / 2 AS t, value / 2 - 3 AS dew, elev AS z FROM obs JOIN landcover USING (row, col)) SELECT ord, line, part, round(6.112 * (1 + 7e-4 + 3.46e-6 * (1013.25 * pow((273.16 + t) / (273.16 + t + 0.0065 * z), 5.625))) * (exp(17.67 * t / (t + 243.5)) - exp(17.67 * dew / (dew + 243.5))), 6) AS vpd FROM w")
