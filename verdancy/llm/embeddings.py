@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdancy.llm.components import components
-from verdancy.llm.storage import dropped, stored
+from verdancy.llm.storage import dropped, frugal, stored
 
 MISS = 0.02
 BOUND = 5.0
@@ -41,6 +41,7 @@ def _coded(vectors: DataFrame, dim: int, bits: int, bands: int) -> DataFrame:
     """class, vector, sign bits of the rotated vector, and the correction factor of the first rotation's code."""
     turns = _rotations(dim, -(-bits * bands // dim))
 
+    @frugal
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
@@ -61,6 +62,7 @@ def _keys(codes: np.ndarray, bits: int, bands: int) -> np.ndarray:
 
 
 def _placed(bits: int, bands: int):
+    @frugal
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
@@ -120,6 +122,7 @@ def _block_links(dim: int, bits: int, bands: int, cosine: float):
             root = low
         return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(counts), pa.array(names[root], pa.int64())], ["class", "links", "root"])
 
+    @frugal
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Batches are sorted by group; the last group of a batch, two blocks at most, waits for the next one."""
         held: dict[str, np.ndarray] | None = None

@@ -13,21 +13,22 @@ import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from verdancy.llm.storage import parts, small_batches, stored
+from verdancy.llm.storage import frugal, parts, small_batches, stored
 
 CAPACITY = 4096
 GROUPS = 32
 SMALL_SHARE = 8
 SHARDS = 64
+SHARD_ROWS = 1_000_000  # pieces for each shard where there are many
+BROADCAST_ROWS = 1_000_000
 EOS = 1
-CACHE_WORDS = 200_000
+CACHE_WORDS = 100_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -92,17 +93,12 @@ class _WordIds:
                 yield b"".join([new[w] if w in new else known[w] for w in words])
 
 
-@lru_cache(maxsize=1)
-def _word_ids(path: str) -> _WordIds:
-    """One cache for each worker process, kept from task to task."""
-    return _WordIds(path)
-
-
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, text: str = "text") -> DataFrame:
     """Documents as runs of at most `capacity` ids: doc_id, piece, start, length, ids_crc32. A null text is empty; each document ends with EOS."""
 
+    @frugal
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end, step = _word_ids(tokenizer_path), np.array([EOS], "<u4").tobytes(), 4 * capacity
+        encode, end, step = _WordIds(tokenizer_path), np.array([EOS], "<u4").tobytes(), 4 * capacity
         for batch in parts(batches):
             out: list[tuple] = []
             texts = [x or "" for x in batch.column(1).to_pylist()]
@@ -227,36 +223,45 @@ def plan_packing(histogram: dict[int, int], capacity: int = CAPACITY, groups: in
     return rows, sequences
 
 
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    """df marked for a broadcast where it has no more than BROADCAST_ROWS rows."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 def best_fit_pack(pieces: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS) -> DataFrame:
     """Gives each piece (doc_id, piece, start, length, ids_crc32) its sequence_id and offset.
 
-    Pieces of one length are ranked by salted shards, so that a frequent length is no single task. The plan has a few
-    rows for each of at most `capacity` lengths and is broadcast. Repeated rows are packed once each; an empty table
-    gives an empty result.
+    A piece of `capacity` ids is a sequence by itself and needs no place. The others are ranked among those of their
+    length by shards, one for each SHARD_ROWS pieces (SHARDS at least), so that a frequent length is no single task.
+    The plan has a few rows for each of at most `capacity` lengths; it and the shards' counts are broadcast as long as
+    their counted rows are few. Repeated rows are packed once each; an empty table gives an empty result.
     """
     spark = pieces.sparkSession
-    pieces = stored(pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SHARDS)).cast("int")))
-    counts = pieces.groupBy("length", "shard").count()
+    pieces = stored(pieces)
+    full, part = pieces.where(F.col("length") == capacity), pieces.where(F.col("length") < capacity)
+    found = part.groupBy("length").agg(F.count("*").alias("n")).collect()  # fewer than `capacity` rows
+    histogram = {r["length"]: r["n"] for r in found}
+    shards = max(SHARDS, -(-sum(histogram.values()) // SHARD_ROWS))
+    rows, sequences = plan_packing(histogram, capacity, groups)
+    part = part.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)).cast("int"))
+    counts = part.groupBy("length", "shard").count()
     base = counts.select("length", "shard", (F.sum("count").over(Window.partitionBy("length").orderBy("shard")) - F.col("count")).alias("before"))
-    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    rows, _ = plan_packing(histogram, capacity, groups)
     plan = spark.createDataFrame(rows, "length long, lo long, n long, first long, each long, at long")
     rank = F.row_number().over(Window.partitionBy("length", "shard").orderBy("doc_id", "piece", "ids_crc32")) - 1
-    ranked = pieces.withColumn("rank", rank).join(F.broadcast(base), ["length", "shard"]).withColumn("rank", F.col("rank") + F.col("before"))
+    ranked = part.withColumn("rank", rank).join(_small(base, shards * len(histogram)), ["length", "shard"]).withColumn("rank", F.col("rank") + F.col("before"))
     nth = F.col("rank") - F.col("lo")
-    return (
-        ranked.join(F.broadcast(plan), "length")
+    columns = ("doc_id", "piece", "start", "length", "ids_crc32")
+    placed = (
+        ranked.join(_small(plan, len(rows)), "length")
         .where((nth >= 0) & (nth < F.col("n")))
         .select(
-            "doc_id",
-            "piece",
-            "start",
-            "length",
-            "ids_crc32",
+            *columns,
             (F.col("first") + F.floor(nth / F.col("each"))).cast("long").alias("sequence_id"),
             (F.col("at") + nth % F.col("each") * F.col("length")).cast("long").alias("offset"),
         )
     )
+    alone = full.select(*columns, (F.monotonically_increasing_id() + sequences).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return placed.unionByName(alone)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY) -> DataFrame:

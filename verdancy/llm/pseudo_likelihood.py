@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdancy.llm.storage import parts, small_batches, stored
+from verdancy.llm.storage import frugal, parts, small_batches, stored
 
 WORDS = 448
 ENDINGS = 64
@@ -41,6 +41,7 @@ def _tokens_of() -> int:
 def counted_words(docs: DataFrame) -> DataFrame:
     """Every word of all documents with its count; partial counts leave a task whenever they get many."""
 
+    @frugal
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()
 
@@ -240,6 +241,7 @@ def train(docs: DataFrame, words: list[str]) -> np.ndarray:
     """Parameters averaged over the partitions' networks, weighted by tokens; every document of a partition is seen once."""
     known = docs.sparkSession.sparkContext.broadcast(words)
 
+    @frugal
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, net, n = _Ids(known.value), Network(), 0
         for batch in parts(batches):
@@ -270,6 +272,7 @@ def pseudo_likelihoods(docs: DataFrame) -> DataFrame:
     rare, totals, carried = class_counts(counted, words)
     model = docs.sparkSession.sparkContext.broadcast((words, totals, carried, train(docs, words)))
 
+    @frugal
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, totals, carried, flat = model.value
         shares, net, row = _Shares(words, totals, carried), Network(flat), TaskContext.get().partitionId() << 40

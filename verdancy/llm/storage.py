@@ -2,20 +2,27 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
+BATCH_BYTES = 4 << 20
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir as the session has it; a folder of our own only where it is unset (tests)."""
+    """spark.checkpoint.dir as the session has it. Where it is unset: a temporary folder if driver and executors are one process (tests), else one in the warehouse, which executors share."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
-        named = tempfile.mkdtemp(prefix="verdancy-")
+        alone = sc.master == "local" or sc.master.startswith("local[")
+        named = tempfile.mkdtemp(prefix="verdancy-") if alone else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_verdancy"
         sc.setCheckpointDir(named)
     return named.rstrip("/")
 
@@ -39,10 +46,11 @@ def dropped(*tables: DataFrame) -> None:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of at most `rows` rows from now on in this session: texts are long, and a batch is held outside the heap on both sides."""
+    """Arrow batches of at most `rows` rows and about BATCH_BYTES bytes from now on in this session: texts are long, and a batch is held outside the heap on both sides."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def parts(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
@@ -50,3 +58,17 @@ def parts(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.Rec
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+
+
+def frugal(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The task of a partition, after which a worker gives its free pages back: Spark keeps workers for the next stage."""
+
+    @functools.wraps(task)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from task(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+            trim(0)
+
+    return run

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdancy.llm.storage import dropped, parts, small_batches, stored
+from verdancy.llm.storage import dropped, frugal, parts, small_batches, stored
 
 SAMPLE = 24_000  # bound of the labelled sample
 CACHE_WORDS = 150_000
@@ -154,6 +154,7 @@ def features_of(word: str) -> list[str]:
 def _char_counts(texts: DataFrame) -> dict[str, int]:
     """Character trigrams of all texts' runs of letters and digits."""
 
+    @frugal
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, found = Counter(), Counter()
 
@@ -189,6 +190,7 @@ def train(sample: DataFrame, docs: DataFrame) -> dict:
     lm = CharModel(_char_counts(docs))
     bound = sample.sparkSession.sparkContext.broadcast(lm)
 
+    @frugal
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, found = Reader(bound.value), {}
 
@@ -218,6 +220,7 @@ def train(sample: DataFrame, docs: DataFrame) -> dict:
     model = {"lm": lm, "odds": odds}
     sent = sample.sparkSession.sparkContext.broadcast(model)
 
+    @frugal
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(sent.value)
         for batch in parts(batches):
@@ -286,6 +289,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = docs.sparkSession.sparkContext.broadcast(train(sample, docs))
     dropped(sample)
 
+    @frugal
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(model.value)
         for batch in parts(batches):
