@@ -3,6 +3,7 @@ import random
 import pytest
 
 from verdancy.llm.minhash import near_duplicates
+from verdancy.llm.salted import with_smallest
 
 DOCS = "doc_id long, text string, class string, key long, home string, component long"
 
@@ -78,5 +79,23 @@ def test_nulls_repeats_and_extremes(spark):
     assert named[5].n_shingles == 29_999
 
 
+def test_repeated_ids_count_by_one_text(spark):
+    """Of a repeated doc_id the text with most shingles counts, wherever it stands in string order."""
+    letters = "a b c d e f g h i j"
+    rows = [(1, letters), (1, "zz yy"), (2, letters + " k"), (3, "zz yy"), (4, None), (4, "q r s"), (5, "q r s"), (6, letters), (6, "z " + letters)]
+    table = spark.createDataFrame([(i, x, "c", 1, "h", 2) for i, x in rows], DOCS)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(table.repartition(5), width=2).collect()}
+    assert got == brute(rows, 2, 80)
+    assert got[1] == (9, 1) and got[2] == (10, 1) and got[3] == (1, 3) and got[5] == (2, 4)
+
+
+def test_frequent_key_meets_its_smallest_by_salts(spark):
+    rows = [("k", i) for i in range(5_000, 0, -1)] + [("other", 7), (None, 3), ("k", None)]
+    more = spark.createDataFrame([(1, "one")], "first long, said string")
+    got = with_smallest(spark.createDataFrame(rows, "key string, value long"), "key", "value", "first", 200_000, more).collect()
+    assert len(got) == len(rows)
+    assert {(r.key, r.first, r.said) for r in got if r.value} == {("k", 1, "one"), ("other", 7, None), (None, None, None)}
+
+
 def test_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], DOCS)).collect() == []

@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdancy.llm.components import components
-from verdancy.llm.storage import dropped, parts, small_batches, stored
+from verdancy.llm.salted import with_smallest
+from verdancy.llm.storage import dropped, frugal, parts, small_batches, stored
 
 BANDS = 48
 PERMUTATIONS_PER_BAND = 3
@@ -66,12 +67,13 @@ def signatures(docs: DataFrame, width: int, text: str = "text", bands: int = BAN
     """Per document: n_shingles, a 128-bit fingerprint of its set, and its band keys."""
     per, functions = PERMUTATIONS_PER_BAND, _hash_functions(bands * PERMUTATIONS_PER_BAND)
 
+    @frugal
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = _Shingles(width)
         for batch in parts(batches):
             sets = [shingles(x) for x in batch.column(1).to_pylist()]
             sizes = np.array([len(s) for s in sets], np.int64)
-            prints = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
+            prints = [_print(s) for s in sets]
             full = np.flatnonzero(sizes)
             low = np.zeros((len(sets), len(functions)), np.uint64)
             high = low.copy()
@@ -104,29 +106,39 @@ def signatures(docs: DataFrame, width: int, text: str = "text", bands: int = BAN
     return docs.select(F.col("doc_id").cast("long"), F.col(text)).mapInArrow(sign, "doc_id long, n_shingles long, print binary, keys array<long>")
 
 
-def _sets(docs: DataFrame, width: int, text: str) -> DataFrame:
+def _print(shingles: np.ndarray) -> bytes | None:
+    """Fingerprint of a shingle set."""
+    return xxhash.xxh3_128_digest(shingles.tobytes()) if len(shingles) else None
+
+
+def _sets_of(wanted: DataFrame, docs: DataFrame, width: int, text: str) -> DataFrame:
+    """doc_id and shingle set of the documents named in wanted (doc_id, print), which is broadcast only up to BROADCAST_IDS rows. Of a repeated doc_id's texts, that with the wanted print counts."""
+
+    @frugal
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = _Shingles(width)
         for batch in parts(batches):
-            sets = [shingles(x).view(np.int64) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "set"])
+            ids, sets = [], []
+            for doc, x, asked in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = shingles(x)
+                if _print(own) == asked:
+                    ids.append(doc)
+                    sets.append(own.view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "set"])
 
-    return docs.select("doc_id", text).mapInArrow(make, "doc_id long, set array<long>")
-
-
-def _sets_of(wanted: DataFrame, docs: DataFrame, width: int, text: str) -> DataFrame:
-    """doc_id and shingle set of the documents named in wanted (doc_id), which is broadcast only up to BROADCAST_IDS rows."""
     wanted = stored(wanted.distinct())
     small = wanted.count() <= BROADCAST_IDS
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).where("doc_id is not null")
-    picked = picked.join(F.broadcast(wanted) if small else wanted, "doc_id", "left_semi")
-    return _sets(picked.groupBy("doc_id").agg(F.max(text).alias(text)), width, text)
+    picked = picked.join(F.broadcast(wanted) if small else wanted, "doc_id").select("doc_id", text, "print")
+    sets = picked.mapInArrow(make, "doc_id long, set array<long>")
+    return sets.groupBy("doc_id").agg(F.first("set").alias("set"))  # rows of one doc_id and print have one set
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, text: str, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough; only documents of some pair have their sets built again."""
+def _confirmed(pairs: DataFrame, prints: DataFrame, docs: DataFrame, width: int, text: str, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes whose full sets are similar enough; only documents of some pair have their sets built again. prints: class and print."""
     pairs = stored(pairs.distinct())
-    sets = stored(_sets_of(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")), docs, width, text))
+    ends = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
+    sets = stored(_sets_of(prints.join(ends, "class", "left_semi").select(F.col("class").alias("doc_id"), "print"), docs, width, text))
     of = lambda k: sets.select(F.col("doc_id").alias(k), F.col("set").alias(f"set_{k}"))
     both = F.size(F.array_intersect("set_a", "set_b"))
     kept = pairs.join(of("a"), "a").join(of("b"), "b").where(100 * both >= percent * (F.size("set_a") + F.size("set_b") - both))
@@ -168,6 +180,7 @@ def _linked_in_block(ids: np.ndarray, comps: np.ndarray, sides: np.ndarray, sets
 
 
 def _block_edges(percent: int):
+    @frugal
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         key = None
@@ -204,15 +217,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     whose documents share a bucket is therefore never lost; a pair at the threshold misses all 48 buckets with
     probability (1 - 0.8 ** 6) ** 48 < 1e-6.
 
-    A null or empty text has no shingles and is linked with nothing. A repeated doc_id counts as one document with the
-    largest of its texts. A null doc_id gives a row with null component_id that isn't kept. An empty table gives an
+    A null or empty text has no shingles and is linked with nothing. A repeated doc_id counts as one document with that
+    of its texts which has most distinct shingles (of several, the one whose set has the largest fingerprint). A null doc_id gives a row with null component_id that isn't kept. An empty table gives an
     empty result.
     """
     small_batches(docs.sparkSession)
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
     signed = stored(signatures(named, width, bands=bands))
+    # a repeated doc_id is its text with most shingles; its print is the choice that every later step follows
     one = signed.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.max_by("keys", F.struct("n_shingles", "print")).alias("keys"), F.max(F.struct("n_shingles", "print")).alias("s"))
-    classes = stored(one.groupBy("s.print").agg(F.min("doc_id").alias("class"), F.first("keys").alias("keys")).select("class", "keys"))
+    classes = stored(one.groupBy("s.print").agg(F.min("doc_id").alias("class"), F.first("keys").alias("keys")).select("class", "print", "keys"))
+    prints = classes.select("class", "print")
     slim = classes.select("class", F.explode("keys").alias("key"))
     counts = slim.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     shared = stored(slim.join(counts, "key"))
@@ -222,7 +237,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     centre = weighed.groupBy("key").agg(F.max(best).alias("centre"))
     homes = stored(shared.select("key", "class").join(centre, "key").groupBy("class").agg((-F.max("centre")["turned"]).alias("home")))
     first = homes.where("class <> home").select(F.least("class", "home").alias("a"), F.greatest("class", "home").alias("b"))
-    links = _confirmed(first, named, width, "text", percent)
+    links = _confirmed(first, prints, named, width, "text", percent)
     labels = components(links)
 
     # buckets that still hold several components
@@ -244,17 +259,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     pairs = stored(x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.block") <= F.col("y.block")) & apart).select(F.col("x.block").alias("lo"), F.col("y.block").alias("hi")).distinct())
     ends = pairs.select("lo", "hi", F.col("lo").alias("block"), F.lit(0).alias("side")).union(pairs.where("lo <> hi").select("lo", "hi", F.col("hi"), F.lit(1)))
     taking = pool.join(ends.select("block").distinct(), "block", "left_semi").select("class", "comp", "block")
-    sets = stored(_sets_of(taking.select(F.col("class").alias("doc_id")), named, width, "text"))
+    sets = stored(_sets_of(taking.join(prints, "class").select(F.col("class").alias("doc_id"), "print"), named, width, "text"))
     members = ends.join(taking, "block").join(sets.withColumnRenamed("doc_id", "class"), "class")
     tasks = members.select(F.to_json(F.struct("lo", "hi")).alias("task"), "class", "comp", "side", "set").repartition("task").sortWithinPartitions("task")
     links2 = stored(tasks.mapInArrow(_block_edges(percent), "a long, b long"))
     merged = components(links.union(links2))
     dropped(shared, homes, pool, met, pairs, sets)
 
-    sized = signed.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.struct("n_shingles", "print")).alias("s")).select("doc_id", "s.*")
-    roots = sized.join(sized.where("n_shingles > 0").groupBy("print").agg(F.min("doc_id").alias("class")), "print", "left")
+    sized = stored(signed.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.struct("n_shingles", "print")).alias("s")).select("doc_id", "s.*"))
+    roots = with_smallest(sized, "print", "doc_id", "class", sized.count(), merged.withColumnRenamed("node", "class"))
+    named_rows = roots.select("doc_id", "n_shingles", F.coalesce("component", "class", "doc_id").alias("component_id"))
     rows = signed.where("doc_id is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"))
-    named_rows = roots.join(merged.withColumnRenamed("node", "class"), "class", "left").select("doc_id", "n_shingles", F.coalesce("component", "class", "doc_id").alias("component_id"))
     return named_rows.unionByName(rows).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
