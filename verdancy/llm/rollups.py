@@ -10,13 +10,15 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdancy.llm.packing import _word_ids
-from verdancy.llm.storage import parts, shared_dir, small_batches, stored
+from verdancy.llm.packing import _WordIds
+from verdancy.llm.salted import with_smallest
+from verdancy.llm.storage import frugal, parts, shared_dir, small_batches, stored
 
 KEYS = ("source", "lang", "tokenizer")
 SCHEMA = "source string, lang string, tokenizer string, docs long, tokens long, batch string"
@@ -25,8 +27,9 @@ SCHEMA = "source string, lang string, tokenizer string, docs long, tokens long,
 def token_counts(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """doc_id, source, lang, tokens of whole texts, and a hash of the text; null texts have no tokens."""
 
+    @frugal
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _word_ids(tokenizer_path)
+        encode = _WordIds(tokenizer_path)
         for batch in parts(batches):
             tokens = [len(ids) // 4 for ids in encode([x or "" for x in batch.column(4).to_pylist()])]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), pa.array(tokens, pa.int64())], ["doc_id", "source", "lang", "text_hash", "tokens"])
@@ -52,9 +55,11 @@ class Rollup:
         self.spark, self.folder = spark, folder.rstrip("/")
 
     def commit(self, batch: str, changes: DataFrame) -> None:
-        """Writes the batch's sums to the folder of its own name, whether or not it is there already."""
+        """Writes the batch's sums to the folder of its own name, whether or not it is there already. Any text is a name; it is quoted in the path."""
+        if not batch:
+            raise ValueError("a batch needs a name")
         sums = changes.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
-        sums.write.mode("overwrite").parquet(f"{self.folder}/batch={batch}")
+        sums.write.mode("overwrite").parquet(f"{self.folder}/batch={quote(batch, safe='')}")
 
     def totals(self) -> DataFrame:
         jvm = self.spark._jvm
@@ -75,9 +80,8 @@ def op5_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     counted = stored(token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json")))
-    first = counted.groupBy("text_hash").agg(F.min("doc_id").alias("first"))
-    marked = counted.join(first, "text_hash")
-    copies, left = marked.where("doc_id <> first"), marked.where("doc_id = first")
+    marked = stored(with_smallest(counted, "text_hash", "doc_id", "first", counted.count()))
+    copies, left = marked.where("doc_id <> first"), marked.where("doc_id = first or doc_id is null")
     rollup = Rollup(spark, f"{shared_dir(spark)}/verdancy/rollup-{uuid.uuid4().hex}")
     rollup.commit("load", signed(counted, 1, "word_bpe_49k"))
     rollup.commit("copies", signed(copies, -1, "word_bpe_49k"))
