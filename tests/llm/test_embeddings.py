@@ -62,6 +62,28 @@ def test_links_against_brute_force(spark, monkeypatch, block):
     assert [(r.n_links, r.component_id, r.kept) for r in got if r.vec_id is None] == [(0, None, False)]
 
 
+def test_each_length_by_itself(spark):
+    vectors = {1: [1.0, 0.0], 2: [1.0, 0.1], 3: [1.0, 0.0, 0.0], 4: [1.0, 0.1, 0.0], 5: [1.0, 0.0, 0.0], 6: [0.0, 1.0, 0.0], 7: [2.0]}
+    got = vector_links(spark.createDataFrame([(i, x, 1, "c", 2, "v") for i, x in vectors.items()], VECTORS)).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {1: (1, 1), 2: (1, 1), 3: (2, 3), 4: (2, 3), 5: (2, 3), 6: (0, 6), 7: (0, 7)}
+
+
+@pytest.mark.parametrize("dim", [5, 64])
+def test_estimates_from_short_codes_are_unbiased_within_their_bound(dim):
+    r = np.random.default_rng(3)
+    a = r.standard_normal((4000, dim))
+    b = a + 0.4 * r.standard_normal((4000, dim))
+    turn = embeddings._rotations(dim, 1)[0]
+    x, y = ((v / np.linalg.norm(v, axis=1)[:, None]) @ turn for v in (a, b))
+    short = embeddings._short(np.concatenate([x, y]), np.abs(np.concatenate([x, y])).sum(1) / math.sqrt(dim))
+    signs, parts, factor, rounding = embeddings._read_short(short, dim)
+    true = (x * y).sum(1)
+    error = (signs[:4000] * parts[4000:]).sum(1) / factor[:4000] - true
+    near = true >= 0.9
+    assert abs(error.mean()) < 0.01
+    assert (np.abs(error[near]) <= embeddings._slack(factor[:4000], rounding[4000:], dim, 0.9)[near]).mean() > 0.999
+
+
 def test_bands_follow_the_table(spark):
     for rows in (10, 10_000, 10**9):
         bits, bands = band_plan(rows, 64, 0.9)
