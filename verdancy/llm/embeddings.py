@@ -44,7 +44,7 @@ def band_plan(rows: int, dim: int, cosine: float) -> tuple[int, int]:
 
 def _short(rotated: np.ndarray, factor: np.ndarray) -> np.ndarray:
     """The first rotation as four bits a component, whose highest is its sign, behind the correction factor and the largest component."""
-    top = np.abs(rotated).max(1)
+    top = np.abs(rotated).max(1) * (LEVELS / (LEVELS - 0.5))  # the largest component is the middle of its level
     level = np.clip(np.floor(rotated / top[:, None] * LEVELS), -LEVELS, LEVELS - 1).astype(np.int8) + LEVELS
     level = np.concatenate([level, np.zeros((len(level), level.shape[1] % 2), np.int8)], 1).astype(np.uint8)
     head = np.stack([factor, top], 1).astype("<f4").view(np.uint8)
