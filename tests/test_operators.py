@@ -2,9 +2,12 @@
 
 import datetime as dt
 import math
+from itertools import combinations
+from statistics import NormalDist
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from verdancy.functions.scalars import absolute_share, drought_phase, region_number, row_mean, scaled, signed_share
@@ -12,10 +15,10 @@ from verdancy.functions.statistics import t_quantile
 from verdancy.operators.aggregates import chilling_days, degree_days, natural_breaks, regression_metrics, slice_means, whisker_summary
 from verdancy.operators.calendar import pooled_window, seasonal_means, sliding_windows
 from verdancy.operators.cleaning import complete_cases, complete_stations, median_split, outer_quantiles, quantiles
-from verdancy.operators.forest import contributions, cross_validated, fit_forest
+from verdancy.operators.forest import contributions, cross_validated, fit_forest, leaf_contributions
 from verdancy.operators.grid import class_share, coarsened, forest_mask, mosaic, nearest_index, nearest_valid, support
 from verdancy.operators.reshape import grouped_sample, hashed_sample, wide_to_long, zero_crossings
-from verdancy.operators.trends import spei, theil_sen, theil_sen_band, trend
+from verdancy.operators.trends import _log_gamma, _normal_quantile, spei, theil_sen, theil_sen_band, trend
 from verdancy.schema import nan_to_null
 
 
@@ -207,6 +210,64 @@ def test_spei_is_standardised(spark):
     assert january["rolled"].rank().corr(january["spei"].rank()) > 0.999
 
 
+def test_distributions_against_the_standard_library():
+    p = np.r_[np.linspace(1e-6, 1 - 1e-6, 2001), 0.02425, 0.97575]
+    assert np.allclose(_normal_quantile(p), [NormalDist().inv_cdf(v) for v in p], rtol=2e-9, atol=2e-9)
+    x = np.r_[np.geomspace(1e-3, 500, 300)]
+    assert np.allclose(_log_gamma(x), [math.lgamma(v) for v in x], rtol=1e-9, atol=1e-9)
+
+
+def subset_contributions(x, leaves):
+    """Shapley values by their definition: over all subsets of the features."""
+    n, p = x.shape
+    phi = np.zeros((n, p))
+    for value, lo, hi, r in zip(leaves["value"], leaves["low"], leaves["high"], leaves["kept"], strict=True):
+        z = ((x > lo) & (x <= hi)).astype(float)
+        for i in range(p):
+            others = [j for j in range(p) if j != i]
+            for size in range(p):
+                for chosen in combinations(others, size):
+                    rest = [j for j in others if j not in chosen]
+                    w = math.factorial(size) * math.factorial(p - size - 1) / math.factorial(p)
+                    phi[:, i] += value * w * (z[:, i] - r[i]) * z[:, list(chosen)].prod(1) * r[rest].prod()
+    return phi / len(np.unique(leaves["tree"]))
+
+
+@pytest.mark.parametrize("p", [1, 2, 5, 7])
+def test_contributions_equal_the_subset_formula(p):
+    r = np.random.default_rng(p)
+    low = np.where(r.random((90, p)) < 0.5, -np.inf, r.normal(-1, 1, (90, p)))
+    high = np.where(r.random((90, p)) < 0.5, np.inf, r.normal(1, 1, (90, p)))
+    kept = np.where(np.isinf(low) & np.isinf(high), 1.0, r.uniform(0.01, 1, (90, p)))
+    leaves = {"value": r.normal(0, 3, 90), "tree": np.arange(90) % 9, "low": low, "high": high, "kept": kept}
+    x = r.standard_normal((40, p))
+    assert np.allclose(leaf_contributions(x, leaves)[0], subset_contributions(x, leaves), atol=1e-12)
+
+
+def test_contributions_of_a_large_forest(spark):
+    """100 trees of depth 10 over seven features."""
+    r = np.random.default_rng(6)
+    x = r.standard_normal((1500, 7))
+    names = list("abcdefg")
+    y = x[:, 0] + x[:, 1] * x[:, 2] + 0.2 * r.standard_normal(1500)
+    df = spark.createDataFrame([(k, *map(float, a), float(b)) for k, (a, b) in enumerate(zip(x, y, strict=True))], "id int, " + ", ".join(f"{c} double" for c in names) + ", y double")
+    model = fit_forest(df, names, "y", trees=100, depth=10)
+    from pyspark.ml.feature import VectorAssembler
+
+    some = df.where("id < 200")
+    truth = {r.id: r.prediction for r in model.transform(VectorAssembler(inputCols=names, outputCol="_features").transform(some)).collect()}
+    got = contributions(some, model, names).collect()
+    assert len(got) == 200 and all(math.isclose(r.base + sum(r[f"phi_{c}"] for c in names), truth[r.id], abs_tol=1e-9) for r in got)
+
+
+def test_grouped_sample_equals_ranking(spark):
+    df = spark.range(4000).withColumn("g", F.when(F.col("id") < 30, "small").when(F.col("id") < 330, "middle").otherwise("large"))
+    rank = F.row_number().over(Window.partitionBy("g").orderBy(F.md5(F.concat_ws("|", F.col("id").cast("string"), F.lit("42"))), "id"))
+    ranked = df.withColumn("rn", rank).withColumn("n", F.count("*").over(Window.partitionBy("g")))
+    expected = {r.id for r in ranked.where("rn <= least(n, greatest(50, floor(n * 0.07)))").collect()}
+    assert {r.id for r in grouped_sample(df, ["g"], ["id"]).collect()} == expected and len(expected) == 30 + 50 + int(3670 * 0.07)
+
+
 def test_natural_breaks_find_clusters(spark):
     rows = [(c + d / 100,) for c in (0.0, 10.0, 20.0, 50.0, 90.0) for d in range(20)]
     assert natural_breaks(spark.createDataFrame(rows, "v double"), "v", 5) == pytest.approx([0.19, 10.19, 20.19, 50.19, 90.19])

@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from verdancy.operators.cleaning import quantiles
+
 
 def annual_means(df: DataFrame, keys: list[str], ts: str, value: str) -> DataFrame:
     return df.groupBy(*keys, F.year(ts).alias("year")).agg(F.avg(value).alias(value))
@@ -40,9 +42,14 @@ def box_summary(value: str) -> list[Column]:
     return [q[0].alias("q1"), q[1].alias("median"), q[2].alias("q3")]
 
 
+def _beside(summary: DataFrame, q: DataFrame, by: list[str]) -> DataFrame:
+    """Quantiles beside other aggregates; groups without a value have none."""
+    return summary.join(q, by, "left") if by else summary.crossJoin(q)
+
+
 def box_whiskers(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """Quartiles and whiskers: the outermost values within 1.5 interquartile ranges."""
-    box = df.groupBy(*by).agg(*box_summary(value))
+    box = quantiles(df, value, by, {"q1": 0.25, "median": 0.5, "q3": 0.75}, ranked=True)
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = df.join(box, by).where(F.col(value).between(F.col("q1") - reach, F.col("q3") + reach))
     return inside.groupBy(*by).agg(*(F.first(c).alias(c) for c in ("q1", "median", "q3")), F.min(value).alias("whisker_low"), F.max(value).alias("whisker_high"))
@@ -50,8 +57,8 @@ def box_whiskers(df: DataFrame, by: list[str], value: str) -> DataFrame:
 
 def whisker_summary(df: DataFrame, by: list[str], value: str, axis_range: float = 1.0) -> DataFrame:
     """5 %, 50 % and 95 % points and mean; below three values, or without spread, the mean and 1 % of the axis to both sides."""
-    q = F.percentile(value, F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
-    s = df.groupBy(*by).agg(q.alias("q"), F.avg(value).alias("mean"), F.count(value).alias("n"))
+    q = quantiles(df, value, by, {"q0": 0.05, "q1": 0.5, "q2": 0.95}, ranked=True).select(*by, F.array("q0", "q1", "q2").alias("q"))
+    s = _beside(df.groupBy(*by).agg(F.avg(value).alias("mean"), F.count(value).alias("n")), q, by)
     thin = (F.col("n") < 3) | (F.col("q")[0] == F.col("q")[2])
     pick = lambda k, d: F.when(thin, F.col("mean") + d * 0.01 * axis_range).otherwise(F.col("q")[k])
     return s.select(*by, "n", "mean", pick(0, -1).alias("q05"), pick(1, 0).alias("q50"), pick(2, 1).alias("q95"))
@@ -59,8 +66,8 @@ def whisker_summary(df: DataFrame, by: list[str], value: str, axis_range: float
 
 def robust_range(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """2nd and 98th percentile, or the extremes where these fall together."""
-    q = F.percentile(value, F.array(F.lit(0.02), F.lit(0.98)))
-    s = df.groupBy(*by).agg(q.alias("q"), F.min(value).alias("lo"), F.max(value).alias("hi"))
+    q = quantiles(df, value, by, {"q0": 0.02, "q1": 0.98}, ranked=True).select(*by, F.array("q0", "q1").alias("q"))
+    s = _beside(df.groupBy(*by).agg(F.min(value).alias("lo"), F.max(value).alias("hi")), q, by)
     flat = F.col("q")[0] >= F.col("q")[1]
     return s.select(*by, F.when(flat, F.col("lo")).otherwise(F.col("q")[0]).alias("low"), F.when(flat, F.col("hi")).otherwise(F.col("q")[1]).alias("high"))
 
@@ -139,7 +146,7 @@ def classed(value: Column, breaks: list[float]) -> Column:
 
 def symmetric_limit(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """Colour limit: the median over groups of the 95th percentile of absolute values, between 0.25 and 0.5."""
-    p = df.groupBy(*by).agg(F.percentile(F.abs(F.col(value)), 0.95).alias("p"))
+    p = quantiles(df.select(*by, F.abs(F.col(value)).alias("_abs")), "_abs", by, {"p": 0.95}, ranked=True)
     return p.agg(F.least(F.lit(0.5), F.greatest(F.lit(0.25), F.percentile("p", 0.5))).alias("limit"))
 
 

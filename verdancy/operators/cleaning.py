@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdancy.functions.scalars import drought_phase
 from verdancy.schema import nan_to_null
+from verdancy.session import written
 
 
 def complete_cases(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -51,10 +50,10 @@ def drought_split(df: DataFrame, target: str, others: list[str], label: str = "p
     return df.withColumn(label, drought_phase(target, *others)).where(F.col(label).isNotNull())
 
 
-def drought_threshold(df: DataFrame, value: str, by: list[str], q: float = 0.25) -> DataFrame:
+def drought_threshold(df: DataFrame, value: str, by: list[str], q: float = 0.25, ranked: bool = True) -> DataFrame:
     """Quantile q of the values above each group's minimum."""
     low = df.groupBy(*by).agg(F.min(value).alias("_low"))
-    return df.join(low, by).where(F.col(value) > F.col("_low")).groupBy(*by).agg(F.percentile(value, q).alias("threshold"))
+    return quantiles(df.join(low, by).where(F.col(value) > F.col("_low")), value, by, {"threshold": q}, ranked)
 
 
 def ranked_quantiles(df: DataFrame, value: str, by: list[str], qs: dict[str, float]) -> DataFrame:
@@ -65,7 +64,8 @@ def ranked_quantiles(df: DataFrame, value: str, by: list[str], qs: dict[str, flo
     no large range.
     """
     counted = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
-    counted = counted.repartitionByRange(*by, value).sortWithinPartitions(*by, value).withColumn("_pid", F.spark_partition_id()).persist()
+    # written, because the ranges must be the same wherever they are read
+    counted = written(counted.repartitionByRange(*by, value).withColumn("_pid", F.spark_partition_id()))
     own = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
     ranges = counted.groupBy(*by, "_pid").agg(F.sum("_c").alias("_n"))
     before = ranges.withColumn("_before", F.sum("_n").over(own.orderBy("_pid")) - F.col("_n")).withColumn("_all", F.sum("_n").over(own)).drop("_n")
@@ -88,16 +88,16 @@ def quantiles(df: DataFrame, value: str, by: list[str], qs: dict[str, float], ra
     return df.groupBy(*by).agg(*(F.percentile(value, q).alias(name) for name, q in qs.items()))
 
 
-def outer_quantiles(df: DataFrame, value: str, by: list[str], low: float = 0.25, high: float = 0.75) -> DataFrame:
+def outer_quantiles(df: DataFrame, value: str, by: list[str], low: float = 0.25, high: float = 0.75, ranked: bool = True) -> DataFrame:
     """Rows at or below the low, or at or above the high quantile of their group; one row of quantiles per group is joined."""
-    q = quantiles(df, value, by, {"_lo": low, "_hi": high})
+    q = quantiles(df, value, by, {"_lo": low, "_hi": high}, ranked)
     joined = df.join(q, by) if by else df.crossJoin(F.broadcast(q))
     return joined.where((F.col(value) <= F.col("_lo")) | (F.col(value) >= F.col("_hi"))).drop("_lo", "_hi")
 
 
-def median_split(df: DataFrame, value: str, by: list[str], label: str = "half", overlap: bool = False) -> DataFrame:
+def median_split(df: DataFrame, value: str, by: list[str], label: str = "half", overlap: bool = False, ranked: bool = True) -> DataFrame:
     """Rows marked low (below the group's median) or high (at or above it); with overlap, ties are in both."""
-    q = quantiles(df, value, by, {"_m": 0.5})
+    q = quantiles(df, value, by, {"_m": 0.5}, ranked)
     joined = (df.join(q, by) if by else df.crossJoin(F.broadcast(q))).where(F.col(value).isNotNull())
     if overlap:
         both = F.array_compact(F.array(F.when(F.col(value) <= F.col("_m"), "low"), F.when(F.col(value) >= F.col("_m"), "high")))
@@ -116,7 +116,3 @@ def complete_stations(records: DataFrame, allowed: int = 2, phase: int | str | N
     rows = records if phase is None else records.where(F.col("phase_id") == F.lit(phase))
     spans = rows.groupBy(station).agg((F.max(year) - F.min(year) + 1 - F.count_distinct(year)).alias("missing"))
     return spans.where(F.col("missing") <= allowed)
-
-
-def any_null(columns: list[str]) -> Column:
-    return reduce(lambda a, b: a | b, (F.col(c).isNull() for c in columns))

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
-from itertools import combinations
-from math import factorial
 
 import numpy as np
 import pandas as pd
@@ -21,8 +19,18 @@ from verdancy.operators.aggregates import regression_metrics
 from verdancy.operators.calendar import pooled_window, sliding_windows
 from verdancy.operators.cleaning import complete_cases
 from verdancy.operators.reshape import hash_fold, hashed_sample
+from verdancy.session import shared_folder, written
 
 TREES, FOLDS, SEED = 500, 10, 42
+AT_ONCE = 4  # fits that run beside each other
+LEAF_BYTES = 1 << 30  # bound of a leaf table, which is broadcast
+LEAVES_AT_ONCE, ROWS_AT_ONCE = 64, 2_000
+
+
+def _at_once(work: Callable[..., DataFrame], items: Iterable) -> list[DataFrame]:
+    """work() of each item, several at a time: one fit alone leaves a cluster idle between its rounds. Fits of fits share their turns."""
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        return list(pool.map(work, items))
 
 
 def fit_forest(df: DataFrame, features: list[str], target: str, weight: str | None = None, trees: int = TREES, depth: int = 10, seed: int = SEED) -> RandomForestRegressionModel:
@@ -33,17 +41,15 @@ def fit_forest(df: DataFrame, features: list[str], target: str, weight: str | No
     return forest.fit(VectorAssembler(inputCols=features, outputCol="_features").transform(df))
 
 
-def _shared(spark: SparkSession) -> str:
-    sc = spark.sparkContext
-    return (sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir() or tempfile.mkdtemp(prefix="verdancy-")).rstrip("/")
-
-
 def leaf_table(model: RandomForestRegressionModel, features: int) -> dict[str, np.ndarray]:
-    """Every leaf of a forest as a row: value, tree, and for each feature the interval (low, high] that leads there and the share of cover kept along it. Its size is the model's, not the data's."""
-    spark = SparkSession.getActiveSession()
-    path = f"{_shared(spark)}/forest-{uuid.uuid4().hex}"
+    """Every leaf of a forest as a row: value, tree, and for each feature the interval (low, high] that leads there and the share of cover kept along it. Its size is the model's, not the data's, and checked against LEAF_BYTES. Reads the layout of saved forests of Spark 4.1."""
+    spark = SparkSession.builder.getOrCreate()
+    path = f"{shared_folder(spark)}/forest-{uuid.uuid4().hex}"
     model.write().save(path)
     nodes = spark.read.parquet(f"{path}/data")
+    size = (model.totalNumNodes + model.getNumTrees) // 2 * (3 * features + 2) * 8
+    if size > LEAF_BYTES:
+        raise ValueError(f"the leaves of this forest take {size} bytes, more than {LEAF_BYTES}: fit fewer or shallower trees")
     if "nodeData" not in nodes.columns:
         raise ValueError(f"unknown layout of a saved forest: {nodes.columns}")
     rows = nodes.select(
@@ -72,25 +78,27 @@ def leaf_table(model: RandomForestRegressionModel, features: int) -> dict[str, n
 
 
 def leaf_contributions(x: np.ndarray, leaves: dict[str, np.ndarray]) -> tuple[np.ndarray, float]:
-    """Path-dependent Shapley values of each row and feature, as a sum over leaves; and the base value."""
+    """Path-dependent Shapley values of each row and feature, as a sum over leaves; and the base value.
+
+    The weights of the subsets of the other features are integrals of u^k (1 - u)^(m - 1 - k), so their sum is the
+    integral over u of a product over features: with z for whether the row is in the leaf's interval and r for the share
+    of cover kept, of z u + r (1 - u). It is a polynomial, for which a Gauss rule of half as many nodes is exact.
+    """
     trees = len(np.unique(leaves["tree"]))
     n, p = x.shape
-    phi = np.zeros((n, p))
-    used = (leaves["low"] > -np.inf) | (leaves["high"] < np.inf)
     base = float((leaves["value"] * leaves["kept"].prod(1)).sum() / trees)
-    for value, lo, hi, r, on in zip(leaves["value"], leaves["low"], leaves["high"], leaves["kept"], used, strict=True):
-        path = np.flatnonzero(on)
-        z = ((x[:, path] > lo[path]) & (x[:, path] <= hi[path])).astype(float)
-        m, rr = len(path), r[path]
-        for i in range(m):
-            others = [j for j in range(m) if j != i]
-            total = np.zeros(n)
-            for size in range(m):
-                w = factorial(size) * factorial(m - size - 1) / factorial(m)
-                for chosen in combinations(others, size):
-                    rest = [j for j in others if j not in chosen]
-                    total += w * z[:, list(chosen)].prod(1) * rr[rest].prod()
-            phi[:, path[i]] += value * (z[:, i] - rr[i]) * total
+    nodes, weights = np.polynomial.legendre.leggauss(max(1, -(-p // 2)))
+    phi = np.zeros((n, p))
+    for top in range(0, n, ROWS_AT_ONCE):
+        rows = x[top : top + ROWS_AT_ONCE, None]
+        for at in range(0, len(leaves["value"]), LEAVES_AT_ONCE):
+            low, high, r, value = (leaves[k][at : at + LEAVES_AT_ONCE] for k in ("low", "high", "kept", "value"))
+            z = ((rows > low) & (rows <= high)).astype(float)
+            total = np.zeros_like(z)
+            for u, w in zip((nodes + 1) / 2, weights / 2, strict=True):
+                f = z * u + r * (1 - u)  # never 0: every share is above 0 and u below 1
+                total += w * f.prod(2)[:, :, None] / f
+            phi[top : top + ROWS_AT_ONCE] += np.einsum("nlp,l->np", (z - r) * total, value)
     return phi / trees, base
 
 
@@ -120,14 +128,17 @@ def cross_validated(df: DataFrame, keys: list[str], features: list[str], target:
     if isinstance(fold, str) and fold not in columns:
         columns.append(fold)
     rows = complete_cases(df.select(*columns))
-    rows = rows.withColumn("fold", F.col(fold) if isinstance(fold, str) else hash_fold(keys, folds)).persist()
-    out = []
-    for k in [r["fold"] for r in rows.select("fold").distinct().orderBy("fold").collect()]:
-        seen = rows.where(F.col("fold") != k)
-        if seen.limit(1).count():
-            model = fit_forest(seen, features, target, weight, **forest)
-            out.append(contributions(rows.where(F.col("fold") == k), model, features))
-    return with_ratios(reduce(DataFrame.unionByName, out), features)
+    rows = rows.withColumn("fold", F.col(fold) if isinstance(fold, str) else hash_fold(keys, folds))
+    rows = written(rows)
+    found = [r["fold"] for r in rows.select("fold").distinct().orderBy("fold").collect()]
+
+    def explained(k) -> DataFrame:
+        model = fit_forest(rows.where(F.col("fold") != k), features, target, weight, **forest)
+        return contributions(rows.where(F.col("fold") == k), model, features)
+
+    if len(found) < 2:
+        raise ValueError(f"rows of {len(found)} folds: no fold can be explained by a forest of the others")
+    return with_ratios(reduce(DataFrame.unionByName, _at_once(explained, found)), features)
 
 
 def fold_metrics(predictions: DataFrame, target: str) -> DataFrame:
@@ -138,16 +149,24 @@ def fold_metrics(predictions: DataFrame, target: str) -> DataFrame:
 def window_models(df: DataFrame, keys: list[str], features: list[str], target: str, year: str, first: int, last: int, length: int = 3, weight: str | None = None, **cv) -> DataFrame:
     """One cross-validated model for each sliding window of years."""
     values = [*features, target, *([weight] if weight else [])]
-    windows = sliding_windows(df, keys, year, values, first, last, length).persist()
-    parts = [cross_validated(windows.where(F.col("window_start") == s), keys, features, target, weight, **cv).withColumn("window_start", F.lit(s)) for s in range(first, last - length + 2)]
-    return reduce(DataFrame.unionByName, parts)
+    windows = sliding_windows(df, keys, year, values, first, last, length)
+    windows = written(windows)
+
+    def fitted_window(s: int) -> DataFrame:
+        return cross_validated(windows.where(F.col("window_start") == s), keys, features, target, weight, **cv).withColumn("window_start", F.lit(s))
+
+    return reduce(DataFrame.unionByName, _at_once(fitted_window, range(first, last - length + 2)))
 
 
 def pooled_models(df: DataFrame, keys: list[str], features: list[str], target: str, year: str, first: int, last: int, length: int = 3, weight: str | None = None, **cv) -> DataFrame:
     """One cross-validated model for each tumbling group of years, its rows pooled; the last year is left out."""
-    rows = df.where((F.col(year) >= first) & (F.col(year) < last)).withColumn("window", pooled_window(F.col(year), first, last, length)).persist()
-    parts = [cross_validated(rows.where(F.col("window") == g), [*keys, year], features, target, weight, **cv).withColumn("window", F.lit(g)) for g in range(max((last - first) // length, 1))]
-    return reduce(DataFrame.unionByName, parts)
+    rows = df.where((F.col(year) >= first) & (F.col(year) < last)).withColumn("window", pooled_window(F.col(year), first, last, length))
+    rows = written(rows)
+
+    def fitted_group(g: int) -> DataFrame:
+        return cross_validated(rows.where(F.col("window") == g), [*keys, year], features, target, weight, **cv).withColumn("window", F.lit(g))
+
+    return reduce(DataFrame.unionByName, _at_once(fitted_group, range(max((last - first) // length, 1))))
 
 
 def stacked_model(df: DataFrame, keys: list[str], features: list[str], target: str, n: int = 10_000, **cv) -> DataFrame:

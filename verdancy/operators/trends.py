@@ -58,16 +58,29 @@ def theil_sen(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     return rest.groupBy(*by, "slope").agg(F.percentile("r", 0.5).alias("intercept"))
 
 
-def theil_sen_band(df: DataFrame, by: list[str], x: str, y: str, draws: int = 1000, seed: int = 42) -> DataFrame:
-    """2.5 and 97.5 percentiles of the slope over bootstrap draws: each draw takes as many points, by hash, with replacement."""
+def theil_sen_draws(df: DataFrame, by: list[str], x: str, y: str, draws: int = 1000, seed: int = 42) -> DataFrame:
+    """Slope and intercept of each bootstrap draw (`rep`): a draw takes as many points of a series, by hash, with replacement. A draw of a single x has none."""
     p = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")))).alias("p"))
     drawn = p.select(*by, "p", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("rep"))
-    picked = drawn.select(*by, "rep", F.explode(F.transform("p", lambda a, i: F.element_at("p", (F.pmod(F.xxhash64(F.lit(seed), F.col("rep"), i), F.size("p")) + 1).cast("int")))).alias("q"))
-    series = picked.select(*by, "rep", F.col("q.x").alias(x), F.col("q.y").alias(y))
-    slopes = theil_sen(series, [*by, "rep"], x, y)
+    lot = lambda i: F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("rep").cast("string"), i.cast("string"))), 1, 8), 16, 10).cast("long")
+    picked = drawn.select(*by, "rep", F.explode(F.transform("p", lambda _, i: F.element_at("p", (F.pmod(lot(i), F.size("p")) + 1).cast("int")))).alias("q"))
+    return theil_sen(picked.select(*by, "rep", F.col("q.x").alias(x), F.col("q.y").alias(y)), [*by, "rep"], x, y)
+
+
+def theil_sen_band(df: DataFrame, by: list[str], x: str, y: str, draws: int = 1000, seed: int = 42) -> DataFrame:
+    """2.5 and 97.5 percentiles of the slope over bootstrap draws."""
+    slopes = theil_sen_draws(df, by, x, y, draws, seed)
     return slopes.groupBy(*by).agg(F.percentile("slope", 0.025).alias("low"), F.percentile("slope", 0.975).alias("high"))
 
 
+def theil_sen_prediction_band(df: DataFrame, by: list[str], x: str, y: str, draws: int = 1000, seed: int = 42) -> DataFrame:
+    """Fit and 2.5 and 97.5 percentiles of the predictions of bootstrap draws at each x of a series."""
+    at = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).cast("double").alias("x")).distinct()
+    line = F.col("intercept") + F.col("slope") * F.col("x")
+    drawn = at.join(theil_sen_draws(df, by, x, y, draws, seed), by).groupBy(*by, "x").agg(F.percentile(line, 0.025).alias("low"), F.percentile(line, 0.975).alias("high"))
+    return drawn.join(theil_sen(df, by, x, y), by).select(*by, "x", line.alias("fit"), "low", "high")
+
+
 def window_anomaly(windows: DataFrame, yearly: DataFrame, keys: list[str], value: str, by: list[str]) -> DataFrame:
     """Climate anomaly of each window: mean over cells of (window mean - baseline), in units of the baselines' spread."""
     base = baseline(yearly, keys, value)
@@ -76,20 +89,30 @@ def window_anomaly(windows: DataFrame, yearly: DataFrame, keys: list[str], value
     return both.select(*by, F.try_divide("d", "s").alias("z"))
 
 
+# Rational approximation of the inverse normal distribution (relative error 1.2e-9).
+_CENTRE = ((-3.969683028665376e1, 2.209460984245205e2, -2.759285104469687e2, 1.383577518672690e2, -3.066479806614716e1, 2.506628277459239), (-5.447609879822406e1, 1.615858368580409e2, -1.556989798598866e2, 6.680131188771972e1, -1.328068155288572e1, 1.0))
+_TAIL = ((-7.784894002430293e-3, -3.223964580411365e-1, -2.400758277161838, -2.549732539343734, 4.374664141464968, 2.938163982698783), (7.784695709041462e-3, 3.224671290700398e-1, 2.445134137142996, 3.754408661907416, 1.0))
+_TAIL_BELOW = 0.02425
+
+
 def _normal_quantile(p: np.ndarray) -> np.ndarray:
-    """Inverse of the normal distribution by bisection on erf, to 1e-12."""
-    erf = np.frompyfunc(math.erf, 1, 1)
-    lo, hi = np.full(p.shape, -9.0), np.full(p.shape, 9.0)
-    for _ in range(60):
-        mid = (lo + hi) / 2
-        below = 0.5 * (1 + erf(mid / math.sqrt(2)).astype(float)) < p
-        lo, hi = np.where(below, mid, lo), np.where(below, hi, mid)
-    return (lo + hi) / 2
+    """Inverse of the normal distribution for 0 < p < 1."""
+    q = p - 0.5
+    r = np.sqrt(-2 * np.log(np.minimum(p, 1 - p)))
+    centre = np.polyval(_CENTRE[0], q * q) * q / np.polyval(_CENTRE[1], q * q)
+    tail = np.polyval(_TAIL[0], r) / np.polyval(_TAIL[1], r)
+    return np.where(np.minimum(p, 1 - p) < _TAIL_BELOW, np.where(q < 0, tail, -tail), centre)
+
+
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    """Logarithm of the gamma function for x > 0: Stirling's series at x + 8, brought down by recurrence."""
+    z = x + 8
+    series = 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - 1 / (1680 * z**7)
+    return (z - 0.5) * np.log(z) - z + 0.5 * math.log(2 * math.pi) + series - sum(np.log(x + k) for k in range(8))
 
 
 def _gamma_cdf(x: np.ndarray, shape: np.ndarray) -> np.ndarray:
     """Regularised lower incomplete gamma function by its power series; far in the tail it is 1."""
-    lg = np.frompyfunc(math.lgamma, 1, 1)
     x, term = np.maximum(x, 0), 1 / shape
     total = term.copy()
     for k in range(1, 2000):
@@ -98,7 +121,7 @@ def _gamma_cdf(x: np.ndarray, shape: np.ndarray) -> np.ndarray:
         if (term < 1e-14 * total).all():
             break
     with np.errstate(divide="ignore", over="ignore", invalid="ignore"):
-        out = np.where(x > 0, total * np.exp(-x + shape * np.log(np.where(x > 0, x, 1)) - lg(shape).astype(float)), 0)
+        out = np.where(x > 0, total * np.exp(-x + shape * np.log(np.where(x > 0, x, 1)) - _log_gamma(shape)), 0)
     return np.clip(np.nan_to_num(out, nan=1.0), 0, 1)
 
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from verdancy.session import shared_folder
+
 
 class Queries:
     def __init__(self):
@@ -31,15 +32,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def scratch(spark: SparkSession) -> str:
     """A new folder under the one that spark.checkpoint.dir names."""
-    sc = spark.sparkContext
-    top = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir() or tempfile.mkdtemp(prefix="verdancy-")
-    return f"{top.rstrip('/')}/queries/{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/queries/{uuid.uuid4().hex}"
 
 
 def r6(x: Column | str) -> Column:
     return F.round(F.col(x) if isinstance(x, str) else x, 6)
 
 
+def r6_ties(x: Column | str) -> Column:
+    """As r6, for means of exact decimals: what lies on the edge of the sixth place goes up, whatever the last bit of the sum."""
+    return F.round((F.col(x) if isinstance(x, str) else x) + 1e-10, 6)
+
+
 def obs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pixels are parts on a grid of 50 columns, observed on the days they were shipped."""
     part = F.col("l_partkey")

@@ -51,10 +51,9 @@ def e5_irregular(spark, d):
     return nearest_irregular(obs(spark, d), axis, "value", "pos", "nearest").select("ord", "line", "part", "value", "nearest")
 
 
-@QUERIES("e6_footprint", "SELECT r::INT AS row, c::INT AS col, lr::INT AS lrow, lc::INT AS lcol FROM (SELECT unnest(range(0, 8)) AS r), (SELECT unnest(range(0, 10)) AS c), (SELECT unnest(range(0, 60)) AS lr), (SELECT unnest(range(0, 60)) AS lc), (SELECT count(*) AS n FROM part) WHERE lr BETWEEN floor(r * 4.5) AND floor((r + 1) * 4.5) AND lc BETWEEN floor(c * 4.5) AND floor((c + 1) * 4.5) AND n > 0")
+@QUERIES("e6_footprint", f"WITH {LANDCOVER}, r AS (SELECT row, col, unnest(range(floor(row * 4.5)::BIGINT, floor((row + 1) * 4.5)::BIGINT + 1))::INT AS lrow FROM landcover) SELECT row, col, lrow, unnest(range(floor(col * 4.5)::BIGINT, floor((col + 1) * 4.5)::BIGINT + 1))::INT AS lcol FROM r")
 def e6(spark, d):
-    some = table(spark, d, "part").limit(1).select(F.lit(1).alias("one"))
-    return footprint(scaffold(spark, 8, 10), 4.5).crossJoin(F.broadcast(some)).select("row", "col", "lrow", "lcol")
+    return footprint(landcover(spark, d).select("row", "col"), 4.5)
 
 
 _SPEC = GridSpec(0.0, 2.0, 0.0, 1.0, 20, 25)

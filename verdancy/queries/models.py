@@ -40,7 +40,7 @@ def i3(spark, d):
 @QUERIES("i4_window_models")
 def i4(spark, d):
     y = yearly(spark, d)
-    return window_models(y, ["row", "col"], FEATURES, "value", "year", 1995, 1998, 3, trees=3, depth=3, folds=2)
+    return window_models(y, ["row", "col"], FEATURES, "value", "year", 1995, 2001, 3, trees=3, depth=3, folds=2)
 
 
 @QUERIES("i5_pooled_models")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from verdancy.operators.calendar import seasonal_means
 from verdancy.operators.grid import GridSpec, coarsened, support
 from verdancy.plans.pipelines import add_factors, anomaly_maps, drought_legacy, maps_with_profiles, panel_limit, phenology_stack, pixel_summary, repair_winter, sensitivity_panel, study_area, summarize_cells, tag_regions, trend_anomaly_grid, union_countries, wide_summary
-from verdancy.queries.frames import CONTRIBUTIONS, LANDCOVER, OBS, YEARLY, Queries, contributions, grid_size, landcover, obs, r6, yearly
+from verdancy.queries.frames import CONTRIBUTIONS, LANDCOVER, OBS, YEARLY, Queries, contributions, grid_size, landcover, obs, r6, r6_ties, yearly
 from verdancy.queries.grids import _NEAREST
 from verdancy.queries.summaries import _MASK, _SHARE, mask, season_sql, shares
 from verdancy.queries.windows import WINDOW3, YEARS
@@ -25,17 +25,17 @@ def summary(spark, d):
     return summarize_cells(obs(spark, d), mask(spark, d), "ts", ["value", "tp"], _SEASONS, grid_size(spark, d), (4, 5), more_than=12)
 
 
-@QUERIES("k1_summarize_cells", f"WITH {OBS}, {LANDCOVER}, {_MASK}, {_CELLS} SELECT row, col, season, season_year, round(value, 6) AS value, round(tp, 6) AS tp, round(weights, 6) AS weights FROM summ")
+@QUERIES("k1_summarize_cells", f"WITH {OBS}, {LANDCOVER}, {_MASK}, {_CELLS} SELECT row, col, season, season_year, round(value + 1e-10, 6) AS value, round(tp + 1e-10, 6) AS tp, round(weights, 6) AS weights FROM summ")
 def k1(spark, d):
-    return summary(spark, d).select("row", "col", "season", "season_year", r6("value").alias("value"), r6("tp").alias("tp"), r6("weights").alias("weights"))
+    return summary(spark, d).select("row", "col", "season", "season_year", r6_ties("value").alias("value"), r6_ties("tp").alias("tp"), r6("weights").alias("weights"))
 
 
-_WIDE = ", ".join(f"round(max({v}) FILTER (season = '{s}' AND season_year = {y}), 6) AS {v}_{s}_{y}" for v in ("value", "tp") for s in _SEASONS for y in (1996, 1997))
+_WIDE = ", ".join(f"round(max({v}) FILTER (season = '{s}' AND season_year = {y}), 6) AS {v}_{s}_{y}" for v in ("value", "tp") for s in _SEASONS for y in YEARS)
 
 
 @QUERIES("k1_wide_summary", f"WITH {OBS}, {LANDCOVER}, {_MASK}, {_CELLS} SELECT row, col, round(weights, 6) AS weights, {_WIDE} FROM summ GROUP BY row, col, weights")
 def k1_wide(spark, d):
-    wide = wide_summary(summary(spark, d), [1996, 1997], _SEASONS, ["value", "tp"])
+    wide = wide_summary(summary(spark, d), YEARS, _SEASONS, ["value", "tp"])
     return wide.select("row", "col", *(r6(c).alias(c) for c in wide.columns if c not in ("row", "col")))
 
 

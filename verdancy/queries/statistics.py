@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from verdancy.functions.statistics import t_quantile
 from verdancy.operators.cleaning import median_split, outer_quantiles
-from verdancy.operators.trends import dependence_fit, effect_fit, spei, spei_rank, theil_sen, theil_sen_band, trend, trend_table, trend_with_t
+from verdancy.operators.trends import dependence_fit, effect_fit, spei, spei_rank, theil_sen, theil_sen_band, theil_sen_prediction_band, trend, trend_table, trend_with_t
 from verdancy.queries.frames import CONTRIBUTIONS, OBS, Queries, contributions, obs, r6
 
 QUERIES = Queries()
@@ -88,10 +88,26 @@ def h7(spark, d):
     return theil_sen(series(spark, d), ["row"], "x", "y").select("row", r6("slope").alias("slope"), F.round("intercept", 4).alias("intercept"))
 
 
-@QUERIES("h7_theil_sen_band")
+_DRAWS = """rs AS (SELECT region, year AS x, avg(heat) AS y FROM contrib GROUP BY 1, 2), pts AS (SELECT region, x::DOUBLE AS x, y, row_number() OVER (PARTITION BY region ORDER BY x, y) AS j, count(*) OVER (PARTITION BY region) AS n FROM rs),
+ places AS (SELECT region, n, rep, unnest(range(0, n)) AS i FROM (SELECT DISTINCT region, n FROM pts), (SELECT unnest(range(1, 1001)) AS rep)),
+ picks AS (SELECT region, rep, ('0x' || substr(md5(concat_ws('|', 42, rep, i)), 1, 8))::BIGINT % n + 1 AS j FROM places), drawn AS (SELECT region, rep, x, y FROM picks JOIN pts USING (region, j)),
+ sl AS (SELECT a.region, a.rep, quantile_cont((b.y - a.y) / (b.x - a.x), 0.5) AS slope FROM drawn a JOIN drawn b ON a.region = b.region AND a.rep = b.rep AND b.x > a.x GROUP BY 1, 2),
+ ic AS (SELECT region, rep, slope, quantile_cont(y - slope * x, 0.5) AS intercept FROM drawn JOIN sl USING (region, rep) GROUP BY ALL)"""
+
+
+def regional_series(spark, d):
+    return contributions(spark, d).groupBy("region", F.col("year").alias("x")).agg(F.avg("heat").alias("y"))
+
+
+@QUERIES("h7_theil_sen_band", f"WITH {CONTRIBUTIONS}, {_DRAWS} SELECT region, round(quantile_cont(slope, 0.025), 6) AS low, round(quantile_cont(slope, 0.975), 6) AS high FROM sl GROUP BY 1")
 def h7_band(spark, d):
-    regional_series = contributions(spark, d).groupBy("region", F.col("year").alias("x")).agg(F.avg("heat").alias("y"))
-    return theil_sen_band(regional_series, ["region"], "x", "y", draws=200)
+    return theil_sen_band(regional_series(spark, d), ["region"], "x", "y").select("region", r6("low").alias("low"), r6("high").alias("high"))
+
+
+@QUERIES("h7_prediction_band", f"WITH {CONTRIBUTIONS}, {_DRAWS}, ps AS (SELECT a.region, quantile_cont((b.y - a.y) / (b.x - a.x), 0.5) AS slope FROM pts a JOIN pts b ON a.region = b.region AND b.x > a.x GROUP BY 1), pf AS (SELECT region, slope, quantile_cont(y - slope * x, 0.5) AS intercept FROM pts JOIN ps USING (region) GROUP BY ALL), b AS (SELECT region, x, quantile_cont(intercept + slope * x, 0.025) AS low, quantile_cont(intercept + slope * x, 0.975) AS high FROM ic JOIN pts USING (region) GROUP BY ALL) SELECT region, x, round(intercept + slope * x, 4) AS fit, round(low, 4) AS low, round(high, 4) AS high FROM b JOIN pf USING (region)")
+def h7_prediction_band(spark, d):
+    b = theil_sen_prediction_band(regional_series(spark, d), ["region"], "x", "y")
+    return b.select("region", "x", *(F.round(c, 4).alias(c) for c in ("fit", "low", "high")))
 
 
 @QUERIES("h8_effect_fit", f"WITH {CONTRIBUTIONS}, src AS ({_PANEL}), f AS (SELECT season, {_FIT}, min(x) AS lo, max(x) AS hi FROM src GROUP BY season) SELECT season, k::INT AS k, {_BAND.format(m=79)} FROM f, (SELECT unnest(range(0, 80)) AS k) WHERE n >= 3")

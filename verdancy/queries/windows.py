@@ -8,7 +8,7 @@ from verdancy.operators.calendar import pooled_window, sliding_windows
 from verdancy.operators.reshape import anomaly, first_per_key, grouped_sample, hashed_sample, long_to_wide, sign_runs, tagged_union, wide_to_long, zero_crossings
 from verdancy.operators.grid import coarsened
 from verdancy.operators.trends import window_anomaly
-from verdancy.queries.frames import CONTRIBUTIONS, OBS, YEARLY, Queries, contributions, grid_size, obs, r6, table, yearly
+from verdancy.queries.frames import CONTRIBUTIONS, OBS, YEARLY, Queries, contributions, grid_size, obs, r6, r6_ties, table, yearly
 
 QUERIES = Queries()
 YEARS = list(range(1995, 2002))
@@ -22,10 +22,10 @@ def f1(spark, d):
     return w.select("row", "col", "window_start", "window_end", r6("value").alias("value"), r6("tp").alias("tp"))
 
 
-@QUERIES("f1_sliding_windows_of_5", f"WITH {YEARLY}, {_WINDOWS.format(m=4, e=1998)} SELECT row, col, window_start, window_end::INT AS window_end, round(value, 6) AS value, round(tp, 6) AS tp FROM w")
+@QUERIES("f1_sliding_windows_of_5", f"WITH {YEARLY}, {_WINDOWS.format(m=4, e=1998)} SELECT row, col, window_start, window_end::INT AS window_end, round(value + 1e-10, 6) AS value, round(tp + 1e-10, 6) AS tp FROM w")
 def f1_five(spark, d):
     w = sliding_windows(yearly(spark, d), ["row", "col"], "year", ["value", "tp"], 1995, 2001, 5)
-    return w.select("row", "col", "window_start", "window_end", r6("value").alias("value"), r6("tp").alias("tp"))
+    return w.select("row", "col", "window_start", "window_end", r6_ties("value").alias("value"), r6_ties("tp").alias("tp"))
 
 
 @QUERIES("f2_pooled_windows", f"WITH {OBS} SELECT least((year - 1995) // 3, 1)::INT AS win, count(*)::BIGINT AS n, round(avg(value), 6) AS value FROM obs WHERE year < 2001 GROUP BY 1")
@@ -81,10 +81,10 @@ def f9(spark, d):
     return long.groupBy("season").agg(F.count("v").alias("n"), r6(F.avg("v")).alias("mean"))
 
 
-@QUERIES("f10_wide_to_long", f"WITH {YEARLY} SELECT c.row, c.col, y::INT AS year, round(value, 6) AS value, round(tp, 6) AS tp FROM (SELECT DISTINCT row, col FROM yearly) c CROSS JOIN (SELECT unnest(range(1996, 2001)) AS y) LEFT JOIN yearly ON yearly.row = c.row AND yearly.col = c.col AND year = y")
+@QUERIES("f10_wide_to_long", f"WITH {YEARLY} SELECT c.row, c.col, y::INT AS year, round(value, 6) AS value, round(tp, 6) AS tp FROM (SELECT DISTINCT row, col FROM yearly) c CROSS JOIN (SELECT unnest(range(1995, 2002)) AS y) LEFT JOIN yearly ON yearly.row = c.row AND yearly.col = c.col AND year = y")
 def f10(spark, d):
     wide = long_to_wide(yearly(spark, d), ["row", "col"], "year", YEARS, ["value", "tp"])
-    return wide_to_long(wide, ["row", "col"], years=range(1996, 2001)).select("row", "col", "year", r6("value").alias("value"), r6("tp").alias("tp"))
+    return wide_to_long(wide, ["row", "col"], years=YEARS).select("row", "col", "year", r6("value").alias("value"), r6("tp").alias("tp"))
 
 
 @QUERIES("f11_long_to_wide", f"WITH {YEARLY} SELECT row, col, " + ", ".join(f"round(max(value) FILTER (year = {y}), 6) AS value_{y}" for y in YEARS) + " FROM yearly GROUP BY 1, 2")
@@ -128,14 +128,17 @@ def g6(spark, d):
     return names.orderBy(F.regexp_extract("name", r"(\d{4})", 1).cast("int"))
 
 
-@QUERIES("g7_hashed_sample")
+@QUERIES("g7_hashed_sample", f"WITH {OBS} SELECT ord, line, part, value FROM obs ORDER BY md5(concat_ws('|', ord, line, part, 42)), ord, line, part LIMIT 10000")
 def g7(spark, d):
     return hashed_sample(obs(spark, d).select("ord", "line", "part", "value"), ["ord", "line", "part"], 10_000)
 
 
-@QUERIES("g8_grouped_sample")
+_RANKED = "r AS (SELECT country, ord, line, heat, row_number() OVER (PARTITION BY country ORDER BY md5(concat_ws('|', ord, line, 42)), ord, line) AS k, count(*) OVER (PARTITION BY country) AS n FROM contrib)"
+
+
+@QUERIES("g8_grouped_sample", f"WITH {CONTRIBUTIONS}, {_RANKED} SELECT country, ord, line, round(heat, 6) AS heat FROM r WHERE k <= least(n, greatest(50, floor(n * 0.07)))")
 def g8(spark, d):
-    return grouped_sample(contributions(spark, d).select("country", "ord", "line", "heat"), ["country"], ["ord", "line"])
+    return grouped_sample(contributions(spark, d).select("country", "ord", "line", r6("heat").alias("heat")), ["country"], ["ord", "line"])
 
 
 @QUERIES("g9_country_split", f"WITH {CONTRIBUTIONS} SELECT country = 'NATION_3' AS held_out, count(*)::BIGINT AS n FROM contrib GROUP BY 1")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(name: str = "verdancy", **config: str) -> SparkSession:
@@ -11,3 +14,21 @@ def session(name: str = "verdancy", **config: str) -> SparkSession:
     for key, value in config.items():
         builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir as the session has it. Where it is unset: a temporary folder if driver and executors are one process, else one in the warehouse, which executors share."""
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not named:
+        alone = sc.master == "local" or sc.master.startswith("local[")
+        named = tempfile.mkdtemp(prefix="verdancy-") if alone else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_verdancy"
+        sc.setCheckpointDir(named)
+    return named.rstrip("/")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df written once to the shared folder and read back: what is used several times neither fills memory nor is lost with an executor."""
+    path = f"{shared_folder(df.sparkSession)}/written/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
