@@ -30,13 +30,13 @@ def k1(spark, d):
     return summary(spark, d).select("row", "col", "season", "season_year", r6_ties("value").alias("value"), r6_ties("tp").alias("tp"), r6("weights").alias("weights"))
 
 
-_WIDE = ", ".join(f"round(max({v}) FILTER (season = '{s}' AND season_year = {y}), 6) AS {v}_{s}_{y}" for v in ("value", "tp") for s in _SEASONS for y in YEARS)
+_WIDE = ", ".join(f"round(max({v}) FILTER (season = '{s}' AND season_year = {y}) + 1e-10, 6) AS {v}_{s}_{y}" for v in ("value", "tp") for s in _SEASONS for y in YEARS)
 
 
 @QUERIES("k1_wide_summary", f"WITH {OBS}, {LANDCOVER}, {_MASK}, {_CELLS} SELECT row, col, round(weights, 6) AS weights, {_WIDE} FROM summ GROUP BY row, col, weights")
 def k1_wide(spark, d):
     wide = wide_summary(summary(spark, d), YEARS, _SEASONS, ["value", "tp"])
-    return wide.select("row", "col", *(r6(c).alias(c) for c in wide.columns if c not in ("row", "col")))
+    return wide.select("row", "col", *((r6 if c == "weights" else r6_ties)(c).alias(c) for c in wide.columns if c not in ("row", "col")))
 
 
 @QUERIES("k2_add_factors", f"WITH {YEARLY}, {LANDCOVER}, f AS (SELECT row, col, avg(tm) AS tm FROM yearly GROUP BY 1, 2) SELECT l.row, l.col, elev, round(tm, 6) AS tm FROM landcover l LEFT JOIN f USING (row, col)")
