@@ -8,7 +8,7 @@ from verdancy.functions.scalars import vapour_pressure_deficit
 from verdancy.operators.cleaning import complete_stations
 from verdancy.operators.grid import GridSpec, block_of, category_at, footprint, forest_mask, mosaic, nearest_irregular, nearest_lookup, nearest_valid, rectangles, scaffold
 from verdancy.operators.reshape import update_join
-from verdancy.queries.frames import LANDCOVER, OBS, REGIONAL, Queries, landcover, obs, r6, regional, table
+from verdancy.queries.frames import LANDCOVER, OBS, REGIONAL, Queries, grid_size, landcover, obs, r6, regional, table
 from verdancy.queries.summaries import _SHARE, shares
 
 QUERIES = Queries()
@@ -56,13 +56,14 @@ def e6(spark, d):
     return footprint(landcover(spark, d).select("row", "col"), 4.5)
 
 
-_SPEC = GridSpec(0.0, 2.0, 0.0, 1.0, 20, 25)
+def spec(spark, d):
+    return GridSpec(0.0, 2.0, 0.0, 1.0, grid_size(spark, d)[0], 25)
 
 
-@QUERIES("e7_category_at", f"WITH {OBS}, {LANDCOVER}, p AS (SELECT ord, line, part, floor(value / 2)::INT AS col, floor(row)::INT AS row FROM obs) SELECT ord, line, part, region_id FROM p LEFT JOIN landcover l ON p.row = l.row AND p.col = l.col AND p.row < 20 AND p.col < 25")
+@QUERIES("e7_category_at", f"WITH {OBS}, {LANDCOVER}, p AS (SELECT ord, line, part, floor(value / 2)::INT AS col, floor(row)::INT AS row FROM obs) SELECT ord, line, part, region_id FROM p LEFT JOIN landcover l ON p.row = l.row AND p.col = l.col AND p.col < 25")
 def e7(spark, d):
     points = obs(spark, d).select("ord", "line", "part", F.col("value").alias("x"), F.col("row").cast("double").alias("y"))
-    return category_at(points, landcover(spark, d), _SPEC, "x", "y", "region_id").select("ord", "line", "part", "region_id")
+    return category_at(points, landcover(spark, d), spec(spark, d), "x", "y", "region_id").select("ord", "line", "part", "region_id")
 
 
 _NEAREST = "nv AS (SELECT a.row, a.col, arg_min(b.region_id, {'d': (a.row - b.row) ** 2 + (a.col - b.col) ** 2, 'r': b.row, 'c': b.col}) AS region_id FROM landcover a JOIN landcover b ON b.region_id <> 15 AND abs(a.row - b.row) <= 8 AND abs(a.col - b.col) <= 8 WHERE a.region_id = 15 GROUP BY 1, 2)"

@@ -16,8 +16,8 @@ QUERIES = Queries()
 _SEASONS = ["spring", "winter"]
 _CELLS = f"""{season_sql(_SEASONS)}, kept AS (SELECT * FROM obs SEMI JOIN (SELECT * FROM mask WHERE keep = 1) USING (row, col)),
  seas AS (SELECT row, col, season, (year + shift)::INT AS season_year, avg(value) AS value, avg(tp) AS tp FROM kept JOIN cal ON month * 100 + day(ts) BETWEEN a AND b GROUP BY ALL),
- sup AS (SELECT row // 4 AS row, col // 5 AS col, sum(keep) AS n FROM mask WHERE row < 40 GROUP BY 1, 2),
- cells AS (SELECT (seas.row // 4)::INT AS row, (seas.col // 5)::INT AS col, season, season_year, avg(value) AS value, avg(tp) AS tp FROM seas WHERE seas.row < 40 GROUP BY ALL),
+ sup AS (SELECT row // 4 AS row, col // 5 AS col, sum(keep) AS n FROM mask WHERE row < (SELECT greatest(42, max(p_partkey) // 50 + 1) // 4 * 4 FROM part) GROUP BY 1, 2),
+ cells AS (SELECT (seas.row // 4)::INT AS row, (seas.col // 5)::INT AS col, season, season_year, avg(value) AS value, avg(tp) AS tp FROM seas WHERE seas.row < (SELECT greatest(42, max(p_partkey) // 50 + 1) // 4 * 4 FROM part) GROUP BY ALL),
  summ AS (SELECT c.*, n / 20 AS weights FROM cells c JOIN sup s ON c.row = s.row AND c.col = s.col WHERE n > 12)"""
 
 
@@ -60,17 +60,17 @@ def k4(spark, d):
     return pixel_summary(shares(spark, d), seasonal, YEARS, ["value"])
 
 
-@QUERIES("k5_resummary", f"WITH {YEARLY}, {LANDCOVER}, {_MASK}, s AS (SELECT row // 8 AS row, col // 10 AS col, sum(keep) AS n FROM mask WHERE row < 40 GROUP BY 1, 2), c AS (SELECT row // 8 AS row, col // 10 AS col, year, avg(value) AS value FROM yearly WHERE row < 40 GROUP BY ALL) SELECT c.row::INT AS row, c.col::INT AS col, year, round(value, 6) AS value FROM c JOIN s ON s.row = c.row AND s.col = c.col WHERE n > 51")
+@QUERIES("k5_resummary", f"WITH {YEARLY}, {LANDCOVER}, {_MASK}, s AS (SELECT row // 8 AS row, col // 10 AS col, sum(keep) AS n FROM mask WHERE row < (SELECT greatest(42, max(p_partkey) // 50 + 1) // 8 * 8 FROM part) GROUP BY 1, 2), c AS (SELECT row // 8 AS row, col // 10 AS col, year, avg(value) AS value FROM yearly WHERE row < (SELECT greatest(42, max(p_partkey) // 50 + 1) // 8 * 8 FROM part) GROUP BY ALL) SELECT c.row::INT AS row, c.col::INT AS col, year, round(value, 6) AS value FROM c JOIN s ON s.row = c.row AND s.col = c.col WHERE n > 51")
 def k5(spark, d):
     cells = coarsened(yearly(spark, d), ["year"], ["value"], 8, 10, *grid_size(spark, d))
     kept = support(mask(spark, d), [], "keep", 8, 10, *grid_size(spark, d), more_than=51)
     return cells.join(kept.select("row", "col"), ["row", "col"]).select("row", "col", "year", r6("value").alias("value"))
 
 
-@QUERIES("k6_tag_regions", f"WITH {OBS}, {LANDCOVER}, {_NEAREST}, g AS (SELECT row, col, region_id FROM landcover WHERE region_id <> 15 UNION ALL SELECT l.row, l.col, nv.region_id FROM landcover l LEFT JOIN nv USING (row, col) WHERE l.region_id = 15) SELECT o.ord, o.line, o.part, g.region_id FROM obs o LEFT JOIN g ON g.row = o.row AND g.col = o.value::INT // 2 AND g.row < 20 AND g.col < 25")
+@QUERIES("k6_tag_regions", f"WITH {OBS}, {LANDCOVER}, {_NEAREST}, g AS (SELECT row, col, region_id FROM landcover WHERE region_id <> 15 UNION ALL SELECT l.row, l.col, nv.region_id FROM landcover l LEFT JOIN nv USING (row, col) WHERE l.region_id = 15) SELECT o.ord, o.line, o.part, g.region_id FROM obs o LEFT JOIN g ON g.row = o.row AND g.col = o.value::INT // 2 AND g.col < 25")
 def k6(spark, d):
     points = obs(spark, d).select("ord", "line", "part", F.col("value").alias("x"), F.col("row").cast("double").alias("y"))
-    return tag_regions(points, landcover(spark, d), GridSpec(0.0, 2.0, 0.0, 1.0, 20, 25), "x", "y").select("ord", "line", "part", "region_id")
+    return tag_regions(points, landcover(spark, d), GridSpec(0.0, 2.0, 0.0, 1.0, grid_size(spark, d)[0], 25), "x", "y").select("ord", "line", "part", "region_id")
 
 
 @QUERIES("k7_union_countries", f"WITH {YEARLY} SELECT CASE WHEN col < 25 THEN 'west' ELSE 'east' END AS country, row, col, year, round(value, 6) AS value FROM yearly")
@@ -79,7 +79,7 @@ def k7(spark, d):
     return union_countries({"west": y.where("col < 25"), "east": y.where("col >= 25")})
 
 
-@QUERIES("k8_anomaly_maps", f"WITH {YEARLY}, a AS (SELECT row, col, year, tp - avg(tp) OVER (PARTITION BY row, col) AS x FROM yearly) SELECT year, (row // 2)::INT AS row, (col // 5)::INT AS col, round(avg(x), 6) AS anomaly FROM a WHERE row < 42 GROUP BY ALL")
+@QUERIES("k8_anomaly_maps", f"WITH {YEARLY}, a AS (SELECT row, col, year, tp - avg(tp) OVER (PARTITION BY row, col) AS x FROM yearly) SELECT year, (row // 2)::INT AS row, (col // 5)::INT AS col, round(avg(x), 6) AS anomaly FROM a WHERE row < (SELECT greatest(42, max(p_partkey) // 50 + 1) // 2 * 2 FROM part) GROUP BY ALL")
 def k8(spark, d):
     return anomaly_maps(yearly(spark, d), ["row", "col"], "tp", grid_size(spark, d), (2, 5)).withColumn("anomaly", r6("anomaly"))
 
@@ -136,7 +136,7 @@ def k12(spark, d):
     return drought_legacy(c, "year", "drought", "spring", ["summer", "heat"]).select("year", "drought", r6("mean").alias("mean"), r6("sem").alias("sem"))
 
 
-@QUERIES("k13_study_area", f"WITH {YEARLY}, {LANDCOVER}, {_MASK}, s AS (SELECT row // 4 AS row, col // 5 AS col, sum(keep) AS n FROM mask WHERE row < 40 GROUP BY 1, 2), q AS (SELECT quantile_cont(n, 0.25) AS q FROM s WHERE n > 0), c AS (SELECT row // 4 AS row, col // 5 AS col, avg(value) AS v FROM yearly WHERE row < 40 AND year = 1998 GROUP BY 1, 2) SELECT s.row::INT AS row, s.col::INT AS col, round(coalesce(CASE WHEN n > q THEN v END, -9999.0), 6) AS value FROM s CROSS JOIN q LEFT JOIN c ON c.row = s.row AND c.col = s.col")
+@QUERIES("k13_study_area", f"WITH {YEARLY}, {LANDCOVER}, {_MASK}, s AS (SELECT row // 4 AS row, col // 5 AS col, sum(keep) AS n FROM mask WHERE row < (SELECT greatest(42, max(p_partkey) // 50 + 1) // 4 * 4 FROM part) GROUP BY 1, 2), q AS (SELECT quantile_cont(n, 0.25) AS q FROM s WHERE n > 0), c AS (SELECT row // 4 AS row, col // 5 AS col, avg(value) AS v FROM yearly WHERE row < (SELECT greatest(42, max(p_partkey) // 50 + 1) // 4 * 4 FROM part) AND year = 1998 GROUP BY 1, 2) SELECT s.row::INT AS row, s.col::INT AS col, round(coalesce(CASE WHEN n > q THEN v END, -9999.0), 6) AS value FROM s CROSS JOIN q LEFT JOIN c ON c.row = s.row AND c.col = s.col")
 def k13(spark, d):
     cells = coarsened(yearly(spark, d), ["year"], ["value"], 4, 5, *grid_size(spark, d)).withColumnRenamed("year", "season_year")
     counts = support(mask(spark, d), [], "keep", 4, 5, *grid_size(spark, d), more_than=-1)

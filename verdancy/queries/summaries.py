@@ -73,7 +73,7 @@ def d8(spark, d):
     return baseline(yearly(spark, d), ["row", "col"], "value").withColumn("baseline", r6("baseline"))
 
 
-_SHARE = """fp AS (SELECT r.row, c.col, l.cls FROM (SELECT unnest(range(0, 8)) AS row) r, (SELECT unnest(range(0, 10)) AS col) c JOIN landcover l
+_SHARE = """fp AS (SELECT r.row, c.col, l.cls FROM (SELECT unnest(range(0, (SELECT floor(greatest(42, max(p_partkey) // 50 + 1) / 4.5)::BIGINT FROM part))) AS row) r, (SELECT unnest(range(0, 11)) AS col) c JOIN landcover l
   ON l.row BETWEEN floor(r.row * 4.5) AND floor((r.row + 1) * 4.5) AND l.col BETWEEN floor(c.col * 4.5) AND floor((c.col + 1) * 4.5)),
 counts AS (SELECT row, col, cls, count(*) AS n FROM fp GROUP BY ALL),
 shares AS (SELECT row::INT AS row, col::INT AS col, sum(CASE WHEN cls IN (23, 24, 25) THEN n ELSE 0 END)::BIGINT AS wanted, sum(n)::BIGINT AS total, arg_max(cls, {'n': n, 'c': -cls}) AS dominant FROM counts GROUP BY ALL)"""
@@ -81,7 +81,7 @@ shares AS (SELECT row::INT AS row, col::INT AS col, sum(CASE WHEN cls IN (23, 24
 
 def shares(spark, d):
     fine = landcover(spark, d).select(F.col("row").alias("lrow"), F.col("col").alias("lcol"), "cls")
-    return class_share(fine, scaffold(spark, 8, 10), 4.5, [23, 24, 25])
+    return class_share(fine, scaffold(spark, int(grid_size(spark, d)[0] / 4.5), 11), 4.5, [23, 24, 25])
 
 
 @QUERIES("d9_class_share", f"WITH {LANDCOVER}, {_SHARE} SELECT * FROM shares")
@@ -89,7 +89,7 @@ def d9(spark, d):
     return shares(spark, d)
 
 
-@QUERIES("d10_coarsened_mean", f"WITH {YEARLY} SELECT year, (row // 4)::INT AS row, (col // 6)::INT AS col, round(avg(value), 6) AS value FROM yearly WHERE row < 40 AND col < 48 GROUP BY ALL")
+@QUERIES("d10_coarsened_mean", f"WITH {YEARLY} SELECT year, (row // 4)::INT AS row, (col // 6)::INT AS col, round(avg(value), 6) AS value FROM yearly WHERE row < (SELECT greatest(42, max(p_partkey) // 50 + 1) // 4 * 4 FROM part) AND col < 48 GROUP BY ALL")
 def d10(spark, d):
     return coarsened(yearly(spark, d), ["year"], ["value"], 4, 6, *grid_size(spark, d)).withColumn("value", r6("value"))
 
@@ -101,17 +101,17 @@ def mask(spark, d):
     return landcover(spark, d).select("row", "col", (F.col("cls") > 9).cast("int").alias("keep"))
 
 
-@QUERIES("d11_coarsened_sum", f"WITH {LANDCOVER}, {_MASK} SELECT (row // 4)::INT AS row, (col // 5)::INT AS col, sum(keep)::BIGINT AS n, round(sum(keep) / 20, 6) AS weights FROM mask WHERE row < 40 GROUP BY 1, 2")
+@QUERIES("d11_coarsened_sum", f"WITH {LANDCOVER}, {_MASK} SELECT (row // 4)::INT AS row, (col // 5)::INT AS col, sum(keep)::BIGINT AS n, round(sum(keep) / 20, 6) AS weights FROM mask WHERE row < (SELECT greatest(42, max(p_partkey) // 50 + 1) // 4 * 4 FROM part) GROUP BY 1, 2")
 def d11(spark, d):
     return coarsened(mask(spark, d), [], ["keep"], 4, 5, *grid_size(spark, d), "sum").select("row", "col", F.col("keep").alias("n"), r6(F.col("keep") / 20).alias("weights"))
 
 
-@QUERIES("d12_support", f"WITH {LANDCOVER}, {_MASK} SELECT (row // 4)::INT AS row, (col // 5)::INT AS col, sum(keep)::BIGINT AS n, round(sum(keep) / 20, 6) AS weights FROM mask WHERE row < 40 GROUP BY 1, 2 HAVING sum(keep) > 12")
+@QUERIES("d12_support", f"WITH {LANDCOVER}, {_MASK} SELECT (row // 4)::INT AS row, (col // 5)::INT AS col, sum(keep)::BIGINT AS n, round(sum(keep) / 20, 6) AS weights FROM mask WHERE row < (SELECT greatest(42, max(p_partkey) // 50 + 1) // 4 * 4 FROM part) GROUP BY 1, 2 HAVING sum(keep) > 12")
 def d12(spark, d):
     return support(mask(spark, d), [], "keep", 4, 5, *grid_size(spark, d), more_than=12).withColumn("weights", r6("weights"))
 
 
-@QUERIES("d12_support_quantile", f"WITH {LANDCOVER}, {_MASK}, s AS (SELECT row // 4 AS row, col // 5 AS col, sum(keep) AS n FROM mask WHERE row < 40 GROUP BY 1, 2), q AS (SELECT quantile_cont(n, 0.25) AS q FROM s WHERE n > 0) SELECT row::INT AS row, col::INT AS col, n::BIGINT AS n FROM s, q WHERE n > q")
+@QUERIES("d12_support_quantile", f"WITH {LANDCOVER}, {_MASK}, s AS (SELECT row // 4 AS row, col // 5 AS col, sum(keep) AS n FROM mask WHERE row < (SELECT greatest(42, max(p_partkey) // 50 + 1) // 4 * 4 FROM part) GROUP BY 1, 2), q AS (SELECT quantile_cont(n, 0.25) AS q FROM s WHERE n > 0) SELECT row::INT AS row, col::INT AS col, n::BIGINT AS n FROM s, q WHERE n > q")
 def d12_quantile(spark, d):
     n = support(mask(spark, d), [], "keep", 4, 5, *grid_size(spark, d), more_than=-1)
     q = n.where("n > 0").agg(F.percentile("n", 0.25).alias("q"))
@@ -199,7 +199,7 @@ def d26(spark, d):
     return thornthwaite_pet(m, ["row"], "year", "t").select("row", "year", "month", F.round("pet", 4).alias("pet"))
 
 
-@QUERIES("d27_valid_cells", f"WITH {LANDCOVER}, {_MASK}, s AS (SELECT row // 4 AS row, col // 5 AS col, sum(keep) AS n FROM mask WHERE row < 40 GROUP BY 1, 2) SELECT r::INT AS row, c::INT AS col, (coalesce(n, 0) > 12)::INT AS valid, coalesce(n, 0)::BIGINT AS n FROM (SELECT unnest(range(0, 10)) AS r) CROSS JOIN (SELECT unnest(range(0, 10)) AS c) LEFT JOIN s ON row = r AND col = c")
+@QUERIES("d27_valid_cells", f"WITH {LANDCOVER}, {_MASK}, s AS (SELECT row // 4 AS row, col // 5 AS col, sum(keep) AS n FROM mask WHERE row < (SELECT greatest(42, max(p_partkey) // 50 + 1) // 4 * 4 FROM part) GROUP BY 1, 2) SELECT r::INT AS row, c::INT AS col, (coalesce(n, 0) > 12)::INT AS valid, coalesce(n, 0)::BIGINT AS n FROM (SELECT unnest(range(0, 10)) AS r) CROSS JOIN (SELECT unnest(range(0, 10)) AS c) LEFT JOIN s ON row = r AND col = c")
 def d27(spark, d):
     n = support(mask(spark, d), [], "keep", 4, 5, *grid_size(spark, d), more_than=-1)
     full = scaffold(spark, grid_size(spark, d)[0] // 4, 10).join(n, ["row", "col"], "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
