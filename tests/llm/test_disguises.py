@@ -1,24 +1,62 @@
 """Disguises at a word's end, by several means at once, and spelt apart with signs."""
 
+import math
+
 import pytest
 
-from verdancy.llm.toxicity import CharModel, Reader, _char_counts
+from verdancy.llm.toxicity import DROPPED, LEET, SUBSTITUTED, CharModel, Reader, _char_counts, restored
 
 
 @pytest.fixture(scope="module")
 def reader(spark):
-    text = "the idiot is a loser and an asshole full of shit , ass in 1995 or 455 to 2001 , 300 of 1234 rivers " * 50
+    text = "the idiot is a loser and an asshole full of shit , ass , cuss the stupid dunce in 1995 or 455 to 2001 , 300 of 1234 rivers " * 50
     return Reader(CharModel(_char_counts(spark.createDataFrame([(text,), (None,)], "text string"))))
 
 
 @pytest.mark.parametrize(
     ("text", "word"),
-    [("1d107", "idiot"), ("idi07", "idiot"), ("a55", "ass"), ("shi7", "shit"), ("@$$hole", "asshole"), ("i d 1 o t", "idiot"), ("i.d.1.o.t", "idiot"), ("l  o  s  e  r", "loser"), ("i. d. i. o. t", "idiot"), ("l0000ser", "loser"), ("1diooooot", "idiot"), ("an a$$", "ass"), ("loser$$$", "loser")],
+    [("1d107", "idiot"), ("idi07", "idiot"), ("a55", "ass"), ("shi7", "shit"), ("@$$hole", "asshole"), ("i d 1 o t", "idiot"), ("i.d.1.o.t", "idiot"), ("l  o  s  e  r", "loser"), ("i. d. i. o. t", "idiot"), ("l0000ser", "loser"), ("1diooooot", "idiot"), ("an a$$", "ass"), ("loser$$$", "loser")]
+    + [(x, "idiot") for x in ("idi0+", "1.d.i.o.t", "i.d.1.0.t", "iddiioott", "idioot", "id-iot", "1dd1o.t")]
+    + [(x, "loser") for x in ("lo-ser", "l0o0s3r", "looos3r", "lo.s3r", "l o o s e r")]
+    + [("cu$$", "cuss"), ("dunc3", "dunce"), ("stup1ddd", "stupid"), ("$tuppid", "stupid")],
 )
 def test_read(reader, text, word):
     assert word in reader(text)
 
 
+def best_by_enumeration(span, lm):
+    """The least cost over all readings of a span, each character's choices tried one by one."""
+    found = {}
+
+    def go(k, said, cost):
+        if k == len(span):
+            state = ("^^" + said)[-2:]
+            found[said] = min(found.get(said, math.inf), cost - lm(state, "$"))
+            return
+        c, last = span[k], ("^^" + said)[-2:]
+        if c in " .-":
+            return go(k + 1, said, cost)
+        for x in LEET.get(c, ""):
+            go(k + 1, said + x, cost + SUBSTITUTED - lm(last, x))
+            if last[1] == x:
+                go(k + 1, said, cost + SUBSTITUTED + DROPPED)
+        if c.isalnum():
+            go(k + 1, said + c, cost - lm(last, c))
+            if last[1] == c:
+                go(k + 1, said, cost + DROPPED)
+        else:
+            go(k + 1, said, cost + 2 * SUBSTITUTED)
+
+    go(0, "", 0.0)
+    return found
+
+
+@pytest.mark.parametrize("span", ["1d10t", "l00$er", "a55h0le", "s.h.1.7", "i d d 1 o", "$$!", "iddiioott", "l0o0s3r", "300", "|0$3r!"])
+def test_viterbi_equals_enumeration(reader, span):
+    costs = best_by_enumeration(span, reader.lm)
+    assert costs[restored(span, reader.lm)] == pytest.approx(min(costs.values()))
+
+
 def test_plain_text_stays(reader):
     assert reader("in 1995 or 2001") == {"in", "or"}
     assert reader("the river!") == {"the", "river"}

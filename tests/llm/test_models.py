@@ -97,7 +97,7 @@ def test_network_gradient_and_normalisation():
     assert net.log_probabilities(target, around).mean() > before + 3
 
 
-def test_pseudo_likelihoods_equal_a_plain_sum(spark):
+def test_pseudo_likelihoods_of_edges(spark):
     rows, _ = corpus(60)
     got = pseudo_likelihoods(spark.createDataFrame(rows + EDGES, DOCS).repartition(3)).collect()
     assert len(got) == len(rows) + len(EDGES)

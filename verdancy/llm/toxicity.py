@@ -1,7 +1,7 @@
 """Toxicity by noisy-channel deobfuscation.
 
-Spans that hold a sign, a digit or a letter drawn out, or single characters in a row, become lattices of what their
-characters may stand for: substituted, separated, repeated or unchanged. A Viterbi search under a character trigram
+Spans that hold a sign, a digit or a letter twice in a row, single characters in a row, or short pieces with marks
+between them become lattices of what their characters may stand for: substituted, separated, repeated or unchanged. A Viterbi search under a character trigram
 model of all documents picks the likeliest reading. The restored words' features, chosen on labelled rows, score the document.
 """
 
@@ -23,7 +23,6 @@ from verdancy.llm.storage import dropped, frugal, parts, small_batches, stored
 SAMPLE = 24_000  # bound of the labelled sample
 CACHE_WORDS = 150_000
 COUNTED = 150_000  # features counted at a time
-FEATURES = 5_000  # bound of the features that a model holds
 EVIDENCE = 24.0  # least log-likelihood ratio of a feature
 PREFIXES = (3, 4, 5, 6, 7, 8)
 _NONE: dict[str, float] = {}
@@ -39,11 +38,11 @@ _ONE = rf"(?:{_LETTER}|{_SIGN})"
 _WORDS = re.compile(rf"{_LETTER}+")
 _RUNS = re.compile(rf"{_ONE}+")
 _LEET = re.compile(_SIGN)
-_LONG = re.compile(rf"({_ONE})\1\1")
+_TWICE = re.compile(rf"({_ONE})\1")
 _JOINED = re.compile(rf"(?<!{_ONE}){_ONE}(?:[{re.escape(_SEPARATORS)}]+{_ONE}){{2,}}(?!{_ONE})")
 _APART = re.compile(rf"(?<!\S){_ONE}(?:[{re.escape(_SEPARATORS)}]*\s+[{re.escape(_SEPARATORS)}]*{_ONE}){{2,}}(?!{_ONE})")
+_PIECES = re.compile(rf"{_ONE}+(?:[{re.escape(_SEPARATORS)}]{_ONE}+)+")
 _LEFT_OUT = re.compile(rf"[\s{re.escape(_SEPARATORS)}]")
-_LONG_RUN = re.compile(rf"({_ONE})\1{{2,}}")
 _COUNTED = re.compile(rf"(?:{_LETTER}|[0-9])+")
 COUNTED_WORDS = 150_000  # tokens counted at a time
 PIECE = 200  # longer disguised runs are read in pieces, none is left out
@@ -70,12 +69,11 @@ class CharModel:
 def restored(span: str, lm: CharModel) -> str:
     """The likeliest reading of a span: a Viterbi search whose states are the last two characters read.
 
-    Any character may be substituted, any repetition of three or more shortened, separators and white space are left
-    out; digits may stay as they are.
+    Any character may be substituted, any that reads as the letter before it left out as its repetition; separators and
+    white space are left out; digits may stay as they are.
     """
     beam: dict[str, tuple[float, str]] = {"^^": (0.0, "")}
-    drawn = {i for m in _LONG_RUN.finditer(span) for i in range(m.start() + 1, m.end())}
-    for i, c in enumerate(span):
+    for c in span:
         if _LEFT_OUT.match(c):
             continue  # every path leaves it out
         ways = [(x, SUBSTITUTED) for x in LEET.get(c, "")]
@@ -83,8 +81,6 @@ def restored(span: str, lm: CharModel) -> str:
             ways.append((c, 0.0))
         else:
             ways.append(("", 2 * SUBSTITUTED))
-        if i in drawn:
-            ways.append(("", DROPPED))
         after: dict[str, tuple[float, str]] = {}
         for state, (cost, said) in beam.items():
             for x, price in ways:
@@ -92,6 +88,8 @@ def restored(span: str, lm: CharModel) -> str:
                 total = cost + price - (lm(state, x) if x else 0.0)
                 if to not in after or total < after[to][0]:
                     after[to] = (total, said + x)
+                if x and x == state[1] and (state not in after or cost + price + DROPPED < after[state][0]):
+                    after[state] = (cost + price + DROPPED, said)
         beam = after
     return min(((cost - lm(state, "$"), said) for state, (cost, said) in beam.items()))[1]
 
@@ -113,15 +111,17 @@ class Reader:
     def read(self, token: str) -> tuple[str, ...]:
         """The words of a token that stands between white space."""
         words = _WORDS.findall(token)
-        if len(words) == 1 and len(words[0]) == len(token) and not _LONG.search(token):
+        if len(words) == 1 and len(words[0]) == len(token) and not _TWICE.search(token):
             return (token,)
         for m in _JOINED.finditer(token):
             words += self.restore(m[0])
+        for m in _PIECES.finditer(token):
+            if sum(map(len, words)) > 2 and min(map(len, _RUNS.findall(m[0]))) <= 2:
+                words += self.restore(m[0])
         for run in _RUNS.findall(token):
-            run = run.rstrip("!|+")  # marks at a word's end are punctuation
-            plain = run.rstrip("@$€")  # and these may be
-            for span in (run, plain) if plain != run else (run,):
-                if _LEET.search(span) or _LONG.search(span):
+            run = run.rstrip("!")  # at a word's end this is punctuation, the other signs may be
+            for span in dict.fromkeys((run, run.rstrip("!|+"), run.rstrip("!|+@$€"))):
+                if _LEET.search(span) or _TWICE.search(span):
                     words += self.restore(span)
         return tuple(words)
 
@@ -182,7 +182,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Texts with labels of the rows to learn from: crc32 of the doc_id modulo 5 isn't 0; at most SAMPLE, those that hash lowest."""
     own = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     own = own.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    return docs.select("doc_id", "text").join(F.broadcast(own), "doc_id").select("text", "toxic")
+    rows = docs.select("doc_id", "text").join(F.broadcast(own), "doc_id")
+    return rows.groupBy("doc_id").agg(F.max("text").alias("text"), F.first("toxic").alias("toxic")).select("text", "toxic")  # a repeated doc_id is learnt from once
 
 
 def train(sample: DataFrame, docs: DataFrame) -> dict:
@@ -215,7 +216,7 @@ def train(sample: DataFrame, docs: DataFrame) -> dict:
     share = F.col("a") + F.col("b")
     part = lambda x, n: F.when(x > 0, x * F.log(x / (share * n / (n0 + n1)))).otherwise(0.0)
     evidence = 2 * (part(F.col("a"), n1) + part(F.col("b"), n0))
-    kept = rows.withColumn("g", evidence).where((F.col("g") >= EVIDENCE) & (F.col("a") * n0 > F.col("b") * n1)).orderBy(F.desc("g"), "f").limit(FEATURES).collect()
+    kept = rows.withColumn("g", evidence).where((F.col("g") >= EVIDENCE) & (F.col("a") * n0 > F.col("b") * n1)).orderBy(F.desc("g"), "f").collect()  # as many as a bounded sample gives evidence of
     odds = {r["f"]: math.log((r["a"] + 0.2) / (n1 + 0.4)) - math.log((r["b"] + 0.2) / (n0 + 0.4)) for r in kept}
     model = {"lm": lm, "odds": odds}
     sent = sample.sparkSession.sparkContext.broadcast(model)
