@@ -1,6 +1,9 @@
 """Disguises at a word's end, by several means at once, and spelt apart with signs."""
 
 import math
+import random
+import re
+from collections import Counter
 
 import pytest
 
@@ -60,3 +63,23 @@ def test_viterbi_equals_enumeration(reader, span):
 def test_plain_text_stays(reader):
     assert reader("in 1995 or 2001") == {"in", "or"}
     assert reader("the river!") == {"the", "river"}
+
+
+def test_trigrams_equal_plain_counts(spark):
+    r, texts = random.Random(7), ["", None, "a", "É à1 \U0001f600x", "ab--c\nDE 12", "İı ß"]
+    texts += ["".join(r.choices("abcÄé19 .-_\n", k=r.randrange(0, 80))) for _ in range(300)]
+    expected = Counter()
+    for t in texts:
+        for w in re.findall(r"[^\W_]+", (t or "").lower()):
+            w = f"^^{w}$"
+            expected.update(w[i : i + 3] for i in range(len(w) - 2))
+    assert _char_counts(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)) == expected
+
+
+@pytest.mark.parametrize("span", ["1d10t", "l00$er", "s.h.1.7", "i d d 1 o", "$$!", "iddiioott", "llette", "$$", "!a!1!o"])
+def test_a_span_is_left_out_only_where_no_reading_has_a_head(reader, span):
+    every = {s for s in best_by_enumeration(span, reader.lm)}
+    heads = {s[:3] for s in every if len(s) >= 3}
+    for head in heads:
+        assert Reader(reader.lm, {head}).reaches(span)
+    assert Reader(reader.lm, {"qqq"}).reaches(span) == any(len(s) < 3 for s in every)

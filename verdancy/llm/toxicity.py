@@ -25,6 +25,7 @@ CACHE_WORDS = 150_000
 COUNTED = 150_000  # features counted at a time
 EVIDENCE = 24.0  # least log-likelihood ratio of a feature
 PREFIXES = (3, 4, 5, 6, 7, 8)
+HEAD = 3  # letters by which words without features are told early
 _NONE: dict[str, float] = {}
 SUBSTITUTED = 2.0  # cost of reading a character as another, in nats
 DROPPED = 0.5  # cost of leaving out a repeated letter
@@ -44,7 +45,6 @@ _APART = re.compile(rf"(?<!\S){_ONE}(?:[{re.escape(_SEPARATORS)}]*\s+[{re.escape
 _PIECES = re.compile(rf"{_ONE}+(?:[{re.escape(_SEPARATORS)}]{_ONE}+)+")
 _LEFT_OUT = re.compile(rf"[\s{re.escape(_SEPARATORS)}]")
 _COUNTED = re.compile(rf"(?:{_LETTER}|[0-9])+")
-COUNTED_WORDS = 150_000  # tokens counted at a time
 PIECE = 200  # longer disguised runs are read in pieces, none is left out
 
 
@@ -97,13 +97,36 @@ def restored(span: str, lm: CharModel) -> str:
 class Reader:
     """Distinct restored words of a text, lower-cased. Only disguised spans have lattices of more than one path; plain words read as themselves."""
 
-    def __init__(self, lm: CharModel):
-        self.lm = lm
+    def __init__(self, lm: CharModel, heads: set[str] | None = None):
+        self.lm, self.heads = lm, heads
         self.known: dict[str, tuple[str, ...]] = {}
 
+    def reaches(self, span: str) -> bool:
+        """Whether some path of the span's lattice may begin with one of the wanted heads, or is shorter than these."""
+        begun = {""}
+        for c in span:
+            if _LEFT_OUT.match(c):
+                continue
+            after: set[str] = set()
+            for said in begun:
+                for x in LEET.get(c, "") + (c if c.isalnum() else ""):
+                    after.add(said + x)
+                    if said[-1:] == x:
+                        after.add(said)
+                if not c.isalnum():
+                    after.add(said)
+            if any(len(x) == HEAD and x in self.heads for x in after):
+                return True
+            begun = {x for x in after if len(x) < HEAD}
+            if not begun:
+                return False
+        return True
+
     def restore(self, span: str) -> Iterator[str]:
         for at in range(0, len(span), PIECE):
             piece = span[at : at + PIECE]
+            if self.heads is not None and not self.reaches(piece):
+                continue
             said = restored(piece, self.lm)
             if said and said != piece:
                 yield said
@@ -151,28 +174,47 @@ def features_of(word: str) -> list[str]:
     return [f"{word}$", *(f"{word[:k]}" for k in PREFIXES if len(word) >= k)]
 
 
+class _Grams:
+    """Counts of the character trigrams of runs of letters and digits, marked as ^^run$, by code point."""
+
+    def __init__(self):
+        self.counts: Counter = Counter()
+        self.index = np.zeros(0x110000, np.int64)  # 0: not yet looked at, 1: no letter or digit, else its number
+        self.letters = ["", "", "^", "$"]
+
+    def add(self, texts: list[str | None]) -> None:
+        line = np.frombuffer(" ".join(["", *((x or "").lower() for x in texts), ""]).encode("utf-32-le", "surrogatepass"), "<u4")
+        new = np.unique(line[self.index[line] == 0])
+        for c in map(chr, new.tolist()):
+            known = _COUNTED.fullmatch(c) is not None
+            self.index[ord(c)] = len(self.letters) if known else 1
+            self.letters += [c] if known else []
+        x = self.index[line]
+        here = np.flatnonzero(x > 1)
+        before = np.where(x[here - 1] > 1, x[here - 1], 2)
+        first = np.where((before > 2) & (x[here - 2] > 1), x[here - 2], 2)
+        last = here[x[here + 1] == 1]
+        ends = np.where(x[last - 1] > 1, x[last - 1], 2)
+        size = 1 << 20  # letters have numbers of 20 bits
+        code = np.concatenate([(first * size + before) * size + x[here], (ends * size + x[last]) * size + 3])
+        for v in pa.array(code).value_counts().to_pylist():
+            self.counts[v["values"]] += v["counts"]
+
+    def table(self) -> tuple[list[str], list[int]]:
+        word = lambda c: "".join(self.letters[k] for k in (c >> 40, c >> 20 & 0xFFFFF, c & 0xFFFFF))
+        return [word(c) for c in self.counts], list(self.counts.values())
+
+
 def _char_counts(texts: DataFrame) -> dict[str, int]:
     """Character trigrams of all texts' runs of letters and digits."""
 
     @frugal
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, found = Counter(), Counter()
-
-        def add() -> None:
-            for t, n in tokens.items():
-                for w in _COUNTED.findall(t):
-                    w = f"^^{w}$"
-                    for i in range(len(w) - 2):
-                        found[w[i : i + 3]] += n
-            tokens.clear()
-
+        grams = _Grams()
         for batch in parts(batches):
-            for x in batch.column(0).to_pylist():
-                tokens.update((x or "").lower().split())
-            if len(tokens) > COUNTED_WORDS:
-                add()
-        add()
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["gram", "n"])
+            grams.add(batch.column(0).to_pylist())
+        names, n = grams.table()
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(n, pa.int64())], ["gram", "n"])
 
     rows = texts.select("text").mapInArrow(count, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     return dict(zip(*(c.to_pylist() for c in rows.toArrow().columns), strict=True))
@@ -248,13 +290,15 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 class Judge:
     def __init__(self, model: dict):
-        self.odds, self.fit, self.reader = model["odds"], model.get("fit"), Reader(model["lm"])
-        self.heads = {f[:3] for f in self.odds}  # of words of three letters or more; most words share none
+        self.odds, self.fit = model["odds"], model.get("fit")
+        self.heads = {f[:HEAD] for f in self.odds}  # of words of three letters or more; most words share none
+        self.reader = Reader(model["lm"], self.heads)
         self.known: dict[str, dict[str, float]] = {}
+        self.single: set[str] = set()  # tokens of one character
 
     def _strong(self, words: Iterable[str]) -> dict[str, float]:
         odds, heads = self.odds, self.heads
-        found = {w: max((odds[f] for f in features_of(w) if f in odds), default=0.0) for w in words if len(w) < 3 or w[:3] in heads}
+        found = {w: max((odds[f] for f in features_of(w) if f in odds), default=0.0) for w in words if len(w) < HEAD or w[:HEAD] in heads}
         return {w: x for w, x in found.items() if x}
 
     def evidence(self, text: str | None) -> tuple[float, float, float]:
@@ -265,11 +309,14 @@ class Judge:
             strong = known.get(t)
             if strong is None:
                 strong = self._strong(self.reader.read(t))
+                if len(t.strip(_SEPARATORS)) == 1:
+                    self.single.add(t)
                 if len(known) < CACHE_WORDS:
                     known[t] = strong or _NONE
             if strong:
                 found.update(strong)
-        found.update(self._strong(self.reader.spelt_apart(low, tokens)))
+        if not self.single.isdisjoint(tokens):
+            found.update(self._strong(self.reader.spelt_apart(low, tokens)))
         strong = sorted(found.values(), reverse=True)
         return (strong[0] if strong else 0.0), sum(strong[1:5]), math.log1p(len(strong))
 
