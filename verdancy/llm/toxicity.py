@@ -133,9 +133,10 @@ class Reader:
 
     def read(self, token: str) -> tuple[str, ...]:
         """The words of a token that stands between white space."""
+        plain = token.rstrip(".,;:?!")
+        if plain.isalpha():  # one run of letters
+            return (plain, *self.restore(plain)) if _TWICE.search(plain) else (plain,)
         words = _WORDS.findall(token)
-        if len(words) == 1 and len(words[0]) == len(token) and not _TWICE.search(token):
-            return (token,)
         for m in _JOINED.finditer(token):
             words += self.restore(m[0])
         for m in _PIECES.finditer(token):
