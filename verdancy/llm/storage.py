@@ -5,26 +5,21 @@ from __future__ import annotations
 import ctypes
 import functools
 import gc
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from verdancy.session import shared_folder
+
 
 BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir as the session has it. Where it is unset: a temporary folder if driver and executors are one process (tests), else one in the warehouse, which executors share."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not named:
-        alone = sc.master == "local" or sc.master.startswith("local[")
-        named = tempfile.mkdtemp(prefix="verdancy-") if alone else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_verdancy"
-        sc.setCheckpointDir(named)
-    return named.rstrip("/")
+    """The folder that driver and executors share."""
+    return shared_folder(spark)
 
 
 def stored(df: DataFrame) -> DataFrame:
