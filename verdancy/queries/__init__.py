@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from verdancy.queries import cleaning, expressions, grids, models, pipelines, sources, statistics, streams, summaries, windows
+from verdancy.queries import cleaning, expressions, grids, models, panels, pipelines, sources, statistics, streams, summaries, windows
 
-_PARTS = (sources, cleaning, expressions, summaries, grids, windows, statistics, models, pipelines, streams)
+_PARTS = (sources, cleaning, expressions, summaries, grids, windows, statistics, models, pipelines, panels, streams)
 
 
 def queries() -> dict:
