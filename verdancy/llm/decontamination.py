@@ -111,3 +111,30 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = WINDOW) -> Dat
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents against all benchmark items on windows of ten words."""
     return contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+OP3_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS rid, doc_id::BIGINT AS doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+), items AS (
+  SELECT coalesce(item_id::VARCHAR, '') AS item_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark
+), windows AS (
+  SELECT DISTINCT item_id, least(len(ws), 10) AS n,
+    unnest(list_transform(range(1, greatest(len(ws) - 9, 1) + 1), lambda s: array_to_string(ws[s:s + 9], ' '))) AS words
+  FROM items WHERE len(ws) > 0
+), places AS (
+  SELECT rid, n, unnest(list_transform(range(1, len(ws) - n + 2), lambda s: {'pos': s, 'words': array_to_string(ws[s:s + n - 1], ' ')})) AS place
+  FROM docs JOIN (SELECT DISTINCT n FROM windows) ON len(ws) >= n
+), hits AS (
+  SELECT DISTINCT rid, place.pos AS pos, p.n AS n, item_id FROM places p JOIN windows w ON p.n = w.n AND place.words = w.words
+), covered AS (
+  SELECT rid, count(DISTINCT pos)::BIGINT AS n_hit FROM (SELECT rid, unnest(range(pos, pos + n)) AS pos FROM hits) GROUP BY rid
+), ids AS (
+  SELECT rid, count(*)::BIGINT AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT rid, item_id FROM hits) GROUP BY rid
+)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN covered USING (rid) LEFT JOIN ids USING (rid)
+"""

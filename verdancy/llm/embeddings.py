@@ -274,3 +274,24 @@ def vector_links(vectors: DataFrame, cosine: float = 0.9, vec_id: str = "vec_id"
 def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All vectors of embeddings against each other at a cosine of 0.9."""
     return vector_links(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+OP8_SQL = """
+WITH RECURSIVE vectors AS (
+  SELECT vec_id::BIGINT AS vec_id, embedding::DOUBLE[] AS v FROM embeddings
+), good AS MATERIALIZED (
+  SELECT vec_id, v, len(v) AS n, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS norm FROM vectors
+  WHERE len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM good x JOIN good y ON x.n = y.n AND x.vec_id <> y.vec_id
+  WHERE list_dot_product(x.v, y.v) / (x.norm * y.norm) >= 0.9
+), reach(vec_id, root) AS (
+  SELECT vec_id, vec_id FROM vectors
+  UNION SELECT l.b, r.root FROM reach r JOIN links l ON l.a = r.vec_id
+), smallest AS (
+  SELECT vec_id, min(root) AS component_id FROM reach GROUP BY vec_id
+), counted AS (
+  SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a
+)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM smallest LEFT JOIN counted USING (vec_id)
+"""

@@ -276,3 +276,27 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicates among all documents on 2-word shingles at a similarity of 0.8."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=2)
+
+
+OP1_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id::BIGINT AS doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(ws) < 2 THEN ws ELSE list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) END AS shingles FROM words
+), parts AS (
+  SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM sets
+), pairs AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common, any_value(x.n + y.n) AS total
+  FROM parts x JOIN parts y ON x.shingle = y.shingle AND x.doc_id < y.doc_id AND 100 * least(x.n, y.n) >= 80 * greatest(x.n, y.n)
+  GROUP BY x.doc_id, y.doc_id
+), links AS (
+  SELECT a, b FROM pairs WHERE 100 * common >= 80 * (total - common)
+), reach(doc_id, root) AS (
+  SELECT doc_id, doc_id FROM sets
+  UNION SELECT l.b, r.root FROM reach r JOIN (SELECT a, b FROM links UNION ALL SELECT b, a FROM links) l ON l.a = r.doc_id
+), smallest AS (
+  SELECT doc_id, min(root) AS component_id FROM reach GROUP BY doc_id
+)
+SELECT doc_id, len(shingles)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN smallest USING (doc_id)
+"""

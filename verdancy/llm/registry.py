@@ -7,12 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from verdancy.llm.chat import OP4_SQL, op4_chat_formatting
-from verdancy.llm.decontamination import op3_benchmark_decontamination
-from verdancy.llm.embeddings import op8_embedding_near_dedup
+from verdancy.llm.decontamination import OP3_SQL, op3_benchmark_decontamination
+from verdancy.llm.embeddings import OP8_SQL, op8_embedding_near_dedup
 from verdancy.llm.html import op2_html_extraction
-from verdancy.llm.minhash import op1_minhash_near_dedup
+from verdancy.llm.minhash import OP1_SQL, op1_minhash_near_dedup
 from verdancy.llm.packing import op9_best_fit_packing
-
 from verdancy.llm.pseudo_likelihood import op7_lm_scoring
 from verdancy.llm.quality import op10_quality_classifier
 from verdancy.llm.rollups import op5_token_rollups
@@ -24,4 +23,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_formatting": OP4_SQL}
+    return {"op1_minhash_near_dedup": OP1_SQL, "op3_benchmark_decontamination": OP3_SQL, "op4_chat_formatting": OP4_SQL, "op8_embedding_near_dedup": OP8_SQL}
