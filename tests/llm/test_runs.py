@@ -74,10 +74,10 @@ def test_collapsed_keeps_first_periods():
 
 def test_edge_cases(spark):
     line = "one two three\t"
-    rows = [(1, None, 7), (2, "", 7), (3, line * 4, 7), (3, line * 4, 7), (None, "a b " * 12, 7), (4, "w " * 11, 7), (5, " ".join(f"u{i}" for i in range(40_000)), 7)]
+    rows = [(1, None, 7), (2, "", 7), (3, line * 4, 7), (3, line * 4, 7), (None, "a\u00a0b " * 12, 7), (4, "w " * 11, 7), (5, " ".join(f"u{i}" for i in range(40_000)), 7)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, runs int")
     got = sorted(((r.doc_id or 0, [tuple(x) for x in r.runs], r.collapsed[:14]) for r in periodic_runs(docs).collect()), key=str)
-    assert got == [(0, [(0, 12, 1)], "a b"), (1, [], ""), (2, [], ""), (3, [(0, 12, 3)], "one two three"), (3, [(0, 12, 3)], "one two three"), (4, [], "w w w w w w w "), (5, [], "u0 u1 u2 u3 u4")]
+    assert got == [(0, [(0, 12, 1)], "a\u00a0b"), (1, [], ""), (2, [], ""), (3, [(0, 12, 3)], "one two three"), (3, [(0, 12, 3)], "one two three"), (4, [], "w w w w w w w "), (5, [], "u0 u1 u2 u3 u4")]
     assert periodic_runs(docs.limit(0)).collect() == []
 
 
