@@ -28,3 +28,15 @@ def with_smallest(rows: DataFrame, key: str, value: str, into: str, n_rows: int,
         least = least.join(more, into, "left")
     dealt = own.select(key, "salt").join(least, key)
     return salted.join(dealt, [key, "salt"], "left").drop("salt")
+
+
+def beside(rows: DataFrame, key: str, spread: str, table: DataFrame, n_rows: int) -> DataFrame:
+    """rows with the columns of `table`, which has one row per key at most, or nulls.
+
+    Rows meet the table by key and salt, the salt a hash of column `spread`; the table's rows are brought to the salts
+    first, so that the rows of a frequent key are many small groups.
+    """
+    salts = max(SALTS, n_rows // SALT_ROWS)
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    dealt = salted.where(F.col(key).isNotNull()).select(key, "salt").distinct().join(table, key)
+    return salted.join(dealt, [key, "salt"], "left").drop("salt")
