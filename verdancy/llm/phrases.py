@@ -342,7 +342,8 @@ def counted(sequences: DataFrame, n: int, bits: int, range_bits: int, gate: tupl
 
 def _gate(phrases: DataFrame) -> tuple[int, object]:
     """The bitmap of the places of phrases: 16 MB at most, whatever their number."""
-    blocks = phrases.groupBy(F.bitmap_bucket_number("print").alias("block")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(print))").alias("bits"))
+    place = F.col("print") + 1  # Spark's bitmaps number from 1
+    blocks = phrases.groupBy(F.bitmap_bucket_number(place).alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
     bitmap = np.zeros((1 << GATE_BITS) // 8, np.uint8)
     for block, bits in blocks.toLocalIterator():  # (1 << GATE_BITS) / 32768 rows of 4096 bytes at most
         at = (block - 1) * 4096
