@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from verdancy.operators.ordered import carried
+from verdancy.session import written
+
+BAND = 1024
+
 
 @dataclass(frozen=True)
 class GridSpec:
@@ -41,10 +48,19 @@ def nearest_lookup(points: DataFrame, grid: DataFrame, x: str, axis: tuple[float
 
 
 def nearest_irregular(points: DataFrame, axis: DataFrame, x: str, at: str, key: str) -> DataFrame:
-    """Nearest value of a short irregular axis for each point: the axis travels as one sorted array."""
-    steps = axis.select(at).distinct().agg(F.sort_array(F.collect_list(at)).alias("_axis"))
-    nearest = F.array_min(F.transform("_axis", lambda a: F.struct(F.abs(a - F.col(x)).alias("d"), (-a).alias("n"))))
-    return points.crossJoin(F.broadcast(steps)).withColumn(key, -nearest["n"]).drop("_axis")
+    """Nearest value of an irregular axis of any length for each point, the larger one half way; null for a null x or an empty axis.
+
+    Distinct values of points and axis are ranged together and written; the last and the next value of the axis are
+    carried along and over the borders of ranges. Points then take the result of their value.
+    """
+    asked = points.select(F.col(x).cast("double").alias("_x")).where(F.col("_x").isNotNull()).distinct()
+    told = axis.select(F.col(at).cast("double").alias("_x")).where(F.col("_x").isNotNull()).distinct()
+    both = asked.withColumn("_own", F.lit(None).cast("double")).unionByName(told.withColumn("_own", F.col("_x")))
+    ranged = written(both.repartitionByRange("_x").withColumn("_part", F.spark_partition_id()))
+    placed = carried(ranged, [], "_x", "_own", F.col("_part")).where("_own is null").select("_x", "before", "after")
+    nearest = F.when(F.col("after") - F.col("_x") <= F.col("_x") - F.col("before"), F.col("after")).otherwise(F.coalesce("before", "after"))
+    found = placed.select("_x", nearest.alias(key))
+    return points.join(found, points[x].cast("double") == found["_x"], "left").drop("_x")
 
 
 def coarsened(df: DataFrame, keys: list[str], values: list[str], fr: int, fc: int, rows: int, cols: int, how: str = "avg") -> DataFrame:
@@ -91,38 +107,66 @@ def category_at(points: DataFrame, grid: DataFrame, spec: GridSpec, x: str, y: s
     return placed.join(grid.select("row", "col", value), ["row", "col"], "left")
 
 
+def _line(row: int, cols: list[int], rows: list[int], asked: list[int]) -> list[int]:
+    """Index of the nearest of a line's candidates, candidate k in column cols[k] (ascending) and row rows[k], for each asked column (ascending) of `row`.
+
+    The lower envelope of the squared distances as parabolas over the columns. Ties go to the smaller row, then column:
+    their order is added to the distances, which are scaled so that it decides between equal ones only.
+    """
+    top, width = min(rows), cols[-1] - cols[0] + 1
+    scale = (max(rows) - top + 1) * width
+    height = [scale * ((r - row) ** 2 + c * c) + (r - top) * width + c - cols[0] for c, r in zip(cols, rows, strict=True)]
+    hull, start = [], []  # candidates on the envelope and the first column where each is the nearest
+    for k, c in enumerate(cols):
+        first = None
+        while hull:
+            before = hull[-1]
+            first = (height[k] - height[before]) // (2 * scale * (c - cols[before])) + 1
+            if first > start[-1]:
+                break
+            hull.pop(), start.pop()
+        hull.append(k)
+        start.append(first if len(hull) > 1 else min(asked[0], cols[0]) - 1)
+    found, at = [], 0
+    for c in asked:
+        while at + 1 < len(hull) and start[at + 1] <= c:
+            at += 1
+        found.append(hull[at])
+    return found
+
+
 def nearest_valid(grid: DataFrame, value: str, invalid: int, radius: int | None = None) -> DataFrame:
-    """Invalid cells take the valid value at the least distance (ties: smaller row, then column).
+    """Invalid cells take the valid value at the least distance (ties: smaller row, then column); beyond a radius, where one is given, they have none.
 
-    Cells look in growing square rings; a ring's find is final once no nearer cell can lie outside the square. Each
-    round joins only the cells that are still open, by exact cell. Rings double until no cell is open or the ring
-    exceeds the grid's extent; a radius, where one is given, ends the search there.
+    An exact distance transform in two scans, whose work follows the number of cells however far the nearest valid cell
+    is. Along the columns, in bands of BAND rows, the nearest valid cell above and below is carried to every row that
+    has invalid cells. Along each of these rows the lower envelope of the columns' distances gives the nearest of all.
     """
-    whole = radius is None
-    if whole:
-        ends = grid.agg(F.max("row") - F.min("row"), F.max("col") - F.min("col")).first()
-        radius = max(1, *(x or 0 for x in ends))
-    valid = grid.where(F.col(value) != invalid).select(F.col("row").alias("vr"), F.col("col").alias("vc"), F.col(value).alias("v"))
+    kind = grid.schema[value].dataType.simpleString()
+    valid = grid.where(F.col(value) != invalid).select("row", "col", F.struct("row", F.col(value).alias("v")).alias("own"))
     missing = grid.where(F.col(value) == invalid).select("row", "col")
-    found = None
-    r = 1
-    while True:
-        span = F.sequence(F.lit(-r), F.lit(r))
-        near = missing.select("row", "col", F.explode(span).alias("dr")).select("*", F.explode(span).alias("dc"))
-        near = near.select("row", "col", (F.col("row") + F.col("dr")).alias("vr"), (F.col("col") + F.col("dc")).alias("vc"), (F.col("dr") * F.col("dr") + F.col("dc") * F.col("dc")).alias("d2"))
-        hit = near.join(valid, ["vr", "vc"]).groupBy("row", "col").agg(F.min(F.struct("d2", "vr", "vc", "v")).alias("m"))
-        sure = hit if r >= radius else hit.where(F.col("m.d2") <= r * r)
-        sure = sure.select("row", "col", F.col("m.v").alias(value))
-        found = sure if found is None else found.unionByName(sure)
-        if r >= radius:
-            break
-        missing = missing.join(sure.select("row", "col"), ["row", "col"], "left_anti")
-        if whole and missing.isEmpty():
-            break
-        r = min(2 * r, radius)
+    ends = valid.agg(F.min("col").alias("a"), F.max("col").alias("b"))  # one row
+    rows = missing.select("row").distinct().crossJoin(F.broadcast(ends)).where("a is not null")
+    asked = rows.select("row", F.explode(F.sequence("a", "b")).alias("col"), F.lit(None).cast(valid.schema["own"].dataType).alias("own"))
+    both = carried(asked.unionByName(valid).withColumn("asked", F.col("own").isNull()), ["col"], "row", "own", F.floor(F.col("row") / BAND)).where("asked")
+    above = F.col("row") - F.col("before.row") <= F.col("after.row") - F.col("row")
+    near = both.select("row", "col", F.when(above, F.col("before")).otherwise(F.coalesce("after", "before")).alias("near")).where("near is not null")
+    lines = near.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("col", "near"))).alias("line"))  # a grid's width at most
+    lines = lines.join(missing.groupBy("row").agg(F.sort_array(F.collect_list("col")).alias("asked")), "row")
+    lines = lines.select("row", "asked", "line.col", "line.near.row", "line.near.v").toDF("row", "asked", "cols", "rows", "values")
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for line in batch.to_pylist():
+                found = _line(line["row"], line["cols"], line["rows"], line["asked"])
+                far = [radius is not None and (line["rows"][k] - line["row"]) ** 2 + (line["cols"][k] - c) ** 2 > radius**2 for k, c in zip(found, line["asked"], strict=True)]
+                took = [None if f else line["values"][k] for k, f in zip(found, far, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([line["row"]] * len(took), batch.schema.field("row").type), pa.array(line["asked"], batch.schema.field("asked").type.value_type), pa.array(took, batch.schema.field("values").type.value_type)], ["row", "col", value])
+
+    index = {c: grid.schema[c].dataType.simpleString() for c in ("row", "col")}
+    found = lines.mapInArrow(scan, f"row {index['row']}, col {index['col']}, `{value}` {kind}")
     kept = grid.where(F.col(value) != invalid).select("row", "col", value)
-    rest = grid.where(F.col(value) == invalid).select("row", "col").join(found, ["row", "col"], "left")
-    return kept.unionByName(rest.select("row", "col", value))
+    return kept.unionByName(missing.join(found, ["row", "col"], "left").select("row", "col", value))
 
 
 def mosaic(tiles: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:

@@ -8,7 +8,7 @@ from verdancy.functions.scalars import vapour_pressure_deficit
 from verdancy.operators.cleaning import complete_stations
 from verdancy.operators.grid import GridSpec, block_of, category_at, footprint, forest_mask, mosaic, nearest_irregular, nearest_lookup, nearest_valid, rectangles, scaffold
 from verdancy.operators.reshape import update_join
-from verdancy.queries.frames import LANDCOVER, OBS, REGIONAL, Queries, grid_size, landcover, obs, r6, regional, table
+from verdancy.queries.frames import LANDCOVER, OBS, REGIONAL, ROWS, Queries, grid_size, landcover, obs, r6, regional, table
 from verdancy.queries.summaries import _SHARE, shares
 
 QUERIES = Queries()
@@ -66,7 +66,7 @@ def e7(spark, d):
     return category_at(points, landcover(spark, d), spec(spark, d), "x", "y", "region_id").select("ord", "line", "part", "region_id")
 
 
-_NEAREST = "nv AS (SELECT a.row, a.col, arg_min(b.region_id, {'d': (a.row - b.row) ** 2 + (a.col - b.col) ** 2, 'r': b.row, 'c': b.col}) AS region_id FROM landcover a JOIN landcover b ON b.region_id <> 15 AND abs(a.row - b.row) <= 8 AND abs(a.col - b.col) <= 8 WHERE a.region_id = 15 GROUP BY 1, 2)"
+_NEAREST = "nv AS (SELECT a.row, a.col, arg_min(b.region_id, {'d': (a.row - b.row) ** 2 + (a.col - b.col) ** 2, 'r': b.row, 'c': b.col}) AS region_id FROM landcover a JOIN landcover b ON b.region_id <> 15 WHERE a.region_id = 15 GROUP BY 1, 2)"
 
 
 @QUERIES("e8_nearest_valid", f"WITH {LANDCOVER}, {_NEAREST} SELECT row, col, region_id FROM landcover WHERE region_id <> 15 UNION ALL SELECT l.row, l.col, nv.region_id FROM landcover l LEFT JOIN nv USING (row, col) WHERE l.region_id = 15")
@@ -106,9 +106,10 @@ def g2(spark, d):
     return mosaic(t, ["row", "col"], "v", "supp")
 
 
-@QUERIES("g10_tiles", f"WITH {LANDCOVER} SELECT row, col, least(row // 10, 3)::INT AS kept, CASE WHEN row // 10 < 4 THEN (row // 10)::INT END AS trimmed FROM landcover")
+@QUERIES("g10_tiles", f"WITH {LANDCOVER} SELECT row, col, least(row // e, 3)::INT AS kept, CASE WHEN row // e < 4 THEN (row // e)::INT END AS trimmed FROM landcover, (SELECT greatest({ROWS}, max(row) + 1) // 4 AS e FROM landcover)")
 def g10(spark, d):
-    return landcover(spark, d).select("row", "col", block_of(F.col("row"), 42, 4).alias("kept"), block_of(F.col("row"), 42, 4, keep_rest=False).alias("trimmed"))
+    rows = grid_size(spark, d)[0]
+    return landcover(spark, d).select("row", "col", block_of(F.col("row"), rows, 4).alias("kept"), block_of(F.col("row"), rows, 4, keep_rest=False).alias("trimmed"))
 
 
 @QUERIES("g10_rectangles", f"WITH {OBS}, r AS (SELECT i, j, i * 20 AS west, (i + 1) * 20 AS east, j * 10 AS south, (j + 1) * 10 AS north FROM (SELECT unnest(range(0, 5)) AS i), (SELECT unnest(range(0, 5)) AS j)) SELECT i::INT AS i, j::INT AS j, count(*)::BIGINT AS n FROM r JOIN obs ON part % 100 >= west AND part % 100 < east AND value >= south AND value < north GROUP BY 1, 2")
