@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterable, Iterator
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -19,20 +18,14 @@ from verdancy.operators.aggregates import regression_metrics
 from verdancy.operators.calendar import pooled_window, sliding_windows
 from verdancy.operators.cleaning import complete_cases
 from verdancy.operators.reshape import hash_fold, hashed_sample
+from verdancy.operators.together import blocks, contributions_of, forests
 from verdancy.session import shared_folder, written
 
 TREES, FOLDS, SEED = 500, 10, 42
-AT_ONCE = 4  # fits that run beside each other
 LEAF_BYTES = 1 << 30  # bound of a leaf table, which is broadcast
 LEAVES_AT_ONCE, ROWS_AT_ONCE = 64, 2_000
 
 
-def _at_once(work: Callable[..., DataFrame], items: Iterable) -> list[DataFrame]:
-    """work() of each item, several at a time: one fit alone leaves a cluster idle between its rounds. Fits of fits share their turns."""
-    with ThreadPoolExecutor(AT_ONCE) as pool:
-        return list(pool.map(work, items))
-
-
 def fit_forest(df: DataFrame, features: list[str], target: str, weight: str | None = None, trees: int = TREES, depth: int = 10, seed: int = SEED) -> RandomForestRegressionModel:
     """A forest over all features at each split; rows are weighted by their cell's support."""
     forest = RandomForestRegressor(featuresCol="_features", labelCol=target, numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="all", maxMemoryInMB=512)
@@ -122,23 +115,29 @@ def with_ratios(df: DataFrame, features: list[str]) -> DataFrame:
     return df.withColumns({f"ratio_{f}": F.try_divide(F.col(f"phi_{f}"), total) for f in features})
 
 
-def cross_validated(df: DataFrame, keys: list[str], features: list[str], target: str, weight: str | None = None, folds: int = FOLDS, fold=None, **forest) -> DataFrame:
-    """Out-of-fold contributions and predictions of every row: each fold is explained by a forest that never saw it."""
-    columns = [*dict.fromkeys([*keys, *features, target, *([weight] if weight else [])])]
+def cross_validated(df: DataFrame, keys: list[str], features: list[str], target: str, weight: str | None = None, folds: int = FOLDS, fold=None, group: str | None = None, trees: int = TREES, depth: int = 10, seed: int = SEED) -> DataFrame:
+    """Out-of-fold contributions and predictions of every row: each fold is explained by a forest that never saw it.
+
+    With `group`, an integer column, each of its values has forests of its own. The forests of all groups and folds are
+    grown together and kept as a table of trees. `fold` may name a column of few values, each of which is left out once.
+    Rows of a group whose other folds are empty have no contributions.
+    """
+    columns = [*dict.fromkeys([*keys, *features, target, *([weight] if weight else []), *([group] if group else [])])]
     if isinstance(fold, str) and fold not in columns:
         columns.append(fold)
     rows = complete_cases(df.select(*columns))
-    rows = rows.withColumn("fold", F.col(fold) if isinstance(fold, str) else hash_fold(keys, folds))
-    rows = written(rows)
+    rows = written(rows.withColumn("fold", F.col(fold) if isinstance(fold, str) else hash_fold(keys, folds)).withColumn("_row", F.monotonically_increasing_id()))
     found = [r["fold"] for r in rows.select("fold").distinct().orderBy("fold").collect()]
-
-    def explained(k) -> DataFrame:
-        model = fit_forest(rows.where(F.col("fold") != k), features, target, weight, **forest)
-        return contributions(rows.where(F.col("fold") == k), model, features)
-
     if len(found) < 2:
         raise ValueError(f"rows of {len(found)} folds: no fold can be explained by a forest of the others")
-    return with_ratios(reduce(DataFrame.unionByName, _at_once(explained, found)), features)
+    placed = rows.withColumn("_fold", F.array_position(F.array(*map(F.lit, found)), F.col("fold")).cast("int") - 1).withColumn("_group", F.col(group).cast("long") if group else F.lit(0).cast("long"))
+    of = written(blocks(placed, features, target, weight, keys))
+    models = written(forests(of, len(found), trees, depth, seed))
+    told = contributions_of(of, models, features, len(found), trees)
+    prediction = F.aggregate("_phi", F.col("base"), lambda a, x: a + x)
+    joined = rows.join(told.withColumnRenamed("phi", "_phi"), "_row", "left").drop("_row")
+    joined = joined.withColumns({f"phi_{f}": F.get("_phi", F.lit(k)) for k, f in enumerate(features)}).withColumn("prediction", prediction).drop("_phi")
+    return with_ratios(joined.select(*columns, "fold", *(f"phi_{f}" for f in features), "base", "prediction"), features)
 
 
 def fold_metrics(predictions: DataFrame, target: str) -> DataFrame:
@@ -147,26 +146,16 @@ def fold_metrics(predictions: DataFrame, target: str) -> DataFrame:
 
 
 def window_models(df: DataFrame, keys: list[str], features: list[str], target: str, year: str, first: int, last: int, length: int = 3, weight: str | None = None, **cv) -> DataFrame:
-    """One cross-validated model for each sliding window of years."""
+    """Cross-validated models of every sliding window of years, grown together."""
     values = [*features, target, *([weight] if weight else [])]
     windows = sliding_windows(df, keys, year, values, first, last, length)
-    windows = written(windows)
-
-    def fitted_window(s: int) -> DataFrame:
-        return cross_validated(windows.where(F.col("window_start") == s), keys, features, target, weight, **cv).withColumn("window_start", F.lit(s))
-
-    return reduce(DataFrame.unionByName, _at_once(fitted_window, range(first, last - length + 2)))
+    return cross_validated(windows, keys, features, target, weight, group="window_start", **cv)
 
 
 def pooled_models(df: DataFrame, keys: list[str], features: list[str], target: str, year: str, first: int, last: int, length: int = 3, weight: str | None = None, **cv) -> DataFrame:
-    """One cross-validated model for each tumbling group of years, its rows pooled; the last year is left out."""
+    """Cross-validated models of every tumbling group of years, grown together, the rows of a group pooled; the last year is left out."""
     rows = df.where((F.col(year) >= first) & (F.col(year) < last)).withColumn("window", pooled_window(F.col(year), first, last, length))
-    rows = written(rows)
-
-    def fitted_group(g: int) -> DataFrame:
-        return cross_validated(rows.where(F.col("window") == g), [*keys, year], features, target, weight, **cv).withColumn("window", F.lit(g))
-
-    return reduce(DataFrame.unionByName, _at_once(fitted_group, range(max((last - first) // length, 1))))
+    return cross_validated(rows, [*keys, year], features, target, weight, group="window", **cv)
 
 
 def stacked_model(df: DataFrame, keys: list[str], features: list[str], target: str, n: int = 10_000, **cv) -> DataFrame:

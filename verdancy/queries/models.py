@@ -1,4 +1,4 @@
-"""Forests and contributions; small forests, so that a query takes seconds."""
+"""Forests and contributions over all rows, years and folds; forests are smaller than the operators' defaults, so that a query takes seconds."""
 
 from __future__ import annotations
 
@@ -9,7 +9,8 @@ from verdancy.queries.frames import Queries, regional, yearly
 
 QUERIES = Queries()
 FEATURES = ["tp", "vpd", "tm"]
-_SMALL = {"trees": 5, "depth": 4, "folds": 3}
+_SMALL = {"trees": 20, "depth": 6, "folds": 10}
+_SMALLER = {"trees": 10, "depth": 6, "folds": 5}
 
 
 def cells(spark, d):
@@ -34,23 +35,23 @@ def i2_metrics(spark, d):
 
 @QUERIES("i3_contributions")
 def i3(spark, d):
-    return cross_validated(cells(spark, d), ["row", "col", "year"], FEATURES, "value", "weights", trees=5, depth=4, folds=2)
+    return cross_validated(cells(spark, d), ["row", "col", "year"], FEATURES, "value", "weights", **_SMALL)
 
 
 @QUERIES("i4_window_models")
 def i4(spark, d):
     y = yearly(spark, d)
-    return window_models(y, ["row", "col"], FEATURES, "value", "year", 1995, 2001, 3, trees=3, depth=3, folds=2)
+    return window_models(y, ["row", "col"], FEATURES, "value", "year", 1995, 2001, 3, **_SMALLER)
 
 
 @QUERIES("i5_pooled_models")
 def i5(spark, d):
-    return pooled_models(yearly(spark, d), ["row", "col"], FEATURES, "value", "year", 1995, 2001, 3, trees=3, depth=3, folds=2)
+    return pooled_models(yearly(spark, d), ["row", "col"], FEATURES, "value", "year", 1995, 2001, 3, **_SMALLER)
 
 
 @QUERIES("i6_stacked_model")
 def i6(spark, d):
-    return stacked_model(yearly(spark, d), ["row", "col", "year"], FEATURES, "value", 10_000, trees=5, depth=4, folds=2)
+    return stacked_model(yearly(spark, d), ["row", "col", "year"], FEATURES, "value", 10_000, **_SMALL)
 
 
 @QUERIES("i7_holdout_model")
@@ -61,23 +62,23 @@ def i7(spark, d):
 @QUERIES("i8_normalised_weights")
 def i8(spark, d):
     weighed = normalised_weights(cells(spark, d), "weights")
-    return cross_validated(weighed, ["row", "col", "year"], FEATURES, "value", "weights", trees=3, depth=3, folds=2)
+    return cross_validated(weighed, ["row", "col", "year"], FEATURES, "value", "weights", **_SMALLER)
 
 
 @QUERIES("i9_leave_one_region_out")
 def i9(spark, d):
     c = regional(spark, d).groupBy("row", "region").agg(*(F.avg(x).alias(x) for x in ("value", *FEATURES)))
-    return leave_one_out(c, "region", ["row", "region"], FEATURES, "value", trees=3, depth=3)
+    return leave_one_out(c, "region", ["row", "region"], FEATURES, "value", trees=20, depth=6)
 
 
 @QUERIES("i10_leave_one_out_r2")
 def i10(spark, d):
     c = regional(spark, d).groupBy("row", "region").agg(*(F.avg(x).alias(x) for x in ("value", *FEATURES)))
-    return leave_one_out_r2(c, "region", ["row", "region"], FEATURES, "value", trees=3, depth=3)
+    return leave_one_out_r2(c, "region", ["row", "region"], FEATURES, "value", trees=20, depth=6)
 
 
 @QUERIES("i11_contribution_summary")
 def i11(spark, d):
-    out = cross_validated(cells(spark, d), ["row", "col", "year"], FEATURES, "value", "weights", trees=3, depth=3, folds=2)
+    out = cross_validated(cells(spark, d), ["row", "col", "year"], FEATURES, "value", "weights", **_SMALLER)
     names = [*(f"phi_{f}" for f in FEATURES), *(f"ratio_{f}" for f in FEATURES)]
     return out.select("row", "col", "year", *FEATURES, F.col("value").alias("target"), *names)
