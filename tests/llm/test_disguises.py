@@ -7,6 +7,7 @@ from collections import Counter
 
 import pytest
 
+from verdancy.llm import toxicity as module
 from verdancy.llm.toxicity import DROPPED, LEET, SUBSTITUTED, CharModel, Reader, _char_counts, restored
 
 
@@ -83,3 +84,35 @@ def test_a_span_is_left_out_only_where_no_reading_has_a_head(reader, span):
     for head in heads:
         assert Reader(reader.lm, {head}).reaches(span)
     assert Reader(reader.lm, {"qqq"}).reaches(span) == any(len(s) < 3 for s in every)
+
+
+WORDS = ["trash", "pathetic", "idiot", "disgusting", "stupid", "clown", "scum", "loser", "moron"]
+FORMS = {
+    "letters by digits": lambda w: "".join({"o": "0", "i": "1", "e": "3", "a": "4", "s": "5", "t": "7"}.get(c, c) for c in w),
+    "spelt apart": " ".join,
+    "dotted": ".".join,
+    "a letter thrice": lambda w: w[: len(w) // 2] + 3 * w[len(w) // 2] + w[len(w) // 2 + 1 :],
+    "apart and digits": lambda w: " ".join({"o": "0", "i": "1", "e": "3", "a": "4", "s": "5"}.get(c, c) for c in w),
+}
+
+
+def test_disguises_under_a_model_of_given_documents(spark):
+    """Each form of disguise of words that the documents hold also undisguised; at most one reading in twenty may differ."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    reader = Reader(CharModel(_char_counts(docs)))
+    wrong = [(name, w) for name, form in FORMS.items() for w in WORDS if w not in reader(f"the {form(w)} and")]
+    assert len(wrong) <= len(FORMS) * len(WORDS) // 20, wrong
+
+
+def test_an_unchanged_digit_costs_more_than_its_substitution(reader):
+    assert restored("1d107", reader.lm) == "idiot" and reader("in 1995 or 4 5 5") == {"in", "or"}
+
+
+def test_the_model_has_a_bound_whatever_the_script(spark, monkeypatch):
+    monkeypatch.setattr(module, "ALPHABET", 5)
+    text = " ".join(chr(0x4E00 + k) + chr(0x4E00 + 7 * k % 900) for k in range(900)) + " aa bb ab ba abc" * 900
+    counts = _char_counts(spark.createDataFrame([(text,)], "text string"))
+    letters = {c for gram in counts for c in gram}
+    assert len(letters) <= 5 + 3 and module.OTHER in letters
+    whole = _char_counts(spark.createDataFrame([("ab abc",)], "text string"))
+    assert sum(whole.values()) == sum(len(w) for w in ("ab", "abc")) + 2 and CharModel(counts)("^^", "\u4e01") == CharModel(counts)("^^", "\u9999")

@@ -28,7 +28,9 @@ PREFIXES = (3, 4, 5, 6, 7, 8)
 HEAD = 3  # letters by which words without features are told early
 _NONE: dict[str, float] = {}
 SUBSTITUTED = 2.0  # cost of reading a character as another, in nats
-DROPPED = 0.5  # cost of leaving out a repeated letter
+DROPPED = 1.5  # cost of leaving out a repeated letter: a true double is as likely as the model says
+ALPHABET = 128  # characters of the model, the commonest of all documents; the others share one
+OTHER = "\ufffd"
 
 # What a disguising character may stand for.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e"}
@@ -44,25 +46,33 @@ _JOINED = re.compile(rf"(?<!{_ONE}){_ONE}(?:[{re.escape(_SEPARATORS)}]+{_ONE}){{
 _APART = re.compile(rf"(?<!\S){_ONE}(?:[{re.escape(_SEPARATORS)}]*\s+[{re.escape(_SEPARATORS)}]*{_ONE}){{2,}}(?!{_ONE})")
 _PIECES = re.compile(rf"{_ONE}+(?:[{re.escape(_SEPARATORS)}]{_ONE}+)+")
 _LEFT_OUT = re.compile(rf"[\s{re.escape(_SEPARATORS)}]")
+_DIGIT = re.compile(r"[0-9]")
+_NUMBER = re.compile(rf"[\s0-9{re.escape(_SEPARATORS)}]*")
 _COUNTED = re.compile(rf"(?:{_LETTER}|[0-9])+")
 PIECE = 200  # longer disguised runs are read in pieces, none is left out
 
 
 class CharModel:
-    """Character trigrams with word marks: log-probabilities by additive smoothing, from counts of words."""
+    """Character trigrams with word marks: log-probabilities by additive smoothing, from counts of words.
+
+    Digits have none, since what holds them beside letters may be disguised: an unchanged digit costs more than its substitution.
+    """
 
     def __init__(self, counts: dict[str, int]):
         self.three: Counter = Counter()
         self.two: Counter = Counter()
         letters = set()
         for gram, n in counts.items():
-            self.three[gram] += n
-            self.two[gram[:2]] += n
-            letters.update(gram)
+            if not _DIGIT.search(gram):
+                self.three[gram] += n
+                self.two[gram[:2]] += n
+                letters.update(gram)
+        self.letters = letters
         self.size = max(2, len(letters))
 
     @lru_cache(maxsize=20_000)  # noqa: B019
     def __call__(self, before: str, letter: str) -> float:
+        before, letter = ("".join(c if c in self.letters or c.isdigit() else OTHER for c in part) for part in (before, letter))
         return math.log((self.three.get(before + letter, 0) + 0.05) / (self.two.get(before, 0) + 0.05 * self.size))
 
 
@@ -123,6 +133,8 @@ class Reader:
         return True
 
     def restore(self, span: str) -> Iterator[str]:
+        if _NUMBER.fullmatch(span):
+            return
         for at in range(0, len(span), PIECE):
             piece = span[at : at + PIECE]
             if self.heads is not None and not self.reaches(piece):
@@ -207,7 +219,7 @@ class _Grams:
 
 
 def _char_counts(texts: DataFrame) -> dict[str, int]:
-    """Character trigrams of all texts' runs of letters and digits."""
+    """Character trigrams of all texts' runs of letters and digits, over ALPHABET characters and one for all others: no more than (ALPHABET + 3) ** 3 reach the driver."""
 
     @frugal
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,7 +230,14 @@ def _char_counts(texts: DataFrame) -> dict[str, int]:
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(n, pa.int64())], ["gram", "n"])
 
     rows = texts.select("text").mapInArrow(count, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    return dict(zip(*(c.to_pylist() for c in rows.toArrow().columns), strict=True))
+    rows = stored(rows)
+    letters = rows.select(F.explode(F.split("gram", "")).alias("c"), "n").groupBy("c").agg(F.sum("n").alias("n"))
+    common = [r["c"] for r in letters.where(~F.col("c").isin("", "^", "$")).orderBy(F.desc("n"), "c").limit(ALPHABET).collect()]
+    if letters.count() > ALPHABET:
+        own = F.transform(F.split("gram", ""), lambda c: F.when(c.isin("", "^", "$", *common), c).otherwise(OTHER))
+        rows = rows.groupBy(F.array_join(own, "").alias("gram")).agg(F.sum("n").alias("n"))
+    found = dict(zip(*(c.to_pylist() for c in rows.toArrow().columns), strict=True))
+    return found
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -331,7 +350,9 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Null and empty texts score what a text without evidence does; repeated rows are scored each; a null doc_id is not
     held out; a document labelled twice is toxic if either label says so. Without labels of both kinds every text
-    scores the prior. Labels, language, source and id are no inputs of a score.
+    scores the prior. An empty table gives an empty result. Very long texts are read whole, word by word; disguised runs
+    longer than PIECE characters are restored in pieces, whose edges may read differently. Labels, language, source and
+    id are no inputs of a score, and extra columns are ignored, whatever their names.
     """
     small_batches(docs.sparkSession)
     sample = stored(labelled_sample(docs, labels))
