@@ -21,20 +21,41 @@ SEASONS: dict[str, list[tuple[int, int, int]]] = {
 }
 
 
-def with_seasons(df: DataFrame, ts: str, seasons: list[str]) -> DataFrame:
-    """Each row once for every season its day lies in, with `season` and the `season_year` it counts for."""
+def segments(seasons: list[str]) -> list[tuple[int, int, list[tuple[int, int]]]]:
+    """Stretches of the year between all edges of the seasons: first month * 100 + day, the first after it, and (season number, shift) of the seasons that hold it."""
+    edges = sorted({e for s in seasons for a, b, _ in SEASONS[s] for e in (a, b + 1)})
+    return [(lo, hi, [(k, shift) for k, s in enumerate(seasons) for a, b, shift in SEASONS[s] if a <= lo and hi <= b + 1]) for lo, hi in zip(edges, edges[1:], strict=False)]
+
+
+def segment_sums(df: DataFrame, keys: list[str], ts: str, values: list[str], seasons: list[str]) -> DataFrame:
+    """Per key, year and segment: sum_<value> and n_<value> of each value. They can be added up, over batches and into seasons."""
+    found = segments(seasons)
     day = F.month(ts) * 100 + F.dayofmonth(ts)
-    found = [
-        F.when(day.between(a, b), F.struct(F.lit(s).alias("season"), (F.year(ts) + shift).alias("season_year")))
-        for s in seasons
-        for a, b, shift in SEASONS[s]
-    ]
-    return df.select("*", F.explode(F.array_compact(F.array(*found))).alias("s")).select("*", "s.season", "s.season_year").drop("s")
+    number = sum(((day >= lo).cast("int") for lo, _, _ in found), F.lit(-1))
+    held = F.lit(False)
+    for lo, hi, own in found:
+        if own:
+            held = held | ((day >= lo) & (day < hi))
+    rows = df.where(held).select(*keys, F.year(ts).alias("year"), number.alias("segment"), *values)
+    return rows.groupBy(*keys, "year", "segment").agg(*(a for v in values for a in (F.sum(v).alias(f"sum_{v}"), F.count(v).alias(f"n_{v}"))))
+
+
+def seasons_of(sums: DataFrame, keys: list[str], values: list[str], seasons: list[str]) -> DataFrame:
+    """Mean of each value per key, season and season year from segment_sums(), which may have several rows for a segment."""
+    of = F.array(*(F.array(*(F.struct(F.lit(k).alias("season"), F.lit(shift).alias("shift")) for k, shift in own)) if own else F.array().cast("array<struct<season:int,shift:int>>") for _, _, own in segments(seasons)))
+    dealt = sums.select(*keys, F.inline(F.element_at(of, F.col("segment") + 1)), "year", *(f"{a}_{v}" for v in values for a in ("sum", "n")))
+    dealt = dealt.withColumn("season_year", F.col("year") + F.col("shift"))
+    means = dealt.groupBy(*keys, "season", "season_year").agg(*(F.try_divide(F.sum(f"sum_{v}"), F.sum(f"n_{v}")).alias(v) for v in values))
+    name = F.element_at(F.array(*map(F.lit, seasons)), F.col("season") + 1)
+    return means.select(*keys, name.alias("season"), "season_year", *values)
 
 
 def seasonal_means(df: DataFrame, keys: list[str], ts: str, values: list[str], seasons: list[str]) -> DataFrame:
-    """Mean of each value per key, season and season year; missing values are left out."""
-    return with_seasons(df, ts, seasons).groupBy(*keys, "season", "season_year").agg(*(F.avg(v).alias(v) for v in values))
+    """Mean of each value per key, season and season year; missing values are left out.
+
+    Rows are added up by the segments between season edges, whatever the number of seasons, and seasons from these.
+    """
+    return seasons_of(segment_sums(df, keys, ts, values, seasons), keys, values, seasons)
 
 
 def same_year_winter(df: DataFrame, keys: list[str], ts: str, values: list[str]) -> DataFrame:
