@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdancy.operators.cleaning import quantiles
+from verdancy.session import written
 
 
 def annual_means(df: DataFrame, keys: list[str], ts: str, value: str) -> DataFrame:
@@ -94,6 +98,41 @@ def density_2d(df: DataFrame, x: str, y: str, x_range: tuple[float, float], y_ra
     return cells.where("bx is not null and by is not null").groupBy("bx", "by").agg(F.count("*").alias("n"))
 
 
+def smoothed_density(df: DataFrame, by: list[str], x: str, y: str, grid: int = 100, adjust: float = 1.0, cut: float = 3.0) -> DataFrame:
+    """Gaussian density of the points of each group on a grid x grid lattice that reaches `cut` bandwidths beyond them: by, i, j, x, y, density.
+
+    Bandwidths are n^(-1/6) standard deviations of each axis, times `adjust`. A point is dealt to the four nodes around
+    it by its distances and nodes are added up, so what follows has the size of the lattice; the kernel is a product,
+    so rows are smoothed, then columns. Nodes farther than six bandwidths from all points, and groups without spread on both
+    axes, have no row.
+    """
+    points = df.select(*by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).where("_x is not null and _y is not null")
+    m = points.groupBy(*by).agg(F.count("*").alias("_n"), *(a for c in ("_x", "_y") for a in (F.min(c).alias(f"{c}lo"), F.max(c).alias(f"{c}hi"), (F.stddev_samp(c)).alias(f"{c}s"))))
+    m = m.where("_xs > 0 and _ys > 0")
+    for c in ("_x", "_y"):
+        m = m.withColumn(f"{c}h", F.col(f"{c}s") * F.pow("_n", F.lit(-1 / 6)) * adjust)
+        m = m.withColumn(f"{c}0", F.col(f"{c}lo") - cut * F.col(f"{c}h")).withColumn(f"{c}d", (F.col(f"{c}hi") - F.col(f"{c}lo") + 2 * cut * F.col(f"{c}h")) / (grid - 1))
+    m = written(m.select(*by, "_n", *(f"{c}{p}" for c in ("_x", "_y") for p in ("h", "0", "d"))))
+    both = points.join(m, by) if by else points.crossJoin(F.broadcast(m))
+
+    def nodes(c: str) -> Column:
+        at = (F.col(c) - F.col(f"{c}0")) / F.col(f"{c}d")
+        low = F.floor(at).cast("int")
+        return F.array(F.struct(low.alias("k"), (1 - (at - low)).alias("w")), F.struct((low + 1).alias("k"), (at - low).alias("w")))
+
+    dealt = both.select(*by, F.explode(nodes("_x")).alias("a"), nodes("_y").alias("b")).select(*by, "a", F.explode("b").alias("b"))
+    cells = dealt.groupBy(*by, F.col("a.k").alias("i"), F.col("b.k").alias("j")).agg(F.sum(F.col("a.w") * F.col("b.w")).alias("w"))
+    for c, axis in (("_x", "i"), ("_y", "j")):
+        wide = cells.join(m, by) if by else cells.crossJoin(F.broadcast(m))
+        reach = F.ceil(6 * F.col(f"{c}h") / F.col(f"{c}d")).cast("int")
+        to = F.explode(F.sequence(F.greatest(F.col(axis) - reach, F.lit(0)), F.least(F.col(axis) + reach, F.lit(grid - 1)))).alias("to")
+        u = (F.col("to") - F.col(axis)) * F.col(f"{c}d") / F.col(f"{c}h")
+        kernel = F.exp(-u * u / 2) / (F.sqrt(F.lit(2 * math.pi)) * F.col(f"{c}h"))
+        cells = wide.select("*", to).groupBy(*by, F.col("to").alias(axis), "j" if axis == "i" else "i").agg(F.sum(F.col("w") * kernel).alias("w"))
+    out = cells.join(m, by) if by else cells.crossJoin(F.broadcast(m))
+    return out.select(*by, "i", "j", (F.col("_x0") + F.col("i") * F.col("_xd")).alias("x"), (F.col("_y0") + F.col("j") * F.col("_yd")).alias("y"), (F.col("w") / F.col("_n")).alias("density"))
+
+
 def regression_metrics(df: DataFrame, by: list[str], true: str, predicted: str) -> DataFrame:
     """R2, mean squared and mean absolute error per group."""
     e = F.col(true) - F.col(predicted)
@@ -101,24 +140,10 @@ def regression_metrics(df: DataFrame, by: list[str], true: str, predicted: str)
     return m.select(*by, F.when(F.col("v") > 0, 1 - F.col("mse") / F.col("v")).alias("r2"), "mse", "mae")
 
 
-def natural_breaks(df: DataFrame, value: str, k: int = 5, bins: int = 1000) -> list[float]:
-    """Upper bounds of k classes of least squared deviation.
-
-    Spark counts a histogram of at most `bins` bins; an exact dynamic programme over these few rows finds the breaks.
-    Fewer filled bins than classes give even steps.
-    """
-    ends = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi")).first()
-    if ends["lo"] is None:
-        return []
-    lo, hi = float(ends["lo"]), float(ends["hi"])
-    if lo == hi:
-        return [hi] * k
-    rows = df.select(F.col(value).alias("v"), bin_of(F.col(value), lo, hi, bins).alias("bin")).where("bin is not null")
-    rows = rows.groupBy("bin").agg(F.count("*").alias("n"), F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("s2"), F.max("v").alias("top")).orderBy("bin").collect()
-    if len(rows) < k:
-        return np.linspace(lo, hi, k + 1)[1:].tolist()
-    n, s, s2 = (np.r_[0, np.cumsum([float(r[c]) for r in rows])] for c in ("n", "s", "s2"))
-    m = len(rows)
+def _best_cuts(n: np.ndarray, s: np.ndarray, s2: np.ndarray, k: int) -> list[int]:
+    """Number of the last of each class's bins: k classes of least squared deviation, by a dynamic programme over the bins' counts and sums."""
+    n, s, s2 = (np.r_[0, np.cumsum(x)] for x in (n, s, s2))
+    m = len(n) - 1
     cost = np.full((k + 1, m + 1), np.inf)
     cost[0, 0] = 0
     cut = np.zeros((k + 1, m + 1), int)
@@ -131,11 +156,48 @@ def natural_breaks(df: DataFrame, value: str, k: int = 5, bins: int = 1000) -> l
             cost[c, j], cut[c, j] = total[at], i[at]
     out, j = [], m
     for c in range(k, 0, -1):
-        out.append(float(rows[j - 1]["top"]))
+        out.append(j - 1)
         j = cut[c, j]
     return out[::-1]
 
 
+def natural_breaks(df: DataFrame, value: str, k: int = 5, bins: int = 1000, around: int = 3, parts: int = 32) -> list[float]:
+    """Upper bounds of k classes of least squared deviation, exact to the value.
+
+    Spark counts a histogram; a dynamic programme over its bins finds the breaks. Then the bins within `around` of each
+    break are cut into `parts` and counted again, until the bins at the breaks hold a single value each and the breaks
+    stay. The driver sees bins only, some hundreds beyond `bins` each round. Fewer distinct values than classes give
+    even steps.
+    """
+    known = df.select(F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
+    ends = known.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.avg("v").alias("mean")).first()
+    if ends["lo"] is None:
+        return []
+    lo, hi, mean = float(ends["lo"]), float(ends["hi"]), float(ends["mean"])
+    if lo == hi:
+        return [hi] * k
+    edges = np.linspace(lo, hi, bins + 1)[1:-1]
+    known, last = written(known), None
+    while True:
+        edges = np.unique(edges[(edges > lo) & (edges <= hi)])
+        binned = Bucketizer(splits=[-math.inf, *edges.tolist(), math.inf], inputCol="v", outputCol="bin").transform(known)
+        d = F.col("v") - mean
+        rows = binned.groupBy("bin").agg(F.count("*").alias("n"), F.sum(d).alias("s"), F.sum(d * d).alias("s2"), F.min("v").alias("low"), F.max("v").alias("top")).orderBy("bin").collect()
+        n, s, s2, low, top = (np.array([float(r[c]) for r in rows]) for c in ("n", "s", "s2", "low", "top"))
+        near = {i for c in (_best_cuts(n, s, s2, k) if len(rows) >= k else range(len(rows))) for i in range(max(0, c - around + 1), min(len(rows), c + around + 1))}
+        open_bins = [i for i in sorted(near) if low[i] < top[i]]
+        if not open_bins:
+            if len(rows) < k:
+                return np.linspace(lo, hi, k + 1)[1:].tolist()
+            found = [float(top[c]) for c in _best_cuts(n, s, s2, k)]
+            if found == last:
+                return found
+            last = found
+            continue
+        # between the bin's own least and largest value, both ends apart, so that every round tells at least two values
+        edges = np.concatenate([edges, *(np.r_[np.linspace(low[i], top[i], parts + 1)[1:], np.nextafter(low[i], np.inf)] for i in open_bins)])
+
+
 def classed(value: Column, breaks: list[float]) -> Column:
     """Class number 0.. by upper bounds."""
     out = F.lit(len(breaks) - 1)

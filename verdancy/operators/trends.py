@@ -20,11 +20,15 @@ def trend(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
 
 
 def trend_with_t(df: DataFrame, by: list[str], x: str, y: str, most: int = 60) -> DataFrame:
-    """As trend(), the interval by Student's t; beyond `most` degrees of freedom the last tabulated quantile holds."""
+    """As trend(), the interval by Student's t: tabulated up to `most` degrees of freedom, by its series in 1 / df beyond."""
     spark = df.sparkSession
-    table = spark.createDataFrame([(k, t_quantile(k)) for k in range(1, most + 1)], "df int, t double")
-    m = df.groupBy(*by).agg(*moments(y, x)).withColumn("df", F.least(F.greatest(F.col("n") - 2, F.lit(1)), F.lit(most)).cast("int"))
-    return fitted(m.join(F.broadcast(table), "df"), F.col("t"))
+    table = spark.createDataFrame([(k, t_quantile(k)) for k in range(1, most + 1)], "_k int, _t double")
+    z = float(_normal_quantile(np.array([0.975]))[0])
+    series = [z, (z**3 + z) / 4, (5 * z**5 + 16 * z**3 + 3 * z) / 96, (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384]
+    m = df.groupBy(*by).agg(*moments(y, x)).withColumn("df", F.greatest(F.col("n") - 2, F.lit(1))).withColumn("_k", F.least("df", F.lit(most)).cast("int"))
+    beyond = sum((F.lit(c) / F.pow("df", F.lit(float(k))) for k, c in enumerate(series[1:], 1)), F.lit(series[0]))
+    wide = m.join(F.broadcast(table), "_k").withColumn("t", F.when(F.col("df") <= most, F.col("_t")).otherwise(beyond)).drop("_k", "_t")
+    return fitted(wide, F.col("t"))
 
 
 def trend_table(df: DataFrame, scenario: str, region: str, season: str, x: str, y: str) -> DataFrame:
@@ -58,6 +62,54 @@ def theil_sen(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     return rest.groupBy(*by, "slope").agg(F.percentile("r", 0.5).alias("intercept"))
 
 
+def geometric_median(points: np.ndarray, rounds: int = 500) -> np.ndarray:
+    """The point of least summed distance to the rows of `points`: reweighted means, then Newton steps where the median isn't one of the points."""
+    scale = np.abs(points - points.mean(0)).max() or 1.0
+    p, at = points / scale, np.median(points, 0) / scale
+
+    def cost(q: np.ndarray) -> float:
+        return float(np.sqrt(((p - q) ** 2).sum(1)).sum())
+
+    for _ in range(rounds):
+        d = np.sqrt(((p - at) ** 2).sum(1))
+        far = d > 1e-14
+        w = 1 / d[far]
+        pull = ((p[far] - at) * w[:, None]).sum(0)
+        here, size = float((~far).sum()), float(np.sqrt(pull @ pull))
+        if size <= here:  # the pull of the other points doesn't move it off its own
+            break
+        step = pull / w.sum() * (1 - here / size)
+        if not here:
+            u = (p - at) * w[:, None]
+            hessian = np.eye(p.shape[1]) * w.sum() - (u * w[:, None]).T @ u
+            if np.linalg.cond(hessian) < 1e12:
+                newton = np.linalg.solve(hessian, pull)
+                step = newton if cost(at + newton) <= cost(at + step) else step
+        at = at + step
+        if np.abs(step).max() < 1e-15:
+            break
+    nearest = p[((p - at) ** 2).sum(1).argmin()]
+    return (nearest if cost(nearest) <= cost(at) else at) * scale
+
+
+def theil_sen_spatial(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
+    """Spatial median of (slope, intercept) of the lines through all pairs of points of a series: slope and intercept, null below two different x.
+
+    Series are short (years); a group's points travel as one array and its lines are made inside the row.
+    """
+    p = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")))).alias("p"))
+    slopes = F.flatten(F.transform("p", lambda a: F.transform(F.filter("p", lambda b: b["x"] > a["x"]), lambda b: F.struct(((b["y"] - a["y"]) / (b["x"] - a["x"])).alias("s"), (a["y"] - (b["y"] - a["y"]) / (b["x"] - a["x"]) * a["x"]).alias("i")))))
+    lines = p.select(*by, slopes.alias("l")).select(*by, F.col("l.s").alias("_s"), F.col("l.i").alias("_i"))
+
+    @F.pandas_udf("slope double, intercept double")
+    def median(s: pd.Series, i: pd.Series) -> pd.DataFrame:
+        out = [geometric_median(np.column_stack([a, b])) if len(a) else (None, None) for a, b in zip(s, i, strict=True)]
+        return pd.DataFrame(out, columns=["slope", "intercept"], dtype=float)
+
+    done = lines.select(*by, median("_s", "_i").alias("m"))
+    return done.select(*by, *(F.when(~F.isnan(f"m.{c}"), F.col(f"m.{c}")).alias(c) for c in ("slope", "intercept")))
+
+
 def theil_sen_draws(df: DataFrame, by: list[str], x: str, y: str, draws: int = 1000, seed: int = 42) -> DataFrame:
     """Slope and intercept of each bootstrap draw (`rep`): a draw takes as many points of a series, by hash, with replacement. A draw of a single x has none."""
     p = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")))).alias("p"))

@@ -73,13 +73,13 @@ def a8(spark, d):
     return read_csv(spark, path, "n_nationkey int, n_name string, n_regionkey int").groupBy("n_nationkey").agg(F.count("*").alias("n"))
 
 
-_BLOCKS = "SELECT least(row // 10, 3)::INT AS block, min(row)::INT AS first_row, max(row)::INT AS last_row FROM landcover GROUP BY 1"
+_BLOCKS = "SELECT (row // 10)::INT AS block, min(row)::INT AS first_row, max(row)::INT AS last_row FROM landcover GROUP BY 1"
 
 
 @QUERIES("a9_json_sink", f"WITH {LANDCOVER} {_BLOCKS}")
 def a9(spark, d):
     path = scratch(spark)
-    blocks = landcover(spark, d).groupBy(F.least(F.floor(F.col("row") / 10), F.lit(3)).cast("int").alias("block"))
+    blocks = landcover(spark, d).groupBy(F.floor(F.col("row") / 10).cast("int").alias("block"))
     write_json(blocks.agg(F.min("row").alias("first_row"), F.max("row").alias("last_row")), path)
     return spark.read.schema("block int, first_row int, last_row int").json(path)
 

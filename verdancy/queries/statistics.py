@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from verdancy.functions.statistics import t_quantile
 from verdancy.operators.cleaning import median_split, outer_quantiles
-from verdancy.operators.trends import dependence_fit, effect_fit, spei, spei_rank, theil_sen, theil_sen_band, theil_sen_prediction_band, trend, trend_table, trend_with_t
+from verdancy.operators.trends import dependence_fit, effect_fit, spei, spei_rank, theil_sen, theil_sen_band, theil_sen_prediction_band, theil_sen_spatial, trend, trend_table, trend_with_t
 from verdancy.queries.frames import CONTRIBUTIONS, OBS, Queries, contributions, obs, r6
 
 QUERIES = Queries()
@@ -88,6 +88,11 @@ def h7(spark, d):
     return theil_sen(series(spark, d), ["row"], "x", "y").select("row", r6("slope").alias("slope"), F.round("intercept", 4).alias("intercept"))
 
 
+@QUERIES("h7_spatial_median")
+def h7_spatial(spark, d):
+    return theil_sen_spatial(series(spark, d), ["row"], "x", "y")
+
+
 _DRAWS = """rs AS (SELECT region, year AS x, avg(heat) AS y FROM contrib GROUP BY 1, 2), pts AS (SELECT region, x::DOUBLE AS x, y, row_number() OVER (PARTITION BY region ORDER BY x, y) AS j, count(*) OVER (PARTITION BY region) AS n FROM rs),
  places AS (SELECT region, n, rep, unnest(range(0, n)) AS i FROM (SELECT DISTINCT region, n FROM pts), (SELECT unnest(range(1, 1001)) AS rep)),
  picks AS (SELECT region, rep, ('0x' || substr(md5(concat_ws('|', 42, rep, i)), 1, 8))::BIGINT % n + 1 AS j FROM places), drawn AS (SELECT region, rep, x, y FROM picks JOIN pts USING (region, j)),

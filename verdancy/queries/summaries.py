@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from verdancy.operators.aggregates import annual_means, baseline, box_whiskers, chilling_days, classed, degree_days, density_2d, histogram, natural_breaks, regression_metrics, robust_range, slice_means, station_extent, symmetric_limit, thornthwaite_pet, whisker_summary, zonal_profile
+from verdancy.operators.aggregates import annual_means, baseline, box_whiskers, chilling_days, classed, degree_days, density_2d, histogram, natural_breaks, regression_metrics, robust_range, slice_means, smoothed_density, station_extent, symmetric_limit, thornthwaite_pet, whisker_summary, zonal_profile
 from verdancy.operators.calendar import SEASONS, same_year_winter, seasonal_means
-from verdancy.operators.grid import class_share, coarsened, scaffold, support
+from verdancy.operators.grid import GridSpec, class_share, coarsened, scaffold, support
+from verdancy.operators.regrid import area_weights, class_areas, regridded
 from verdancy.queries.frames import CONTRIBUTIONS, LANDCOVER, OBS, REGIONAL, YEARLY, Queries, contributions, grid_size, landcover, obs, r6, regional, table, yearly
 
 QUERIES = Queries()
@@ -94,6 +95,24 @@ def d10(spark, d):
     return coarsened(yearly(spark, d), ["year"], ["value"], 4, 6, *grid_size(spark, d)).withColumn("value", r6("value"))
 
 
+def _overlap_sql(cells: str, height: float, width: float) -> str:
+    """Shares of cells of size 1 in coarse cells of another size, for every cell of a table."""
+    def axis(name: str, of: str, size: float) -> str:
+        return f"""{name} AS (SELECT i, j, least(i + 1.0, (j + 1) * {size}) - greatest(i::DOUBLE, j * {size}) AS w
+          FROM (SELECT i, unnest(range(floor(i / {size} + 1e-9)::BIGINT, ceil((i + 1) / {size} - 1e-9)::BIGINT)) AS j FROM (SELECT DISTINCT {of} AS i FROM {cells})))"""
+    return axis("rs", "row", height) + ", " + axis("cs", "col", width)
+
+
+def _coarse(spark, d, height: float, width: float) -> tuple[GridSpec, GridSpec]:
+    rows, cols = grid_size(spark, d)
+    return GridSpec(0.0, 1.0, 0.0, 1.0, rows, cols), GridSpec(0.0, width, 0.0, height, -int(-rows // height), -int(-cols // width))
+
+
+@QUERIES("d10_regridded_mean", f"WITH {YEARLY}, {_overlap_sql('yearly', 3.7, 6.4)} SELECT year, rs.j::INT AS row, cs.j::INT AS col, round(sum(value * rs.w * cs.w) / sum(rs.w * cs.w), 6) AS value FROM yearly JOIN rs ON rs.i = row JOIN cs ON cs.i = col GROUP BY 1, 2, 3")
+def d10_regridded(spark, d):
+    return regridded(yearly(spark, d), ["year"], ["value"], *_coarse(spark, d, 3.7, 6.4)).withColumn("value", r6("value"))
+
+
 _MASK = "mask AS (SELECT row, col, (cls > 9)::INT AS keep FROM landcover)"
 
 
@@ -106,6 +125,17 @@ def d11(spark, d):
     return coarsened(mask(spark, d), [], ["keep"], 4, 5, *grid_size(spark, d), "sum").select("row", "col", F.col("keep").alias("n"), r6(F.col("keep") / 20).alias("weights"))
 
 
+@QUERIES("d11_regridded_sum", f"WITH {LANDCOVER}, {_MASK}, {_overlap_sql('mask', 3.7, 6.4)} SELECT rs.j::INT AS row, cs.j::INT AS col, round(sum(keep * rs.w * cs.w), 6) AS n, round(sum(keep * rs.w * cs.w) / 23.68, 6) AS weights FROM mask JOIN rs ON rs.i = row JOIN cs ON cs.i = col GROUP BY 1, 2 HAVING sum(keep * rs.w * cs.w) > 1")
+def d11_regridded(spark, d):
+    return area_weights(mask(spark, d), "keep", *_coarse(spark, d, 3.7, 6.4), 1.0).select("row", "col", r6("n").alias("n"), r6("weights").alias("weights"))
+
+
+@QUERIES("d9_class_areas", f"WITH {LANDCOVER}, {_overlap_sql('landcover', 2.5, 4.2)}, a AS (SELECT rs.j::INT AS row, cs.j::INT AS col, cls, round(sum(rs.w * cs.w), 9) AS a FROM landcover JOIN rs ON rs.i = row JOIN cs ON cs.i = col GROUP BY 1, 2, 3) SELECT row, col, round(coalesce(sum(a) FILTER (cls IN (3, 4, 5)), 0), 6) AS wanted, round(sum(a), 6) AS total, arg_max(cls, {{'a': a, 'c': -cls}}) AS dominant FROM a GROUP BY 1, 2")
+def d9_areas(spark, d):
+    a = class_areas(landcover(spark, d), [3, 4, 5], *_coarse(spark, d, 2.5, 4.2))
+    return a.select("row", "col", r6("wanted").alias("wanted"), r6("total").alias("total"), "dominant")
+
+
 @QUERIES("d12_support", f"WITH {LANDCOVER}, {_MASK} SELECT (row // 4)::INT AS row, (col // 5)::INT AS col, sum(keep)::BIGINT AS n, round(sum(keep) / 20, 6) AS weights FROM mask WHERE row < (SELECT greatest(42, max(p_partkey) // 50 + 1) // 4 * 4 FROM part) GROUP BY 1, 2 HAVING sum(keep) > 12")
 def d12(spark, d):
     return support(mask(spark, d), [], "keep", 4, 5, *grid_size(spark, d), more_than=12).withColumn("weights", r6("weights"))
@@ -167,6 +197,11 @@ def d21(spark, d):
     return density_2d(obs(spark, d), "tm", "value", (900, 100900), (0, 50))
 
 
+@QUERIES("d21_smoothed_density")
+def d21_smoothed(spark, d):
+    return smoothed_density(contributions(spark, d), ["region"], "heat", "spring", 60)
+
+
 @QUERIES("d22_regression_metrics", f"WITH {CONTRIBUTIONS} SELECT year AS fold, round(1 - avg((heat - spring) ** 2) / var_pop(heat), 6) AS r2, round(avg((heat - spring) ** 2), 6) AS mse, round(avg(abs(heat - spring)), 6) AS mae FROM contrib GROUP BY year")
 def d22(spark, d):
     m = regression_metrics(contributions(spark, d).withColumnRenamed("year", "fold"), ["fold"], "heat", "spring")
