@@ -9,7 +9,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from verdancy.operators.cleaning import quantiles
+from verdancy.operators.cleaning import beside_groups, quantiles
 from verdancy.session import written
 
 
@@ -55,7 +55,7 @@ def box_whiskers(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """Quartiles and whiskers: the outermost values within 1.5 interquartile ranges."""
     box = quantiles(df, value, by, {"q1": 0.25, "median": 0.5, "q3": 0.75}, ranked=True)
     reach = 1.5 * (F.col("q3") - F.col("q1"))
-    inside = df.join(box, by).where(F.col(value).between(F.col("q1") - reach, F.col("q3") + reach))
+    inside = beside_groups(df, box, by).where(F.col(value).between(F.col("q1") - reach, F.col("q3") + reach))
     return inside.groupBy(*by).agg(*(F.first(c).alias(c) for c in ("q1", "median", "q3")), F.min(value).alias("whisker_low"), F.max(value).alias("whisker_high"))
 
 

@@ -9,6 +9,8 @@ from verdancy.functions.scalars import drought_phase
 from verdancy.schema import nan_to_null
 from verdancy.session import written
 
+GROUPS = 100_000  # rows of a summary that is broadcast
+
 
 def complete_cases(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Rows without null or NaN, in the given columns (all by default)."""
@@ -50,10 +52,18 @@ def drought_split(df: DataFrame, target: str, others: list[str], label: str = "p
     return df.withColumn(label, drought_phase(target, *others)).where(F.col(label).isNotNull())
 
 
+def beside_groups(df: DataFrame, summary: DataFrame, by: list[str]) -> DataFrame:
+    """df with the columns of a summary that has a row for each group. The summary is written and counted; up to GROUPS rows it is broadcast, so that df isn't shuffled by few groups."""
+    summary = written(summary)
+    if not by:
+        return df.crossJoin(F.broadcast(summary))  # one row
+    return df.join(F.broadcast(summary) if summary.count() <= GROUPS else summary, by)
+
+
 def drought_threshold(df: DataFrame, value: str, by: list[str], q: float = 0.25, ranked: bool = True) -> DataFrame:
     """Quantile q of the values above each group's minimum."""
     low = df.groupBy(*by).agg(F.min(value).alias("_low"))
-    return quantiles(df.join(low, by).where(F.col(value) > F.col("_low")), value, by, {"threshold": q}, ranked)
+    return quantiles(beside_groups(df, low, by).where(F.col(value) > F.col("_low")), value, by, {"threshold": q}, ranked)
 
 
 def ranked_quantiles(df: DataFrame, value: str, by: list[str], qs: dict[str, float]) -> DataFrame:
@@ -91,14 +101,14 @@ def quantiles(df: DataFrame, value: str, by: list[str], qs: dict[str, float], ra
 def outer_quantiles(df: DataFrame, value: str, by: list[str], low: float = 0.25, high: float = 0.75, ranked: bool = True) -> DataFrame:
     """Rows at or below the low, or at or above the high quantile of their group; one row of quantiles per group is joined."""
     q = quantiles(df, value, by, {"_lo": low, "_hi": high}, ranked)
-    joined = df.join(q, by) if by else df.crossJoin(F.broadcast(q))
+    joined = beside_groups(df, q, by)
     return joined.where((F.col(value) <= F.col("_lo")) | (F.col(value) >= F.col("_hi"))).drop("_lo", "_hi")
 
 
 def median_split(df: DataFrame, value: str, by: list[str], label: str = "half", overlap: bool = False, ranked: bool = True) -> DataFrame:
     """Rows marked low (below the group's median) or high (at or above it); with overlap, ties are in both."""
     q = quantiles(df, value, by, {"_m": 0.5}, ranked)
-    joined = (df.join(q, by) if by else df.crossJoin(F.broadcast(q))).where(F.col(value).isNotNull())
+    joined = beside_groups(df, q, by).where(F.col(value).isNotNull())
     if overlap:
         both = F.array_compact(F.array(F.when(F.col(value) <= F.col("_m"), "low"), F.when(F.col(value) >= F.col("_m"), "high")))
         return joined.withColumn(label, F.explode(both)).drop("_m")

@@ -26,13 +26,14 @@ def keep_daily(readings: DataFrame, keys: list[str], ts: str, t: str, target: st
 
     def merge(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        changed = batch.persist()
+        changed = held = batch.persist()
         days = changed.select("day").distinct()
         path = spark._jvm.org.apache.hadoop.fs.Path(target)
         if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
             old = spark.read.parquet(target).select(changed.columns).join(F.broadcast(days), "day", "left_semi").join(changed.select(*keys, "day"), [*keys, "day"], "left_anti")
             changed = changed.unionByName(old).checkpoint()
         write_partitions(changed, target, ["day"])
+        held.unpersist()
 
     sc = readings.sparkSession.sparkContext
     if not (sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()):
