@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from verdancy.functions.scalars import kelvin_to_celsius, metres_to_millimetres, region_number, scaled, without_nodata, without_plot_suffix
 from verdancy.operators.cleaning import complete_cases, complete_stations, covers_event, cropped, cropped_and_masked, drought_split, drought_threshold, masked, median_split, outer_quantiles, renamed_by_pattern, season_columns
-from verdancy.queries.frames import CONTRIBUTIONS, LANDCOVER, OBS, Queries, contributions, landcover, obs, r6, table
+from verdancy.operators.tiles import masked_tiles, tiled, untiled
+from verdancy.queries.frames import CONTRIBUTIONS, LANDCOVER, OBS, YEARLY, Queries, contributions, landcover, obs, r6, table, yearly
 
 QUERIES = Queries()
 
@@ -81,6 +82,13 @@ def b13(spark, d):
     return masked(obs(spark, d), mask, ["row", "col"]).select("ord", "line", "part", "value")
 
 
+@QUERIES("b13_tiled_mask", f"WITH {YEARLY}, {LANDCOVER} SELECT y.row, y.col, year, round(value, 6) AS value FROM yearly y JOIN landcover USING (row, col) WHERE cls > 9")
+def b13_tiled(spark, d):
+    mask = tiled(landcover(spark, d).select("row", "col", (F.col("cls") > 9).cast("int").alias("keep")), [], "keep")
+    kept = masked_tiles(tiled(yearly(spark, d), ["year"], "value"), mask)
+    return untiled(kept, ["year"], "value").select("row", "col", "year", r6("value").alias("value"))
+
+
 @QUERIES("b14_cropped_masked", f"WITH {OBS}, {LANDCOVER} SELECT ord, line, part, CASE WHEN m.cls IS NOT NULL AND value NOT IN (1, 2) THEN value END AS value FROM obs LEFT JOIN (SELECT row, col, cls FROM landcover WHERE cls > 20) m USING (row, col) WHERE col BETWEEN 5 AND 20 AND row BETWEEN 1 AND 30")
 def b14(spark, d):
     mask = landcover(spark, d).withColumn("keep", (F.col("cls") > 20).cast("int"))

@@ -8,7 +8,8 @@ from verdancy.operators.aggregates import annual_means, baseline, box_whiskers,
 from verdancy.operators.calendar import SEASONS, same_year_winter, seasonal_means
 from verdancy.operators.grid import GridSpec, class_share, coarsened, scaffold, support
 from verdancy.operators.regrid import area_weights, class_areas, regridded
-from verdancy.queries.frames import CONTRIBUTIONS, LANDCOVER, OBS, REGIONAL, YEARLY, Queries, contributions, grid_size, landcover, obs, r6, regional, table, yearly
+from verdancy.operators.tiles import blocks_of, coarsened_tiles, tiled, write_cube
+from verdancy.queries.frames import CONTRIBUTIONS, LANDCOVER, OBS, REGIONAL, YEARLY, Queries, contributions, grid_size, landcover, obs, r6, regional, scratch, table, yearly
 
 QUERIES = Queries()
 SEASON_LIST = ["annual", "spring", "summer", "autumn", "winter", "winter_cross", "summer_half", "winter_half", "chilling"]
@@ -108,6 +109,15 @@ def _coarse(spark, d, height: float, width: float) -> tuple[GridSpec, GridSpec]:
     return GridSpec(0.0, 1.0, 0.0, 1.0, rows, cols), GridSpec(0.0, width, 0.0, height, -int(-rows // height), -int(-cols // width))
 
 
+@QUERIES("d10_tiled_mean", f"WITH {YEARLY} SELECT year, (row // 4)::INT AS row, (col // 6)::INT AS col, round(avg(value), 6) AS value FROM yearly GROUP BY ALL")
+def d10_tiled(spark, d):
+    """Years are bands of a cube of tiles, which is written and read back; blocks are averaged inside tiles."""
+    path = scratch(spark)
+    write_cube(tiled(yearly(spark, d), ["year"], "value"), path, ["year"])
+    cube = spark.read.schema("trow int, tcol int, cells array<double>, year int").parquet(path)
+    return blocks_of(coarsened_tiles(cube, 4, 6), ["year"], "value", 4, 6).withColumn("value", r6("value"))
+
+
 @QUERIES("d10_regridded_mean", f"WITH {YEARLY}, {_overlap_sql('yearly', 3.7, 6.4)} SELECT year, rs.j::INT AS row, cs.j::INT AS col, round(sum(value * rs.w * cs.w) / sum(rs.w * cs.w), 6) AS value FROM yearly JOIN rs ON rs.i = row JOIN cs ON cs.i = col GROUP BY 1, 2, 3")
 def d10_regridded(spark, d):
     return regridded(yearly(spark, d), ["year"], ["value"], *_coarse(spark, d, 3.7, 6.4)).withColumn("value", r6("value"))
