@@ -94,3 +94,21 @@ def test_empty_and_unusable(spark):
     assert vector_links(spark.createDataFrame([], VECTORS)).collect() == []
     only = spark.createDataFrame([(1, None, 0, "", 0, ""), (2, [0.0], 0, "", 0, "")], VECTORS)
     assert sorted(map(tuple, vector_links(only).collect())) == [(1, 0, 1, True), (2, 0, 2, True)]
+
+
+def test_no_link_is_lost_just_above_the_threshold(spark):
+    """Ten seeds of pairs at cosines of 0.900 to 0.905, each far from all others."""
+    rows, expected = [], set()
+    for seed in range(10):
+        r = np.random.default_rng(seed)
+        for k in range(120):
+            a, b = r.standard_normal((2, 64))
+            a /= np.linalg.norm(a)
+            b -= (a @ b) * a
+            b /= np.linalg.norm(b)
+            c = r.uniform(0.9 + 1e-6, 0.905)
+            i = 2 * (120 * seed + k)
+            rows += [(i, (a * 3).tolist()), (i + 1, (c * a + math.sqrt(1 - c * c) * b).tolist())]
+            expected.add(i)
+    got = vector_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert {r.component_id for r in got} == expected and all(r.n_links == 1 for r in got)

@@ -21,7 +21,7 @@ from verdancy.llm.components import components
 from verdancy.llm.salted import with_smallest
 from verdancy.llm.storage import dropped, frugal, stored
 
-MISS = 0.02
+MISS = 1e-4
 BOUND = 5.0
 BLOCK = 1024
 CHUNK = 100_000

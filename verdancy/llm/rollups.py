@@ -2,15 +2,14 @@
 
 Each change to a document is a signed row: an insert counts +1 document and its tokens, a delete counts both back, a
 revised count is a delete of the old and an insert of the new. A batch's rows are summed by source, language and
-tokenizer version and written under the batch's name; totals are the sums over committed batches. Writing a batch
-again replaces it by itself, so a commit can be repeated after any failure.
+tokenizer version, written aside and committed under the batch's name; totals are the sums over committed batches.
+Committing a batch again replaces it by itself, so a commit can be repeated after any failure.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -19,13 +18,18 @@ from pyspark.sql import functions as F
 from verdancy.llm.packing import _WordIds
 from verdancy.llm.salted import with_smallest
 from verdancy.llm.storage import frugal, parts, shared_dir, small_batches, stored
+from verdancy.sources.commits import Batches
 
 KEYS = ("source", "lang", "tokenizer")
-SCHEMA = "source string, lang string, tokenizer string, docs long, tokens long, batch string"
+SCHEMA = "source string, lang string, tokenizer string, docs long, tokens long"
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """doc_id, source, lang, tokens of whole texts, and a hash of the text; null texts have no tokens."""
+    """One row per row of docs: doc_id, source, lang, tokens of whole texts, and a hash of the text.
+
+    Null and empty texts have no tokens, very long ones are counted whole, repeated rows are counted each; an empty
+    table gives an empty result, and extra columns are ignored.
+    """
 
     @frugal
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -48,26 +52,22 @@ class Rollup:
     """Totals of documents and tokens by source, language and tokenizer version, under a folder.
 
     Null sources and languages are groups of their own. A batch without rows commits nothing but its name; the totals
-    of a rollup without batches are empty. Groups whose documents and tokens are both zero have no row.
+    of a rollup without batches are empty. Groups whose documents and tokens are both zero have no row. A commit that
+    breaks off at any point leaves the totals as they were.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
+        self.batches = Batches(spark, folder, SCHEMA)
+        self.spark = spark
 
     def commit(self, batch: str, changes: DataFrame) -> None:
-        """Writes the batch's sums to the folder of its own name, whether or not it is there already. Any text is a name; it is quoted in the path."""
+        """Makes the batch's sums those of its name, in place of any that it has: they are written aside and committed in one step. Any text is a name."""
         if not batch:
             raise ValueError("a batch needs a name")
-        sums = changes.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
-        sums.write.mode("overwrite").parquet(f"{self.folder}/batch={quote(batch, safe='')}")
+        self.batches.put(batch, changes.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")))
 
     def totals(self) -> DataFrame:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.folder)
-        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
-            return self.spark.createDataFrame([], SCHEMA).drop("batch")
-        deltas = self.spark.read.schema(SCHEMA).parquet(self.folder)
-        sums = deltas.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
+        sums = self.batches.read().groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
         return sums.where("docs <> 0 or tokens <> 0")
 
     def compact(self, into: str) -> None:
