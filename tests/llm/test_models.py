@@ -112,6 +112,23 @@ def test_pseudo_likelihoods_of_edges(spark):
     assert pseudo_likelihoods(spark.createDataFrame([], DOCS)).collect() == []
 
 
+def test_scores_dont_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr("verdancy.llm.pseudo_likelihood.SHARD_TOKENS", 6000)
+    docs = spark.createDataFrame(corpus(300)[0] + EDGES, DOCS)
+    one, other = ({(r.doc_id, r.n_tokens): r.mean_log_likelihood for r in pseudo_likelihoods(docs.repartition(n, "text")).collect()} for n in (2, 9))
+    assert one == pytest.approx(other, abs=1e-5)
+
+
+def test_texts_score_above_their_shuffled_words(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    r, some = random.Random(1), [x for x in docs.where("doc_id % 10 = 0").collect() if len((x.text or "").split()) > 20]
+    mixed = [(x.doc_id + 10**6, " ".join(r.sample(x.text.split(), len(x.text.split())))) for x in some]
+    both = docs.select("doc_id", "text").union(spark.createDataFrame(mixed, "doc_id long, text string"))
+    got = {x.doc_id: x.mean_log_likelihood for x in pseudo_likelihoods(both).where("doc_id % 10 = 0").collect()}
+    above = sum(got[k - 10**6] > got[k] for k, _ in mixed)
+    assert above >= 0.95 * len(mixed), (above, len(mixed))
+
+
 def test_rollup_follows_its_changes(spark, tmp_path):
     rows = [(1, "a b c", "en", "s"), (2, "d e", None, None), (3, None, "en", "s"), (4, "x " * 50_000, "en", "t"), (1, "a b c", "en", "s")]
     counted = token_counts(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), public_tokenizers.path("word_bpe_49k.json")).cache()

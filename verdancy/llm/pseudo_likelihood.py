@@ -2,8 +2,10 @@
 
 A network with a window to both sides predicts each token of a text from its neighbours, the token itself masked.
 The sum of the log-probabilities is the document's score. The network knows the corpus's most frequent words; the
-others fall into classes by their ending, and a word's share of its class is counted over all documents. Every partition trains one copy on all of its documents in numpy; the
-copies' parameters are averaged by the number of tokens that each has seen.
+others fall into classes by their ending, and a word's share of its class is counted over all documents. Documents are
+dealt to shards by a hash of the row, so many that each has about SHARD_TOKENS tokens; a copy of the network is trained
+on each shard in numpy, and the copies' parameters are averaged by the number of tokens that each has seen. A small
+corpus is gone over several times. Neither the order of rows nor their partitions change a score beyond its last digits.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdancy.llm.storage import frugal, parts, small_batches, stored
+from verdancy.llm.storage import dropped, frugal, parts, small_batches, stored
 
 WORDS = 448
 ENDINGS = 64
@@ -29,6 +31,8 @@ HIDDEN = 24
 WINDOW = 2
 BATCH = 8192
 RATE = 0.1
+SHARD_TOKENS = 4_000_000  # a task holds its shard's tokens, two bytes each, while it trains
+TAUGHT_TOKENS, MOST_ROUNDS = 12_000_000, 24  # a corpus of fewer tokens is gone over again
 COUNTED_WORDS = 200_000
 CARRIED_WORDS = 200_000  # the most frequent words' counts travel to the workers, the others' are joined
 _CACHE_WORDS = 200_000
@@ -237,24 +241,45 @@ def _windows(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return line[at], np.stack([line[at + k] for k in (*range(-WINDOW, 0), *range(1, WINDOW + 1))])
 
 
-def train(docs: DataFrame, words: list[str]) -> np.ndarray:
-    """Parameters averaged over the partitions' networks, weighted by tokens; every document of a partition is seen once."""
+def train(docs: DataFrame, words: list[str], tokens: int) -> np.ndarray:
+    """Parameters averaged over the shards' networks, weighted by tokens; every document is seen by one of them, in an order of hashes."""
     known = docs.sparkSession.sparkContext.broadcast(words)
+    shards = -(-tokens // SHARD_TOKENS) or 1
+    rounds = min(MOST_ROUNDS, max(1, TAUGHT_TOKENS // max(tokens, 1)))
 
     @frugal
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, net, n = _Ids(known.value), Network(), 0
+        ids = _Ids(known.value)
+        held: dict[int, list[np.ndarray]] = {}
         for batch in parts(batches):
-            target, around = _windows([ids(x) for x in batch.column(0).to_pylist()])
-            mixed = np.random.default_rng(n % 2**32).permutation(len(target))
-            for at in range(0, len(target), BATCH):
-                own = mixed[at : at + BATCH]
-                net.learn(target[own], around[:, own])
-            n += len(target)
-        flat = net.flat().astype(float) * n
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat) + 1, dtype=np.int32)), pa.array(np.r_[flat, n])], ["i", "x"])
-
-    sums = docs.select("text").mapInArrow(fit, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).toPandas().sort_values("i")["x"].to_numpy()
+            for shard, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if shard not in held:  # shards come one after another
+                    yield from taught(held)
+                    held = {shard: []}
+                held[shard].append(ids(text))
+        yield from taught(held)
+
+    def taught(held: dict[int, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for shard, texts in held.items():
+            target, around = _windows(texts)
+            n, net = len(target), Network()
+            order = np.random.default_rng(shard)
+            for _ in range(rounds):
+                mixed = order.permutation(n)
+                for at in range(0, n, BATCH):
+                    own = mixed[at : at + BATCH]
+                    net.learn(target[own], around[:, own])
+            flat = np.r_[net.flat().astype(float) * n, n]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(flat), shard, np.int32)), pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat)], ["shard", "i", "x"])
+
+    lot = F.xxhash64(F.col("doc_id").cast("string"), "text")
+    rows = docs.select(F.pmod(lot, F.lit(shards)).cast("int").alias("shard"), "text", lot.alias("lot"))
+    dealt = rows.repartition(shards, "shard").sortWithinPartitions("shard", "lot").select("shard", "text")
+    copies = stored(dealt.mapInArrow(fit, "shard int, i int, x double"))  # a row for each parameter and shard
+    # added up in the order of shards, so that the last digits don't depend on tasks either
+    sums = copies.groupBy("i").agg(F.sort_array(F.collect_list(F.struct("shard", "x"))).alias("x")).select("i", F.aggregate("x", F.lit(0.0), lambda a, x: a + x["x"]).alias("x"))
+    sums = sums.toPandas().sort_values("i")["x"].to_numpy()
+    dropped(copies)
     return (sums[:-1] / sums[-1]).astype(np.float32) if len(sums) and sums[-1] else Network().flat()
 
 
@@ -270,7 +295,7 @@ def pseudo_likelihoods(docs: DataFrame) -> DataFrame:
     words = frequent_words(counted)
     words += [f"\x00{k}" for k in range(WORDS - len(words))]  # a small corpus leaves places that no word takes
     rare, totals, carried = class_counts(counted, words)
-    model = docs.sparkSession.sparkContext.broadcast((words, totals, carried, train(docs, words)))
+    model = docs.sparkSession.sparkContext.broadcast((words, totals, carried, train(docs, words, counted.agg(F.sum("n")).first()[0] or 0)))
 
     @frugal
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
