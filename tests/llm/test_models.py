@@ -113,7 +113,7 @@ def test_pseudo_likelihoods_of_edges(spark):
 
 
 def test_scores_dont_depend_on_partitions(spark, monkeypatch):
-    monkeypatch.setattr("verdancy.llm.pseudo_likelihood.SHARD_TOKENS", 6000)
+    monkeypatch.setattr("verdancy.llm.pseudo_likelihood.SHARD_CHARS", 30_000)
     docs = spark.createDataFrame(corpus(300)[0] + EDGES, DOCS)
     one, other = ({(r.doc_id, r.n_tokens): r.mean_log_likelihood for r in pseudo_likelihoods(docs.repartition(n, "text")).collect()} for n in (2, 9))
     assert one == pytest.approx(other, abs=1e-5)

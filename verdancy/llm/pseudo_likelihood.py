@@ -3,7 +3,7 @@
 A network with a window to both sides predicts each token of a text from its neighbours, the token itself masked.
 The sum of the log-probabilities is the document's score. The network knows the corpus's most frequent words; the
 others fall into classes by their ending, and a word's share of its class is counted over all documents. Documents are
-dealt to shards by a hash of the row, so many that each has about SHARD_TOKENS tokens; a copy of the network is trained
+dealt to shards by a hash of the row, so many that each has about SHARD_CHARS characters; a copy of the network is trained
 on each shard in numpy, and the copies' parameters are averaged by the number of tokens that each has seen. A small
 corpus is gone over several times. Neither the order of rows nor their partitions change a score beyond its last digits.
 """
@@ -31,8 +31,8 @@ HIDDEN = 24
 WINDOW = 2
 BATCH = 8192
 RATE = 0.1
-SHARD_TOKENS = 4_000_000  # a task holds its shard's tokens, two bytes each, while it trains
-TAUGHT_TOKENS, MOST_ROUNDS = 12_000_000, 24  # a corpus of fewer tokens is gone over again
+SHARD_CHARS = 24_000_000  # of a shard's texts; a task holds their tokens, two bytes each, while it trains
+TAUGHT_CHARS, MOST_ROUNDS = 72_000_000, 24  # a corpus of fewer characters is gone over again
 COUNTED_WORDS = 200_000
 CARRIED_WORDS = 200_000  # the most frequent words' counts travel to the workers, the others' are joined
 _CACHE_WORDS = 200_000
@@ -241,11 +241,12 @@ def _windows(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return line[at], np.stack([line[at + k] for k in (*range(-WINDOW, 0), *range(1, WINDOW + 1))])
 
 
-def train(docs: DataFrame, words: list[str], tokens: int) -> np.ndarray:
+def train(docs: DataFrame, words: list[str]) -> np.ndarray:
     """Parameters averaged over the shards' networks, weighted by tokens; every document is seen by one of them, in an order of hashes."""
     known = docs.sparkSession.sparkContext.broadcast(words)
-    shards = -(-tokens // SHARD_TOKENS) or 1
-    rounds = min(MOST_ROUNDS, max(1, TAUGHT_TOKENS // max(tokens, 1)))
+    chars = docs.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
+    shards = -(-chars // SHARD_CHARS) or 1
+    rounds = min(MOST_ROUNDS, max(1, TAUGHT_CHARS // max(chars, 1)))
 
     @frugal
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,7 +296,7 @@ def pseudo_likelihoods(docs: DataFrame) -> DataFrame:
     words = frequent_words(counted)
     words += [f"\x00{k}" for k in range(WORDS - len(words))]  # a small corpus leaves places that no word takes
     rare, totals, carried = class_counts(counted, words)
-    model = docs.sparkSession.sparkContext.broadcast((words, totals, carried, train(docs, words, counted.agg(F.sum("n")).first()[0] or 0)))
+    model = docs.sparkSession.sparkContext.broadcast((words, totals, carried, train(docs, words)))
 
     @frugal
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
