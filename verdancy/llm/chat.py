@@ -69,7 +69,7 @@ def formatted(turns: DataFrame, trained_role: str = TRAINED_ROLE) -> DataFrame:
     """One row per path: the formatted text and its loss mask as spans of code points.
 
     turns: path, at (order), role, text. Null roles and texts are empty. The mask covers the escaped text of each turn
-    of the trained role, nothing else.
+    of the trained role, nothing else. An empty table gives an empty result; extra columns are ignored.
     """
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     head = F.concat(F.lit(BEGIN), escaped(role), F.lit(MIDDLE))
@@ -107,7 +107,7 @@ def linear_trees(conversations: DataFrame) -> DataFrame:
 
 
 def format_trees(messages: DataFrame, keep: int = 1) -> DataFrame:
-    """The `keep` best paths of each reply tree, formatted: root, rank, formatted, loss_spans."""
+    """The `keep` best paths of each reply tree, formatted: root, rank, formatted, loss_spans. A repeated id counts once; an empty table gives an empty result; extra columns are ignored."""
     messages = stored(messages)
     paths = reply_paths(messages, keep)
     turns = paths.join(messages.select("id", "role", "text").dropDuplicates(["id"]), "id").select(F.struct("root", "rank").alias("path"), F.col("depth").alias("at"), "role", "text")

@@ -239,7 +239,7 @@ def vector_links(vectors: DataFrame, cosine: float = 0.9, vec_id: str = "vec_id"
     is one task group, so no group grows with the data. Vectors of each length are compared among themselves, one
     length after another. Vectors that are null, zero, or hold null or non-finite components link with nothing; a
     repeated vec_id counts once with the largest vector; null ids give rows without component. An empty table gives an
-    empty result.
+    empty result; extra columns are ignored, whatever their names.
     """
     x = F.col(embedding).cast("array<double>")
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), x.alias("vector"))

@@ -218,8 +218,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     probability (1 - 0.8 ** 6) ** 48 < 1e-6.
 
     A null or empty text has no shingles and is linked with nothing. A repeated doc_id counts as one document with that
-    of its texts which has most distinct shingles (of several, the one whose set has the largest fingerprint). A null doc_id gives a row with null component_id that isn't kept. An empty table gives an
-    empty result.
+    of its texts which has most distinct shingles (of several, the one whose set has the largest fingerprint). A null doc_id gives a row with null component_id that isn't kept. Very long texts are
+    read whole. An empty table gives an empty result; extra columns are ignored, whatever their names.
     """
     small_batches(docs.sparkSession)
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
