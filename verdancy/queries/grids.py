@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from verdancy.functions.scalars import vapour_pressure_deficit
 from verdancy.operators.cleaning import complete_stations
-from verdancy.operators.grid import GridSpec, block_of, category_at, footprint, forest_mask, mosaic, nearest_irregular, nearest_lookup, nearest_valid, rectangles, scaffold
+from verdancy.operators.grid import GridSpec, block_of, category_at, footprint, forest_mask, mosaic, nearest_irregular, nearest_lookup, nearest_valid, rectangles
 from verdancy.operators.reshape import update_join
 from verdancy.queries.frames import LANDCOVER, OBS, REGIONAL, ROWS, Queries, grid_size, landcover, obs, r6, regional, table
 from verdancy.queries.summaries import _SHARE, shares
