@@ -224,7 +224,7 @@ def _char_counts(texts: DataFrame) -> dict[str, int]:
     @frugal
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = _Grams()
-        for batch in parts(batches):
+        for batch in parts(batches, 100):  # some twenty bytes a character while they are counted
             grams.add(batch.column(0).to_pylist())
         names, n = grams.table()
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(n, pa.int64())], ["gram", "n"])
