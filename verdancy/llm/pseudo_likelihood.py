@@ -33,6 +33,7 @@ BATCH = 8192
 RATE = 0.1
 SHARD_CHARS = 24_000_000  # of a shard's texts; a task holds their tokens, two bytes each, while it trains
 TAUGHT_CHARS, MOST_ROUNDS = 72_000_000, 24  # a corpus of fewer characters is gone over again
+PIECE = 500  # texts whose tokens are mixed in training
 COUNTED_WORDS = 200_000
 CARRIED_WORDS = 200_000  # the most frequent words' counts travel to the workers, the others' are joined
 _CACHE_WORDS = 200_000
@@ -241,42 +242,52 @@ def _windows(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return line[at], np.stack([line[at + k] for k in (*range(-WINDOW, 0), *range(1, WINDOW + 1))])
 
 
-def train(docs: DataFrame, words: list[str]) -> np.ndarray:
-    """Parameters averaged over the shards' networks, weighted by tokens; every document is seen by one of them, in an order of hashes."""
-    known = docs.sparkSession.sparkContext.broadcast(words)
-    chars = docs.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
+def dealt(docs: DataFrame, chars: int) -> DataFrame:
+    """shard, lot (the order in it), rounds (over the corpus) and text of all rows."""
     shards = -(-chars // SHARD_CHARS) or 1
     rounds = min(MOST_ROUNDS, max(1, TAUGHT_CHARS // max(chars, 1)))
+    lot = F.xxhash64(F.col("doc_id").cast("string"), "text")
+    return docs.select(F.pmod(lot, F.lit(shards)).cast("int").alias("shard"), lot.alias("lot"), F.lit(rounds).alias("rounds"), "text")
+
+
+def train(docs: DataFrame, words: list[str]) -> np.ndarray:
+    """Parameters averaged over the networks of the shards of dealt(), weighted by tokens; every document is seen by one of them, in an order of hashes. Only token ids move."""
+    known = docs.sparkSession.sparkContext.broadcast(words)
 
     @frugal
-    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = _Ids(known.value)
-        held: dict[int, list[np.ndarray]] = {}
         for batch in parts(batches):
-            for shard, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if shard not in held:  # shards come one after another
-                    yield from taught(held)
-                    held = {shard: []}
-                held[shard].append(ids(text))
-        yield from taught(held)
-
-    def taught(held: dict[int, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        for shard, texts in held.items():
-            target, around = _windows(texts)
-            n, net = len(target), Network()
-            order = np.random.default_rng(shard)
-            for _ in range(rounds):
-                mixed = order.permutation(n)
-                for at in range(0, n, BATCH):
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array([ids(x).tobytes() for x in batch.column(3).to_pylist()], pa.binary())], ["shard", "lot", "rounds", "ids"])
+
+    @frugal
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, rounds, held = None, 1, []
+        for batch in batches:
+            for own, again, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if own != shard:  # shards come one after another
+                    yield from taught(shard, rounds, held)
+                    shard, rounds, held = own, again, []
+                held.append(np.frombuffer(ids, np.int16))
+        yield from taught(shard, rounds, held)
+
+    def taught(shard: int | None, rounds: int, texts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        if not texts:
+            return
+        net, order, n = Network(), np.random.default_rng(shard), sum(map(len, texts))
+        for _ in range(rounds):
+            for top in range(0, len(texts), PIECE):
+                target, around = _windows(texts[top : top + PIECE])
+                mixed = order.permutation(len(target))
+                for at in range(0, len(target), BATCH):
                     own = mixed[at : at + BATCH]
                     net.learn(target[own], around[:, own])
-            flat = np.r_[net.flat().astype(float) * n, n]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(flat), shard, np.int32)), pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat)], ["shard", "i", "x"])
+        flat = np.r_[net.flat().astype(float) * n, n]
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(flat), shard, np.int32)), pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat)], ["shard", "i", "x"])
 
-    lot = F.xxhash64(F.col("doc_id").cast("string"), "text")
-    rows = docs.select(F.pmod(lot, F.lit(shards)).cast("int").alias("shard"), "text", lot.alias("lot"))
-    dealt = rows.repartition(shards, "shard").sortWithinPartitions("shard", "lot").select("shard", "text")
-    copies = stored(dealt.mapInArrow(fit, "shard int, i int, x double"))  # a row for each parameter and shard
+    by_shard = docs.select("shard", "lot", "rounds", "text").mapInArrow(numbers, "shard int, lot long, rounds int, ids binary")
+    by_shard = by_shard.repartition("shard").sortWithinPartitions("shard", "lot", "ids").select("shard", "rounds", "ids")
+    copies = stored(by_shard.mapInArrow(fit, "shard int, i int, x double"))  # a row for each parameter and shard
     # added up in the order of shards, so that the last digits don't depend on tasks either
     sums = copies.groupBy("i").agg(F.sort_array(F.collect_list(F.struct("shard", "x"))).alias("x")).select("i", F.aggregate("x", F.lit(0.0), lambda a, x: a + x["x"]).alias("x"))
     sums = sums.toPandas().sort_values("i")["x"].to_numpy()
@@ -296,7 +307,8 @@ def pseudo_likelihoods(docs: DataFrame) -> DataFrame:
     words = frequent_words(counted)
     words += [f"\x00{k}" for k in range(WORDS - len(words))]  # a small corpus leaves places that no word takes
     rare, totals, carried = class_counts(counted, words)
-    model = docs.sparkSession.sparkContext.broadcast((words, totals, carried, train(docs, words)))
+    chars = counted.agg(F.sum(F.col("n") * (F.length("word") + 1))).first()[0] or 0
+    model = docs.sparkSession.sparkContext.broadcast((words, totals, carried, train(dealt(docs, chars), words)))
 
     @frugal
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
