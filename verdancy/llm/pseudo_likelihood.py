@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdancy.llm.storage import dropped, frugal, parts, small_batches, stored
+from verdancy.llm.storage import frugal, parts, small_batches, stored
 
 WORDS = 448
 ENDINGS = 64
@@ -287,11 +287,9 @@ def train(docs: DataFrame, words: list[str]) -> np.ndarray:
 
     by_shard = docs.select("shard", "lot", "rounds", "text").mapInArrow(numbers, "shard int, lot long, rounds int, ids binary")
     by_shard = by_shard.repartition("shard").sortWithinPartitions("shard", "lot", "ids").select("shard", "rounds", "ids")
-    copies = stored(by_shard.mapInArrow(fit, "shard int, i int, x double"))  # a row for each parameter and shard
-    # added up in the order of shards, so that the last digits don't depend on tasks either
-    sums = copies.groupBy("i").agg(F.sort_array(F.collect_list(F.struct("shard", "x"))).alias("x")).select("i", F.aggregate("x", F.lit(0.0), lambda a, x: a + x["x"]).alias("x"))
-    sums = sums.toPandas().sort_values("i")["x"].to_numpy()
-    dropped(copies)
+    copies = by_shard.mapInArrow(fit, "shard int, i int, x double")  # a row for each parameter and shard
+    # added up as decimals, partial sums first, so that the last digits don't depend on tasks either
+    sums = copies.groupBy("i").agg(F.sum(F.col("x").cast("decimal(28,10)")).cast("double").alias("x")).toPandas().sort_values("i")["x"].to_numpy()
     return (sums[:-1] / sums[-1]).astype(np.float32) if len(sums) and sums[-1] else Network().flat()
 
 
