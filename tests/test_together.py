@@ -139,3 +139,37 @@ def test_small_and_empty_groups(spark):
     assert set(got) == {1, 2, 4, 5} and got[4].prediction is None and got[1].prediction == 3.0 and got[2].prediction == 2.0
     with pytest.raises(ValueError, match="rows of 0 folds"):
         cross_validated(rows.limit(0), ["id"], ["a"], "y", trees=2, depth=2)
+
+
+def test_blocks_are_copied_for_neither_folds_nor_trees(grown, spark, monkeypatch, tmp_path):
+    """A block meets all trees of its group at once; where these are large, in several parts with the same result."""
+    rows, one, models, by_levels, many = grown
+    plain = together._block
+
+    def counted(batch, k):
+        with open(log, "a") as f:
+            f.write("x")
+        return plain(batch, k)
+
+    monkeypatch.setattr(together, "_block", counted)
+    table_of = spark.createDataFrame(list(models.values()), together.TREE)
+    n = many.count()
+
+    def met(job, name):
+        nonlocal log
+        log = str(tmp_path / name)
+        found = job().collect()
+        return found, len(open(log).read())
+
+    log = ""
+    phi, read = met(lambda: contributions_of(many, table_of, NAMES, FOLDS, TREES), "phi")
+    assert read == n
+    assert met(lambda: forests(many, FOLDS, TREES, DEPTH, 7), "levels")[1] == DEPTH * n
+    assert met(lambda: forests(one, FOLDS, TREES, DEPTH, 7), "alone")[1] <= together.SHARES * one.count()
+    monkeypatch.setattr(together, "TREE_BYTES", 3 * 28 * FOLDS * 2**DEPTH)
+    parted, read = met(lambda: contributions_of(many, table_of, NAMES, FOLDS, TREES), "parted")
+    assert n < read <= TREES * n
+    got = {r._row: (*r.phi, r.base) for r in parted}
+    assert all(np.allclose(got[r._row], (*r.phi, r.base), atol=1e-9) for r in phi) and len(got) == len(phi)
+    trees, read = met(lambda: forests(many, FOLDS, TREES, DEPTH, 7), "trees")
+    assert read > DEPTH * n and {(t._group, t._fold, t._tree): t.feature for t in trees} == {key: t.feature for key, t in by_levels.items()}

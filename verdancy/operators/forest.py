@@ -18,7 +18,7 @@ from verdancy.operators.aggregates import regression_metrics
 from verdancy.operators.calendar import pooled_window, sliding_windows
 from verdancy.operators.cleaning import complete_cases
 from verdancy.operators.reshape import hash_fold, hashed_sample
-from verdancy.operators.together import blocks, contributions_of, forests
+from verdancy.operators.together import BLOCKS_IN_FILE, blocks, contributions_of, forests
 from verdancy.session import shared_folder, written
 
 TREES, FOLDS, SEED = 500, 10, 42
@@ -131,7 +131,7 @@ def cross_validated(df: DataFrame, keys: list[str], features: list[str], target:
     if len(found) < 2:
         raise ValueError(f"rows of {len(found)} folds: no fold can be explained by a forest of the others")
     placed = rows.withColumn("_fold", F.array_position(F.array(*map(F.lit, found)), F.col("fold")).cast("int") - 1).withColumn("_group", F.col(group).cast("long") if group else F.lit(0).cast("long"))
-    of = written(blocks(placed, features, target, weight, keys))
+    of = written(blocks(placed, features, target, weight, keys), BLOCKS_IN_FILE)
     models = written(forests(of, len(found), trees, depth, seed))
     told = contributions_of(of, models, features, len(found), trees)
     prediction = F.aggregate("_phi", F.col("base"), lambda a, x: a + x)

@@ -1,16 +1,18 @@
 """Many weighted forests grown and explained in one job: one for each group of rows and each fold left out.
 
 Rows lie in blocks. A tree is an array of nodes in heap order (children of i at 2i + 1 and 2i + 2), grown level by
-level from histograms of weights and targets over binned features. Where a group is one block, a task grows its trees
-from it; where it is many, a level is one shuffle: each block sends the histograms of its open nodes, keyed by group,
-fold and tree, and the sum of a tree's histograms splits its nodes. Bootstrap draws are Poisson counts from a hash of row
+level from histograms of weights and targets over binned features. Where a group is one block, tasks grow its trees
+from it; where it is many, a level is one shuffle: each block meets all trees of its group at once and sends the
+histograms of their open nodes, keyed by group, fold and tree, and the sum of a tree's histograms splits its nodes. Trees
+move to blocks, so a block is copied for neither folds nor trees. Bootstrap draws are Poisson counts from a hash of row
 and tree, and histograms are summed in the order of blocks, so a forest doesn't depend on tasks or partitions.
 
-Finished trees are rows of a table. To explain rows, blocks meet the trees of their group and fold by key.
+Finished trees are rows of a table. To explain rows, blocks meet the trees of their group by key.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -19,11 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdancy.session import written
+from verdancy.session import large_rows, written
 
 BINS = 64
-BLOCK_ROWS = 1 << 18  # a task holds a block: some 70 bytes a row, and as much again while it works
-MOST_AT_ONCE = 25  # trees that a task grows or explains together
+BLOCK_ROWS = 1 << 15  # a task holds a block: some 70 bytes a row, and as much again while it works
+BLOCKS_IN_FILE = 8  # a reader holds the blocks of a file
+MOST_TASKS = 1_024  # over which blocks are spread
+SHARES = 8  # tasks that grow the trees of a lone block
+TREE_BYTES = 16 << 20  # trees that meet a block at once: all of a group, but for large forests
 EDGE_ROWS = 20_000  # rows of a group, about, that the edges of bins are taken from
 LEAVES_AT_ONCE, ROWS_AT_ONCE = 64, 2_000
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(20)])
@@ -191,6 +196,7 @@ def blocks(rows: DataFrame, features: list[str], target: str, weight: str | None
     Edges of bins are quantiles of about EDGE_ROWS rows of the group, chosen by hash; every value is an edge where a
     feature has few.
     """
+    large_rows(rows.sparkSession)
     lot = F.xxhash64(*keys, *features, target)
     some = rows.withColumn("_h", lot)
     sizes = some.groupBy("_group").agg(F.count("*").alias("_n")).withColumn("_blocks", F.ceil(F.col("_n") / block_rows).cast("int"))
@@ -216,15 +222,14 @@ def blocks(rows: DataFrame, features: list[str], target: str, weight: str | None
     return listed.select("_group", "_block", "_blocks", "edges", "rows").mapInArrow(pack, _COLUMNS)
 
 
-def at_once(trees: int) -> int:
-    """Trees of a task: few of a small forest, so that many tasks have some."""
-    return max(1, min(MOST_AT_ONCE, trees // 8))
+def _spread(met: DataFrame, blocks: int, *more: str) -> DataFrame:
+    """Blocks over tasks, rarely two in one: adaptive execution would gather small ones, but work on a block takes long."""
+    return met.repartition(max(1, min(4 * blocks, MOST_TASKS)), "_group", "_block", *more)
 
 
-def _dealt(of: DataFrame, folds: int, trees: int) -> DataFrame:
-    """Each block once for every fold and at_once() trees, spread over tasks."""
-    fold, chunk = F.explode(F.sequence(F.lit(0), F.lit(folds - 1))), F.explode(F.sequence(F.lit(0), F.lit(-(-trees // at_once(trees)) - 1)))
-    return of.withColumn("_fold", fold).withColumn("_chunk", chunk).repartition("_group", "_block", "_fold", "_chunk")
+def _copied(of: DataFrame, times: int, blocks: int) -> DataFrame:
+    """Each block `times` times, spread over tasks."""
+    return _spread(of.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(times - 1)))), times * blocks, "_chunk")
 
 
 def _told(rows: list[tuple]) -> pa.RecordBatch:
@@ -235,25 +240,22 @@ def _told(rows: list[tuple]) -> pa.RecordBatch:
     )
 
 
-def _trees_of(chunk: int, trees: int) -> range:
-    n = at_once(trees)
-    return range(chunk * n, min(trees, (chunk + 1) * n))
-
-
 def forests(of: DataFrame, folds: int, trees: int, depth: int, seed: int) -> DataFrame:
     """A table of trees: for each group and fold, `trees` trees of the group's rows outside the fold, thresholds in units of the features."""
+    pairs = list(itertools.product(range(folds), range(trees)))
+    shares = min(SHARES, len(pairs))
 
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, k in _each(batches):
             block = _block(batch, k)
-            group, fold, chunk = (batch.column(c)[k].as_py() for c in ("_group", "_fold", "_chunk"))
-            grown_here = ((tree, grown(block, fold, tree, depth, seed)) for tree in _trees_of(chunk, trees))
-            found = [(group, fold, tree, *t.arrays(block["edges"])) for tree, t in grown_here if t is not None]
-            if found:
-                yield _told(found)
-
-    alone = _dealt(of.where("_blocks = 1"), folds, trees).mapInArrow(grow, TREE)
-    many = of.where("_blocks > 1")
+            group, chunk = (batch.column(c)[k].as_py() for c in ("_group", "_chunk"))
+            for fold, tree in pairs[chunk::shares]:
+                if (t := grown(block, fold, tree, depth, seed)) is not None:
+                    yield _told([(group, fold, tree, *t.arrays(block["edges"]))])
+
+    large_rows(of.sparkSession)
+    lone, many = of.where("_blocks = 1"), of.where("_blocks > 1")
+    alone = _copied(lone, shares, lone.count()).mapInArrow(grow, TREE)
     return alone if many.isEmpty() else alone.unionByName(_by_levels(many, folds, trees, depth, seed))
 
 
@@ -263,9 +265,12 @@ _STATE = "_group long, _fold int, _tree int, _chunk int, n_bins int, " + ", ".jo
 
 def _by_levels(of: DataFrame, folds: int, trees: int, depth: int, seed: int) -> DataFrame:
     """Trees of groups of many blocks: a level of all of them is one join of blocks and trees and one shuffle of histograms."""
-    of = written(of)
-    n_blocks = of.select("_group", "_block")
+    of = written(of, BLOCKS_IN_FILE)
+    each = of.select("_group", "_block")
+    n_blocks = each.count()
     state = None
+    pairs = list(itertools.product(range(folds), range(trees)))
+    together = max(1, TREE_BYTES // (24 * 2 ** (depth + 1)))
     names = ["_group", "_fold", "_tree", "_chunk", "n_bins"]
     kinds = [pa.int64(), *[pa.int32()] * 4]
 
@@ -283,20 +288,25 @@ def _by_levels(of: DataFrame, folds: int, trees: int, depth: int, seed: int) ->
         def send(batches: Iterator[pa.RecordBatch], level: int = level) -> Iterator[pa.RecordBatch]:
             for batch, k in _each(batches):
                 block = _block(batch, k)
-                group, fold, chunk, number = (batch.column(c)[k].as_py() for c in ("_group", "_fold", "_chunk", "_block"))
-                use = block["fold"] != fold
-                bins, y, n_bins = block["bins"][use], block["y"][use], block["edges"].shape[1] + 1
-                known = [(t, Tree(depth)) for t in _trees_of(chunk, trees)] if level == 0 else [(t["_tree"], tree_of(t)) for t in batch.column("trees")[k].as_py()]
-                for tree, t in known:
-                    w = block["w"][use] * draws(block["h"][use], fold, tree, seed)
-                    nodes = np.arange(2**level - 1, 2 ** (level + 1) - 1)
-                    if level:
-                        nodes = nodes[(t.cover[nodes] > 0) & (t.feature[(nodes - 1) // 2] >= 0)]
-                    at = t.node(bins, level)
-                    nodes = np.intersect1d(nodes, at)
-                    sums = histograms(bins, at, nodes, w, w * y, n_bins) if len(nodes) else np.zeros(0)
-                    values = [group, fold, tree, chunk, n_bins, number, nodes.astype(np.int64).tobytes(), sums.tobytes(), *packed(t if number == 0 else None)]
-                    yield pa.RecordBatch.from_arrays([pa.array([v], kind) for v, kind in zip(values, [*kinds, pa.int32(), *[pa.binary()] * 6], strict=True)], [*names, "_block", "nodes", "sums", *_HELD])
+                group, chunk, number = (batch.column(c)[k].as_py() for c in ("_group", "_chunk", "_block"))
+                n_bins = block["edges"].shape[1] + 1
+                if level == 0:
+                    known = [(fold, tree, Tree(depth)) for fold, tree in pairs[chunk * together : (chunk + 1) * together]]
+                else:
+                    known = [(t["_fold"].as_py(), t["_tree"].as_py(), tree_of({c: t[c].as_py() for c in _HELD})) for t in batch.column("trees")[k].values]
+                for fold, some in itertools.groupby(sorted(known, key=lambda t: t[:2]), key=lambda t: t[0]):
+                    use = block["fold"] != fold
+                    bins, y, own, h = (block[c][use] for c in ("bins", "y", "w", "h"))
+                    for _, tree, t in some:
+                        w = own * draws(h, fold, tree, seed)
+                        nodes = np.arange(2**level - 1, 2 ** (level + 1) - 1)
+                        if level:
+                            nodes = nodes[(t.cover[nodes] > 0) & (t.feature[(nodes - 1) // 2] >= 0)]
+                        at = t.node(bins, level)
+                        nodes = np.intersect1d(nodes, at)
+                        sums = histograms(bins, at, nodes, w, w * y, n_bins) if len(nodes) else np.zeros(0)
+                        values = [group, fold, tree, chunk, n_bins, number, nodes.astype(np.int64).tobytes(), sums.tobytes(), *packed(t if number == 0 else None)]
+                        yield pa.RecordBatch.from_arrays([pa.array([v], kind) for v, kind in zip(values, [*kinds, pa.int32(), *[pa.binary()] * 6], strict=True)], [*names, "_block", "nodes", "sums", *_HELD])
 
         def add(batches: Iterator[pa.RecordBatch], level: int = level) -> Iterator[pa.RecordBatch]:
             def settled(key: list, t: Tree, sums: dict[int, np.ndarray]) -> pa.RecordBatch:
@@ -324,12 +334,12 @@ def _by_levels(of: DataFrame, folds: int, trees: int, depth: int, seed: int) ->
                 yield settled(last, t, sums)
 
         if level == 0:
-            pairs = _dealt(of, folds, trees)
+            met = _copied(of, -(-len(pairs) // together), n_blocks)
         else:
-            chunk = state.groupBy("_group", "_fold", "_chunk").agg(F.collect_list(F.struct("_tree", *_HELD)).alias("trees"))
-            pairs = chunk.join(n_blocks, "_group").join(of, ["_group", "_block"])
+            chunk = state.groupBy("_group", "_chunk").agg(F.collect_list(F.struct("_fold", "_tree", *_HELD)).alias("trees"))
+            met = _spread(chunk.join(each, "_group"), n_blocks).join(of, ["_group", "_block"])
         sent = _STATE.replace("n_bins int", "n_bins int, _block int, nodes binary, sums binary")
-        by_tree = pairs.mapInArrow(send, sent).repartition("_group", "_fold", "_tree").sortWithinPartitions("_group", "_fold", "_tree", "_block")
+        by_tree = met.mapInArrow(send, sent).repartition("_group", "_fold", "_tree").sortWithinPartitions("_group", "_fold", "_tree", "_block")
         state = written(by_tree.mapInArrow(add, _STATE))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,18 +358,24 @@ def contributions_of(of: DataFrame, models: DataFrame, features: list[str], fold
     def explain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, k in _each(batches):
             block = _block(batch, k)
-            own = block["fold"] == batch.column("_fold")[k].as_py()
-            if not own.any():
-                continue
             told = batch.column("trees")[k].values
-            found = [leaves(*(told.field(c)[i].values.to_numpy(zero_copy_only=False) for c in ("feature", "threshold", "cover", "value")), p) for i in range(len(told))]
-            phi = explained_sum(block["x"][own], {c: np.concatenate([part[c] for part in found]) for c in found[0]})
-            base = sum(float((part["value"] * part["kept"].prod(1)).sum()) for part in found)
-            n = len(phi)
-            yield pa.RecordBatch.from_arrays([pa.array(block["row"][own]), pa.array(list(phi), pa.list_(pa.float64())), pa.array(np.full(n, base)), pa.array(np.full(n, len(found), np.int64))], ["_row", "phi", "base", "n"])
-
-    chunk = F.floor(F.col("_tree") / at_once(trees)).cast("int").alias("_chunk")
-    told = models.groupBy("_group", "_fold", chunk).agg(F.collect_list(F.struct("feature", "threshold", "cover", "value")).alias("trees"))
-    parts = _dealt(of, folds, trees).join(told, ["_group", "_fold", "_chunk"]).mapInArrow(explain, "_row long, phi array<double>, base double, n long")
+            of_fold = told.field("_fold").to_numpy()
+            order = np.lexsort((told.field("_tree").to_numpy(), of_fold))
+            for fold in np.intersect1d(block["fold"], of_fold):
+                own = block["fold"] == fold
+                found = [leaves(*(told.field(c)[i].values.to_numpy(zero_copy_only=False) for c in ("feature", "threshold", "cover", "value")), p) for i in order[of_fold[order] == fold].tolist()]
+                phi = explained_sum(block["x"][own], {c: np.concatenate([part[c] for part in found]) for c in found[0]})
+                base = sum(float((part["value"] * part["kept"].prod(1)).sum()) for part in found)
+                n = len(phi)
+                yield pa.RecordBatch.from_arrays([pa.array(block["row"][own]), pa.FixedSizeListArray.from_arrays(phi.ravel(), p).cast(pa.list_(pa.float64())), pa.array(np.full(n, base)), pa.array(np.full(n, len(found), np.int64))], ["_row", "phi", "base", "n"])
+
+    large_rows(of.sparkSession)
+    size = models.agg(F.max(F.size("feature"))).first()[0] or 1
+    together = max(1, TREE_BYTES // (28 * size * folds))
+    chunk = F.floor(F.col("_tree") / together).cast("int").alias("_chunk")
+    told = models.groupBy("_group", chunk).agg(F.collect_list(F.struct("_fold", "_tree", "feature", "threshold", "cover", "value")).alias("trees"))
+    each = of.select("_group", "_block")
+    met = _spread(told.join(each, "_group"), each.count()).join(of, ["_group", "_block"])
+    parts = met.mapInArrow(explain, "_row long, phi array<double>, base double, n long")
     summed = parts.groupBy("_row").agg(*(F.sum(F.col("phi")[k]).alias(f"_{k}") for k in range(p)), F.sum("base").alias("base"), F.sum("n").alias("n"))
     return summed.select("_row", F.array(*(F.col(f"_{k}") / F.col("n") for k in range(p))).alias("phi"), (F.col("base") / F.col("n")).alias("base"))

@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+BATCH_BYTES = 4 << 20
+
+
 def session(name: str = "verdancy", **config: str) -> SparkSession:
     """A session in UTC with adaptive execution; keyword options use `__` for dots."""
     builder = SparkSession.builder.appName(name).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true")
@@ -27,8 +30,13 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df written once to the shared folder and read back: what is used several times neither fills memory nor is lost with an executor."""
+def large_rows(spark: SparkSession) -> None:
+    """Arrow batches of about BATCH_BYTES at most from now on in this session: packed rows of some MB go to Python a few at a time."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def written(df: DataFrame, rows_in_file: int = 0) -> DataFrame:
+    """df written once to the shared folder and read back: what is used several times neither fills memory nor is lost with an executor. Large rows are few in a file (rows_in_file), as a reader holds many rows at once."""
     path = f"{shared_folder(df.sparkSession)}/written/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", rows_in_file).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
