@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from verdancy.session import clustered
+
 #: season -> intervals (first month * 100 + day, last, shift of the year the day counts for)
 SEASONS: dict[str, list[tuple[int, int, int]]] = {
     "annual": [(101, 1231, 0)],
@@ -53,9 +55,11 @@ def seasons_of(sums: DataFrame, keys: list[str], values: list[str], seasons: lis
 def seasonal_means(df: DataFrame, keys: list[str], ts: str, values: list[str], seasons: list[str]) -> DataFrame:
     """Mean of each value per key, season and season year; missing values are left out.
 
-    Rows are added up by the segments between season edges, whatever the number of seasons, and seasons from these.
+    Rows are added up by the segments between season edges, whatever the number of seasons, and seasons from these. A
+    key's rows meet in one of many tasks before that: nearly each row may be a group of its own.
     """
-    return seasons_of(segment_sums(df, keys, ts, values, seasons), keys, values, seasons)
+    rows = clustered(df.select(*keys, ts, *values), *keys)
+    return seasons_of(segment_sums(rows, keys, ts, values, seasons), keys, values, seasons)
 
 
 def same_year_winter(df: DataFrame, keys: list[str], ts: str, values: list[str]) -> DataFrame:

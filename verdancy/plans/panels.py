@@ -25,8 +25,8 @@ def trend_anomaly_panels(contrib: DataFrame, climate: DataFrame, keys: list[str]
     """
     by, own = ["season", "window_start"], [*keys, "season"]
     shared = season_shares(contrib, "window_start", seasons)
-    base = climate.groupBy(*own).agg(*(F.avg(c).alias(f"{c}_base") for c in drivers))
-    windows = sliding_windows(climate, own, "year", drivers, first, last, length).join(base, own)
+    beside = climate.na.drop(subset=own).withColumns({f"{c}_base": F.avg(c).over(Window.partitionBy(*own)) for c in drivers})  # over a cell's years
+    windows = sliding_windows(beside, [*own, *(f"{c}_base" for c in drivers)], "year", drivers, first, last, length)
     z = windows.groupBy(*by).agg(*(F.try_divide(F.avg(F.col(c) - F.col(f"{c}_base")), F.stddev_samp(f"{c}_base")).alias(c) for c in drivers))
     fits = shared.join(z, by).select("season", "share", *drivers).unpivot(["season", "share"], drivers, "panel", "x")
     trends = shared.select("season", "share", F.lit("trend").alias("panel"), F.col("window_start").cast("double").alias("x"))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 BATCH_BYTES = 4 << 20
+CLUSTERS = 256
 
 
 def session(name: str = "verdancy", **config: str) -> SparkSession:
@@ -30,6 +31,11 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def clustered(df: DataFrame, *keys: str) -> DataFrame:
+    """df with the rows of a key in one of CLUSTERS tasks, which adaptive execution doesn't gather into fewer: what groups by these keys and more needs no other shuffle, and its hash tables stay small in each task."""
+    return df.repartition(CLUSTERS, *keys)
+
+
 def large_rows(spark: SparkSession) -> None:
     """Arrow batches of about BATCH_BYTES at most from now on in this session: packed rows of some MB go to Python a few at a time."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
