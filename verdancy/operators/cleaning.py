@@ -73,9 +73,21 @@ def ranked_quantiles(df: DataFrame, value: str, by: list[str], qs: dict[str, flo
     only the two rows around each quantile are gathered. Equal values are counted as one row, so a frequent value is
     no large range.
     """
-    counted = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
-    # written, because the ranges must be the same wherever they are read
-    counted = written(counted.repartitionByRange(*by, value).withColumn("_pid", F.spark_partition_id()))
+    return counted_quantiles(ranged(value_counts(df, value, by), value, by), value, by, qs)
+
+
+def value_counts(df: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """How often (_c) each value is in its group."""
+    return df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
+
+
+def ranged(counts: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """Counts by ranges of group and value (_pid), written, because the ranges must be the same wherever they are read."""
+    return written(counts.repartitionByRange(*by, value).withColumn("_pid", F.spark_partition_id()))
+
+
+def counted_quantiles(counted: DataFrame, value: str, by: list[str], qs: dict[str, float]) -> DataFrame:
+    """Exact interpolated quantiles of groups from all or some rows of ranged()."""
     own = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
     ranges = counted.groupBy(*by, "_pid").agg(F.sum("_c").alias("_n"))
     before = ranges.withColumn("_before", F.sum("_n").over(own.orderBy("_pid")) - F.col("_n")).withColumn("_all", F.sum("_n").over(own)).drop("_n")
@@ -115,6 +127,16 @@ def median_split(df: DataFrame, value: str, by: list[str], label: str = "half",
     return joined.withColumn(label, F.when(F.col(value) < F.col("_m"), "low").otherwise("high")).drop("_m")
 
 
+def outer_halves(df: DataFrame, value: str, by: list[str], counts: DataFrame | None = None, low: float = 0.25, high: float = 0.75, label: str = "half") -> DataFrame:
+    """median_split() of outer_quantiles(). The group's value_counts(), or counts if they are known, tell the quantiles and the median of what is left, so df is read once more only."""
+    counted = ranged(counts if counts is not None else value_counts(df, value, by), value, by)
+    outer = lambda rows: rows.where((F.col(value) <= F.col("_lo")) | (F.col(value) >= F.col("_hi")))
+    q = written(counted_quantiles(counted, value, by, {"_lo": low, "_hi": high}))
+    m = counted_quantiles(outer(beside_groups(counted, q, by)).select(*by, value, "_c", "_pid"), value, by, {"_m": 0.5})
+    joined = outer(beside_groups(df, q.join(m, by) if by else q.crossJoin(m), by))
+    return joined.withColumn(label, F.when(F.col(value) < F.col("_m"), "low").otherwise("high")).drop("_lo", "_hi", "_m")
+
+
 def covers_event(start: str, end: str, event: str, years: int) -> Column:
     """Whether a period reaches at least `years` years of 365 days before and after an event."""
     day = F.to_date(F.lit(event))

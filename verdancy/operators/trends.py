@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from verdancy.functions.statistics import band, fitted, moments, t_quantile
 from verdancy.operators.aggregates import baseline
-from verdancy.operators.cleaning import median_split, outer_quantiles
+from verdancy.operators.cleaning import outer_halves
 
 
 def trend(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
@@ -44,10 +44,10 @@ def effect_fit(df: DataFrame, by: list[str], x: str, y: str, points: int = 80) -
     return band(m, "lo", "hi", points).select(*by, "k", "x", "fit", "lower", "upper", "slope", "r2")
 
 
-def dependence_fit(df: DataFrame, by: list[str], feature: str, contribution: str, points: int = 100) -> DataFrame:
-    """Outer quarters of the feature, split at their median into low and high, each fitted with its band."""
-    outer = outer_quantiles(df.select(*by, feature, contribution).na.drop(), feature, by)
-    return effect_fit(median_split(outer, feature, by), [*by, "half"], feature, contribution, points)
+def dependence_fit(df: DataFrame, by: list[str], feature: str, contribution: str, points: int = 100, counts: DataFrame | None = None) -> DataFrame:
+    """Outer quarters of the feature, split at their median into low and high, each fitted with its band; counts as for outer_halves()."""
+    rows = df.select(*by, feature, contribution).na.drop()
+    return effect_fit(outer_halves(rows, feature, by, counts), [*by, "half"], feature, contribution, points)
 
 
 def theil_sen(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:

@@ -34,9 +34,16 @@ def trend_anomaly_panels(contrib: DataFrame, climate: DataFrame, keys: list[str]
 
 
 def dependence_grid(df: DataFrame, by: list[str], drivers: list[str], contributions: list[str], points: int = 100) -> DataFrame:
-    """dependence_fit() of every contribution on every driver, named in columns `season` and `driver`."""
+    """dependence_fit() of every contribution on every driver, named in columns `season` and `driver`.
+
+    A driver's values are counted for all contributions in one row.
+    """
+    known = lambda c: F.col(c).isNotNull() & ~F.isnan(c)
+    tall = df.select(*by, *drivers, *contributions).unpivot([*by, *contributions], drivers, "driver", "f").where(known("f"))
+    counts = tall.groupBy(*by, "driver", "f").agg(*(F.count(F.when(known(c), 1)).alias(c) for c in contributions))
+    counts = counts.unpivot([*by, "driver", "f"], contributions, "season", "_c").where("_c > 0")
     long = df.select(*by, *drivers, *contributions).unpivot([*by, *drivers], contributions, "season", "c").unpivot([*by, "season", "c"], drivers, "driver", "f")
-    return dependence_fit(long, [*by, "driver", "season"], "f", "c", points)
+    return dependence_fit(long, [*by, "driver", "season"], "f", "c", points, counts)
 
 
 def season_histograms(cells: DataFrame, season: str, value: str, low: float, high: float, bins: int = 40) -> DataFrame:

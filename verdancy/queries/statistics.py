@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from verdancy.functions.statistics import t_quantile
-from verdancy.operators.cleaning import median_split, outer_quantiles
+from verdancy.operators.cleaning import outer_halves
 from verdancy.operators.trends import dependence_fit, effect_fit, spei, spei_rank, theil_sen, theil_sen_band, theil_sen_prediction_band, theil_sen_spatial, trend, trend_table, trend_with_t
 from verdancy.queries.frames import CONTRIBUTIONS, OBS, Queries, contributions, obs, r6
 
@@ -53,8 +53,8 @@ _PANEL = "UNION ALL ".join(f"SELECT '{s}' AS season, region, heat AS x, {s} AS y
 @QUERIES("h4_dependence_grid", f"WITH {CONTRIBUTIONS}, src AS ({_PANEL}), q AS (SELECT season, region, quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.75) AS q3 FROM src GROUP BY 1, 2), o AS (SELECT src.* FROM src JOIN q USING (season, region) WHERE x <= q1 OR x >= q3), m AS (SELECT season, region, quantile_cont(x, 0.5) AS med FROM o GROUP BY 1, 2), h AS (SELECT o.*, CASE WHEN x < med THEN 'low' ELSE 'high' END AS half FROM o JOIN m USING (season, region)) SELECT season, region, half, count(*)::BIGINT AS n, round(regr_slope(y, x), 6) AS slope FROM h GROUP BY 1, 2, 3")
 def h4(spark, d):
     c = contributions(spark, d).select("region", F.col("heat").alias("f"), "spring", "summer", "autumn", "winter")
-    long = c.unpivot(["region", "f"], ["spring", "summer", "autumn", "winter"], "season", "c")
-    halves = median_split(outer_quantiles(long, "f", ["season", "region"]), "f", ["season", "region"])
+    outer = outer_halves(c, "f", ["region"])  # those of each season, whose rows have the same f
+    halves = outer.unpivot(["region", "f", "half"], ["spring", "summer", "autumn", "winter"], "season", "c")
     return trend(halves, ["season", "region", "half"], "f", "c").select("season", "region", "half", "n", r6("slope").alias("slope"))
 
 
