@@ -172,3 +172,20 @@ def test_menus_of_long_pages_and_long_units_go(monkeypatch):
         assert all("to 3" not in text for text in ruled([made(n) for _ in range(4)]))
     unit = "".join(f"<{t}>x{k}</{t}>" for k, t in enumerate(["p", "h2", "pre", "h3", "dl", "h4", "address", "h5", "ul", "h6", "p", "h1", "pre", "dl", "blockquote"] * 2))
     assert [k[0] for k in keys(page_nodes(f"<section>{unit}</section>" * 4)) if not isinstance(k, str)] == ["+"]
+
+
+def test_long_pages_are_aligned_node_by_node(monkeypatch):
+    """A menu that has a single link on one page goes from pages of any length."""
+
+    def made(n, links):
+        r = random.Random(n + links)
+        body = "".join(f"<{t}>w{r.randrange(10**6)} and more</{t}>" for t in r.choices(["p", "h3", "pre", "blockquote", "dl", "address"], k=n))
+        return f"<body><ul>{''.join(f'<li><a href=/x>to {n + links + k}</a></li>' for k in range(links))}</ul><div>{body}</div></body>"
+
+    for n in (40, 1500):
+        got = ruled([made(n, k) for k in (8, 1, 6, 9)])
+        assert all("to " not in text and text.count("and more") == n for text in got)
+
+    one = [html.matched([r.choice("abcd") for _ in range(50)], list("abdc" * 9)) for r in [random.Random(k) for k in range(9)]]
+    monkeypatch.setattr(html, "LONG", 7)
+    assert one == [html.matched([r.choice("abcd") for _ in range(50)], list("abdc" * 9)) for r in [random.Random(k) for k in range(9)]]

@@ -14,7 +14,6 @@ import json
 import re
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
-from difflib import SequenceMatcher
 
 import pandas as pd
 import pyarrow as pa
@@ -30,7 +29,8 @@ FAN = 32  # wrappers of a host that are aligned in one group
 HELD_HOSTS = 2_000
 HELD_STREAMS = 64  # distinct streams of a host that wait for their alignment
 BROADCAST_BYTES = 32 << 20
-LONG = 3_000  # two streams of more nodes in all are not aligned node by node but by their repeated groups and slots
+LONG = 3_000  # rows of an alignment held at a time, the others are worked out again from every LONG-th: bounds memory, changes no result
+COMMON = 64  # the bits of a key on more nodes are kept
 UNIT = 24  # a repeated unit of more nodes is looked for by its squares
 CONSTANTS = 256  # texts of a slot whose pages are counted; a text on more than a few pages in a hundred is among them
 SLOT = "#"
@@ -191,12 +191,15 @@ def folded(nodes: list, one_page: bool = False) -> list:
 
 
 def _repeating(nodes: list, other: list) -> list:
-    """nodes with each run that other has as a repeated group put as that group."""
-    units = sorted({k[1] for k, _ in other if _is(k, "+")}, key=lambda u: (-len(u), str(u)))
-    for unit in units:
-        out, at, width = [], 0, len(unit)
+    """nodes with each run that other has as a repeated group put as that group, longest runs first."""
+    units: dict[int, set] = defaultdict(set)
+    for k, _ in other:
+        if _is(k, "+"):
+            units[len(k[1])].add(k[1])
+    for width in sorted(units, reverse=True):
+        out, at, keys = [], 0, [k for k, _ in nodes]
         while at < len(nodes):
-            if tuple(k for k, _ in nodes[at : at + width]) == unit:
+            if tuple(keys[at : at + width]) in units[width]:
                 out.append(_group("+", nodes[at : at + width]))
                 at += width
             else:
@@ -207,57 +210,83 @@ def _repeating(nodes: list, other: list) -> list:
 
 
 def _optional(nodes: list) -> list:
-    return nodes if all(_is(k, "?") for k, _ in nodes) else [_group("?", nodes)]
+    """Each node optional by itself, so that a later stream may have some of them only."""
+    return [n if _is(n[0], "?") else _group("?", [n]) for n in nodes]
 
 
-def _loosened(nodes: list) -> list:
-    """The repeated groups and, each optional, the slots outside them, those of one key put together."""
-    held: dict = {}
+def matched(a: list, b: list) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence of two lists of keys, of any length.
 
-    def put(key, load) -> None:
-        if key in held:
-            _take(held[key], load, False)
-        else:
-            held[key] = load
-
-    def walk(some: Iterable) -> None:
-        for key, load in some:
-            if isinstance(key, str):
-                if key[0] == SLOT:
-                    put(("?", (key,)), [load])
-            elif key[0] == "+":
-                put(key, load)
+    A row of lengths is the bits of one number: bit j is 0 where b[j] adds to the length, so a row is a few operations
+    on long numbers. Every LONG-th row is kept and the rows between are worked out again on the way back.
+    """
+    begin = end = 0
+    while begin < min(len(a), len(b)) and a[begin] == b[begin]:
+        begin += 1
+    while end < min(len(a), len(b)) - begin and a[-1 - end] == b[-1 - end]:
+        end += 1
+    ends = [(len(a) - k, len(b) - k) for k in range(end, 0, -1)]
+    rows, columns = a[begin : len(a) - end], b[begin : len(b) - end]
+    places: dict = defaultdict(list)
+    for j, key in enumerate(columns):
+        places[key].append(j)
+    kept: dict = {}
+
+    def bits(key) -> int:
+        if (found := kept.get(key)) is None:
+            found = 0
+            for j in places.get(key, ()):
+                found |= 1 << j
+            if len(places.get(key, ())) > COMMON:
+                kept[key] = found
+        return found
+
+    full = (1 << len(columns)) - 1
+
+    def after(row: int, key) -> int:
+        both = row & bits(key) if key in places else 0
+        return (row + both | row - both) & full if both else row
+
+    marks, row = [full], full
+    for i, key in enumerate(rows, 1):
+        row = after(row, key)
+        if i % LONG == 0:
+            marks.append(row)
+    found = []
+    i, j = len(rows), len(columns)
+    while i and j:
+        first = (i - 1) // LONG
+        held = [marks[first]]  # rows first * LONG to i
+        for key in rows[first * LONG : i]:
+            held.append(after(held[-1], key))
+        while i > first * LONG and j:
+            at = i - first * LONG
+            if held[at] >> (j - 1) & 1:
+                j -= 1
             else:
-                walk(zip(key[1], load, strict=True))
-
-    walk(nodes)
-    return list(held.items())
+                i -= 1
+                if held[at - 1] >> (j - 1) & 1:
+                    j -= 1
+                    found.append((begin + i, begin + j))
+    return [(k, k) for k in range(begin)] + found[::-1] + ends
 
 
 def aligned(a: list, b: list) -> list:
     """The wrapper of what two wrappers of different pages describe."""
-    if len(a) + len(b) > LONG:
-        a, b = _loosened(a), _loosened(b)
-        of = {k: x for k, x in a}
-        for k, x in b:
-            if k in of:
-                _take(of[k], x, False)
-            else:
-                a.append((k, x))
-        return a
     if [k for k, _ in a] != [k for k, _ in b]:
         a, b = _repeating(a, b), _repeating(b, a)
     lone = lambda n: _is(n[0], "?") and len(n[0][1]) == 1
     bare = lambda n: n[0][1] if lone(n) else (n[0],)
     out: list = []
-    for op, i, j, k, m in SequenceMatcher(None, [bare(n) for n in a], [bare(n) for n in b], autojunk=False).get_opcodes():
-        if op != "equal":
-            out += (_optional(a[i:j]) if i < j else []) + (_optional(b[k:m]) if k < m else [])
-            continue
-        for x, y in zip(a[i:j], b[k:m], strict=True):
+    i = k = 0
+    for j, m in [*matched([bare(n) for n in a], [bare(n) for n in b]), (len(a), len(b))]:
+        out += _optional(a[i:j]) + _optional(b[k:m])
+        if j < len(a):
+            x, y = a[j], b[m]
             own, other = (n[1][0] if lone(n) else n[1] for n in (x, y))
             _take(own, other, False)
             out.append(x if lone(x) or not lone(y) else (y[0], [own]))
+        i, k = j + 1, m + 1
     return folded(out)
 
 
