@@ -105,3 +105,24 @@ def test_the_sample_has_a_bound_over_all_languages(spark, monkeypatch):
     monkeypatch.setattr(module, "MOST_TRIGRAMS", 3)
     with pytest.raises(ValueError, match="more than a model may have"):
         train(spark.createDataFrame([("a b c d e f",)], "text string"))
+
+
+def test_the_model_learns_from_all_trusted_documents_but_the_held_out(spark):
+    """Also beyond a few hundred of a language, and from very long ones."""
+    docs = spark.range(1000).selectExpr("id as doc_id", "'en' as lang", "concat_ws(' ', transform(sequence(1, if(id = 7 or id = 8, 6000, 12)), k -> concat('d', id, 'w', k))) as text")
+    labels = spark.range(1000).selectExpr("id as doc_id", "1 as quality")
+    learnt = {r.doc_id for r in labels.where("pmod(xxhash64(doc_id), 10) < 6").collect()}
+    assert len(learnt) > 500 and learnt & {7, 8}
+    assert {r.doc_id for r in quality(docs, labels).where("seen = 1").collect()} == learnt
+
+
+def test_joined_scores_equal_those_beside_a_broadcast(spark, texts, monkeypatch):
+    rows = [(k, t, "en") for k, t in enumerate([*texts * 4, "unknown", "w1 unknown w1 w1", "w1 w1 w1 " * 50, "w1\u00a0w2 w1", "", "  ", None])] + [(3, texts[3], None), (None, texts[1], "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, 1) for k in range(150)], "doc_id long, quality int")
+    get = lambda: sorted(quality(docs, labels).collect(), key=lambda r: (str(r.doc_id), str(r.lang)))
+    beside = get()
+    monkeypatch.setattr(module, "BROADCAST_TRIGRAMS", 0)
+    for a, b in zip(beside, get(), strict=True):
+        assert (a.doc_id, a.lang, a.n_words, a.kept) == (b.doc_id, b.lang, b.n_words, b.kept)
+        assert all(x == y or x == pytest.approx(y, rel=1e-4, abs=1e-4) for x, y in zip(a[3:-1], b[3:-1], strict=True))

@@ -1,12 +1,14 @@
 """Quality classifier: an interpolated modified Kneser-Ney word model of trusted text, and language-specific quantiles.
 
 Counts, continuation counts, context totals and lower-order probabilities are tables hashed over the cluster's
-partitions and joined by n-gram and by context. The trusted sample is bounded, so the finished model is; it is
-broadcast, and each document is scored where it is read.
+partitions and joined by n-gram and by context. The model learns from all trusted documents but those that set the
+quantiles. A small one is broadcast, and each document is scored where it is read; else the documents' trigrams are
+joined with its tables.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -18,11 +20,13 @@ from pyspark.sql import functions as F
 
 from verdancy.llm.storage import dropped, frugal, parts, small_batches, stored
 
-TRUSTED_PER_LANGUAGE = 300  # bound of the trusted sample: documents of each language
-SAMPLED_TENTHS = 6  # the other trusted documents are never in the sample and set the quantiles
+TRUSTED_PER_LANGUAGE = 300  # bound of a trusted sample: documents of each language
+SAMPLED_TENTHS = 6  # the model learns from these trusted documents, the others set the quantiles
 TRUSTED_CHARS = 30_000  # longer trusted documents are not in the sample
 LANGUAGES = 100  # languages with a share of their own in the sample; the others share one
 MODEL_CHARS = 30_000_000  # of the sample's texts over all languages together, an equal share for each
+BROADCAST_TRIGRAMS = 500_000  # a model of more is joined instead of broadcast, with the same results
+BROADCAST_WORDS = 1_000_000
 MOST_TRIGRAMS = MODEL_CHARS // 2  # a word takes two characters at least; the driver gathers no more
 WORD_TYPES = 1e6  # the uniform distribution below the unigrams
 MEMORISED = 0.15  # above this share of known trigrams, and three times the usual share, a document copies trusted text in part
@@ -33,6 +37,7 @@ START = -1
 _SPACE = r"[\x20\x09-\x0D]+"  # words are parted here, in training and in scoring
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _CACHE_WORDS = 100_000
+_GRAMS = 100_000  # rows of trigrams that leave a worker at a time
 
 
 def _discount(counts: DataFrame, name: str) -> tuple[Column, list[float]]:
@@ -47,42 +52,56 @@ def _discount(counts: DataFrame, name: str) -> tuple[Column, list[float]]:
     return F.when(c == 1, d[0]).when(c == 2, d[1]).otherwise(d[2]), d
 
 
-def train(texts: DataFrame) -> dict[str, np.ndarray]:
-    """The model of a bounded table of texts (column text) of MOST_TRIGRAMS different trigrams at most: sorted keys of uni-, bi- and trigrams with log-probabilities and back-off weights."""
+def tables(texts: DataFrame) -> dict:
+    """The model of a table of any number of texts (column text), as stored tables of hashed words: triples (u, v, w, p3), pairs (v, w, p2, g3) and words (w, p1, g2) with log-probabilities and back-off weights, the log of the floor below them, and n, the number of triples."""
     ws = F.filter(F.split("text", _SPACE), lambda w: w != "")
     hashed = F.concat(F.array(F.lit(START).cast("long"), F.lit(START).cast("long")), F.transform(ws, lambda w: F.xxhash64(w)))
     rows = texts.select(hashed.alias("h")).where(F.size("h") > 2)
     three = F.transform(F.sequence(F.lit(1), F.size("h") - 2), lambda i: F.struct(F.element_at("h", i).alias("u"), F.element_at("h", i + 1).alias("v"), F.element_at("h", i + 2).alias("w")))
     c3 = stored(rows.select(F.explode(three).alias("g")).groupBy("g.u", "g.v", "g.w").agg(F.count("*").alias("c")))
-    if (n := c3.count()) > MOST_TRIGRAMS:
-        raise ValueError(f"{n} trigrams are more than a model may have: {MOST_TRIGRAMS}")
     c2 = stored(c3.groupBy("v", "w").agg(F.count("*").alias("c")))
     c1 = stored(c2.groupBy("w").agg(F.count("*").alias("c")))
-    (d3, _), (d2, _), (d1, first) = (_discount(c, "c") for c in (c3, c2, c1))
+    (d3, _), (d2, _), (d1, _) = (_discount(c, "c") for c in (c3, c2, c1))
     total = c1.agg(F.sum("c").alias("t"), F.sum(d1).alias("g")).first()
     if not total["t"]:
-        return {"floor": np.array([-np.log(WORD_TYPES)])}
+        return {"floor": -math.log(WORD_TYPES), "n": 0}
     floor = total["g"] / total["t"] / WORD_TYPES
     p1 = c1.select("w", ((F.col("c") - d1) / F.lit(total["t"]) + F.lit(floor)).alias("p1"))
     at2 = c2.groupBy("v").agg(F.sum("c").alias("t"), (F.sum(d2) / F.sum("c")).alias("g2"))
     p2 = c2.join(at2, "v").join(p1, "w").select("v", "w", ((F.col("c") - d2) / F.col("t") + F.col("g2") * F.col("p1")).alias("p2"))
     at3 = c3.groupBy("u", "v").agg(F.sum("c").alias("t"), (F.sum(d3) / F.sum("c")).alias("g3"))
-    p3 = c3.join(at3, ["u", "v"]).join(p2, ["v", "w"]).select("u", "v", "w", ((F.col("c") - d3) / F.col("t") + F.col("g3") * F.col("p2")).alias("p3"))
-    words = p1.join(at2.select(F.col("v").alias("w"), "g2"), "w", "full").sort("w").select("w", F.log(F.coalesce("p1", F.lit(floor))).cast("float"), F.log(F.coalesce("g2", F.lit(1.0))).cast("float"))
+    p3 = c3.join(at3, ["u", "v"]).join(p2, ["v", "w"]).select("u", "v", "w", F.log((F.col("c") - d3) / F.col("t") + F.col("g3") * F.col("p2")).cast("float").alias("p3"))
+    words = p1.join(at2.select(F.col("v").alias("w"), "g2"), "w", "full").select("w", F.log(F.coalesce("p1", F.lit(floor))).cast("float").alias("p1"), F.log(F.coalesce("g2", F.lit(1.0))).cast("float").alias("g2"))
     pairs = p2.join(at3.select(F.col("u").alias("v"), F.col("v").alias("w"), "g3"), ["v", "w"], "full")
-    pairs = pairs.select("v", "w", F.coalesce(F.log("p2"), F.lit(float("nan"))).cast("float"), F.log(F.coalesce("g3", F.lit(1.0))).cast("float"))
-    vocabulary, w1, w2 = _columns(words)
+    pairs = pairs.select("v", "w", F.log("p2").cast("float").alias("p2"), F.log(F.coalesce("g3", F.lit(1.0))).cast("float").alias("g3"))
+    found = {"triples": stored(p3), "pairs": stored(pairs), "words": stored(words), "floor": math.log(floor), "n": c3.count()}
+    dropped(c3, c2, c1)
+    return found
+
+
+def train(texts: DataFrame) -> dict[str, np.ndarray]:
+    """The model of a bounded table of texts (column text) of MOST_TRIGRAMS different trigrams at most, gathered: sorted keys of uni-, bi- and trigrams with log-probabilities and back-off weights."""
+    return gathered(tables(texts))
+
+
+def gathered(model: dict) -> dict[str, np.ndarray]:
+    """The tables of a model of MOST_TRIGRAMS different trigrams at most as sorted arrays."""
+    if model["n"] > MOST_TRIGRAMS:
+        raise ValueError(f"{model['n']} trigrams are more than a model may have: {MOST_TRIGRAMS}")
+    floor = np.array([model["floor"]])
+    if not model["n"]:
+        return {"floor": floor}
+    vocabulary, w1, w2 = _columns(model["words"].sort("w"))
     n = len(vocabulary) + 1
-    v, w, p, g = _columns(pairs)
+    v, w, p, g = _columns(model["pairs"].withColumn("p2", F.coalesce("p2", F.lit(float("nan")).cast("float"))))
     pair_key = np.searchsorted(vocabulary, v) * n + np.searchsorted(vocabulary, w)
     order = np.argsort(pair_key)
-    model = {"vocabulary": vocabulary, "p1": w1, "g2": w2, "pairs": pair_key[order], "p2": p[order], "g3": g[order], "floor": np.array([np.log(floor)])}
-    u, v, w, p = _columns(p3.select("u", "v", "w", F.log("p3").cast("float")))
-    dropped(c3, c2, c1)
+    found = {"vocabulary": vocabulary, "p1": w1, "g2": w2, "pairs": pair_key[order], "p2": p[order], "g3": g[order], "floor": floor}
+    u, v, w, p = _columns(model["triples"])
     first = np.searchsorted(vocabulary, u) * n + np.searchsorted(vocabulary, v)
-    triple_key = np.searchsorted(model["pairs"], first) * n + np.searchsorted(vocabulary, w)
+    triple_key = np.searchsorted(found["pairs"], first) * n + np.searchsorted(vocabulary, w)
     order = np.argsort(triple_key)
-    return model | {"triples": triple_key[order], "p3": p[order]}
+    return found | {"triples": triple_key[order], "p3": p[order]}
 
 
 def _columns(df: DataFrame) -> list[np.ndarray]:
@@ -144,7 +163,7 @@ class _Scorer:
 
 
 def trusted_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_ids of the trusted sample: of each language the trusted documents that hash lowest, TRUSTED_PER_LANGUAGE of them or as many as keep to its share of MODEL_CHARS."""
+    """doc_ids of a bounded sample for train(), which quality() does without: of each language the trusted documents that hash lowest, TRUSTED_PER_LANGUAGE of them or as many as keep to its share of MODEL_CHARS."""
     trusted = labels.where("quality = 1 and doc_id is not null").where(F.pmod(F.xxhash64("doc_id"), F.lit(10)) < SAMPLED_TENTHS).select("doc_id").distinct()
     known = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.length("text").alias("chars")).join(trusted, "doc_id")
     common = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select("lang", F.col("lang").alias("group"))
@@ -159,6 +178,45 @@ def trusted_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return chosen.where((F.col("rank") <= TRUSTED_PER_LANGUAGE) & (F.col("upto") <= MODEL_CHARS // max(1, sizes.count()))).select("doc_id").distinct()
 
 
+def trusted_part(labels: DataFrame) -> DataFrame:
+    """doc_ids of all trusted documents that the model learns from: those of SAMPLED_TENTHS tenths by hash, the others set the quantiles."""
+    return labels.where("quality = 1 and doc_id is not null").where(F.pmod(F.xxhash64("doc_id"), F.lit(10)) < SAMPLED_TENTHS).select("doc_id").distinct()
+
+
+@frugal
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text's distinct trigrams (u, v, w), hashed, and how often each occurs."""
+    for batch in parts(batches, 100):
+        known: dict[str, int] = {}
+        out: list[np.ndarray] = []
+        for of, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            words = _WORD.findall(text)
+            if not words:
+                continue
+            known.update((w, xxhash.xxh64_intdigest(w.encode(), 42)) for w in set(words).difference(known))
+            h = np.r_[START, START, np.fromiter(map(known.__getitem__, words), np.uint64, len(words)).view(np.int64)]
+            _, at, times = np.unique((h[:-2] * 31 + h[1:-1]) * 1000003 + h[2:], return_index=True, return_counts=True)
+            out.append(np.stack([np.full(len(at), of, np.int64), h[:-2][at], h[1:-1][at], h[2:][at], times]))
+        if out:
+            rows = np.concatenate(out, axis=1)
+            for at in range(0, rows.shape[1], _GRAMS):
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, rows[:, at : at + _GRAMS])), ["of", "u", "v", "w", "times"])
+
+
+def joined_scores(texts: DataFrame, model: dict) -> DataFrame:
+    """_Scorer's measures of texts (columns of, a hash of the text, and text) under a model of any size: of, nll, types_nll, spread, seen. Trigrams meet the model's tables by n-gram; texts that repeat are one row."""
+    grams = texts.mapInArrow(_grams, "of long, u long, v long, w long, times long")
+    p2, g3 = model["pairs"].where("p2 is not null").select("v", "w", "p2"), model["pairs"].select(F.col("v").alias("u"), F.col("w").alias("v"), "g3")
+    words = F.broadcast(model["words"]) if model["words"].count() <= BROADCAST_WORDS else model["words"]
+    p1, g2 = words.select("w", "p1"), words.select(F.col("w").alias("v"), "g2")
+    for table, by in ((model["triples"], ["u", "v", "w"]), (g3, ["u", "v"]), (p2, ["v", "w"]), (g2, ["v"]), (p1, ["w"])):
+        grams = grams.join(table, by, "left")
+    lower = F.coalesce("p2", F.coalesce("g2", F.lit(0.0)) + F.coalesce("p1", F.lit(model["floor"])))
+    p = F.coalesce("p3", F.coalesce("g3", F.lit(0.0)) + lower).cast("double")
+    each = grams.select("of", "times", p.alias("p"), F.col("p3").isNotNull().cast("double").alias("known"))
+    return each.groupBy("of").agg((-F.sum(F.col("p") * F.col("times")) / F.sum("times")).alias("nll"), (-F.avg("p")).alias("types_nll"), F.var_pop("p").alias("spread"), F.avg("known").alias("seen"))
+
+
 def _z(measure: str, limit: str = "limit") -> Column:
     """A measure against the language's mean, in units of what a text of its length may vary."""
     return (F.col(measure) - F.col(f"{limit}.mean")) / F.sqrt(F.col(f"{limit}.between") + F.col(f"{limit}.within") / F.col("n_words") + 1e-6)
@@ -177,46 +235,60 @@ def _limits(judged: DataFrame, measure: str, by: list[str]) -> DataFrame:
     return cut.select(*by, F.struct("limit.*", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"), "n").alias(f"{measure}_limit"))
 
 
+def _scored_beside(rows: DataFrame, model) -> DataFrame:
+    """doc_id, lang and _Scorer's measures of rows, each scored where it is read, under a gathered model that is broadcast."""
+
+    @frugal
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = _Scorer(model.value)
+        for batch in parts(batches):
+            found = list(zip(*map(scorer, (x or "" for x in batch.column(2).to_pylist())), strict=True)) or [[]] * 5
+            kinds = (pa.int64(), *[pa.float64()] * 4)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, t) for x, t in zip(found, kinds, strict=True))], ["doc_id", "lang", "n_words", "nll", "types_nll", "spread", "seen"])
+
+    return rows.mapInArrow(score, "doc_id long, lang string, n_words long, nll double, types_nll double, spread double, seen double")
+
+
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs with n_words, nll (mean over words), perplexity, types_nll (mean over distinct trigrams), z and kept.
 
     z is nll against the language's trusted mean in units of what a text of its length may vary, types_z the same of
     types_nll; a document is kept when both lie between the language's quantiles LOW and HIGH of trusted documents
-    outside the sample. Above HIGH is text the model doesn't expect: perplexity judges every word as often as it
+    outside those the model learns from. Above HIGH is text the model doesn't expect: perplexity judges every word as often as it
     occurs, types_nll keeps a repeated line from hiding what else there is. Below LOW are few common words over and
-    over, unless many of the trigrams are in the sample: then the document copies trusted text and is kept. Null or
+    over, unless many of the trigrams are in the model: then the document copies trusted text and is kept. Null or
     empty texts have no perplexity and are kept. A null or unknown language takes the quantiles of all. Repeated rows
-    are judged each. Empty labels reject nothing, and an empty table gives an empty result. Very long texts are scored
-    whole, but aren't in the sample. Extra columns are ignored, whatever their names.
+    are judged each. Empty labels reject nothing, and an empty table gives an empty result. Very long texts are learnt
+    and scored whole. Extra columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
     small_batches(spark)
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality")
-    sample = stored(trusted_sample(docs, labels))  # at most (LANGUAGES + 1) * TRUSTED_PER_LANGUAGE ids
-    texts = docs.join(F.broadcast(sample), "doc_id", "left_semi").select("text").distinct()
-    model = spark.sparkContext.broadcast(train(texts))
-
-    @frugal
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _Scorer(model.value)
-        for batch in parts(batches):
-            found = list(zip(*map(scorer, (x or "" for x in batch.column(2).to_pylist())), strict=True)) or [[]] * 5
-            kinds = (pa.int64(), *[pa.float64()] * 4)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, t) for x, t in zip(found, kinds, strict=True))], ["doc_id", "lang", "n_words", "nll", "types_nll", "spread", "seen"])
-
-    scored = docs.select(F.col("doc_id").cast("long"), F.coalesce("lang", F.lit("")).alias("lang"), "text")
-    scored = stored(scored.mapInArrow(score, "doc_id long, lang string, n_words long, nll double, types_nll double, spread double, seen double"))
-    trusted = labels.where("quality = 1").select("doc_id").distinct().join(sample, "doc_id", "left_anti")
+    own = stored(trusted_part(labels))
+    model = tables(docs.join(own, "doc_id", "left_semi").select("text").distinct())
+    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("lang", F.lit("")).alias("lang"), "text")
+    if model["n"] <= BROADCAST_TRIGRAMS:
+        scored = stored(_scored_beside(rows, spark.sparkContext.broadcast(gathered(model))))
+    else:
+        texts = rows.where("text is not null").select(F.xxhash64("text").alias("of"), "text")
+        found = stored(joined_scores(texts, model))
+        counted = rows.select("doc_id", "lang", F.xxhash64("text").alias("of"), F.coalesce(F.size(F.filter(F.split("text", _SPACE), lambda w: w != "")), F.lit(0)).cast("long").alias("n_words"))
+        measures = [F.coalesce(m, F.lit(0.0)).alias(m) for m in ("nll", "types_nll", "spread", "seen")]
+        scored = stored(counted.join(found, "of", "left").select("doc_id", "lang", "n_words", *measures))
+        dropped(found)
+    if model["n"]:
+        dropped(model["triples"], model["pairs"], model["words"])
+    trusted = labels.where("quality = 1").select("doc_id").distinct().join(own, "doc_id", "left_anti")
     held_out = stored(scored.join(trusted, "doc_id", "left_semi").where(F.col("n_words") > 0))
     usual = held_out.agg(F.percentile(F.round("seen", 3), 0.5)).first()[0] or 0.0
     copied = F.col("seen") > min(0.9, max(MEMORISED, 3 * usual))
     judged = held_out.where(~copied)
     out, inside = scored, F.lit(True)
     for measure in ("nll", "types_nll"):
-        limit, own = f"{measure}_limit", stored(_limits(judged, measure, ["lang"]).where(F.col(f"{measure}_limit.n") >= LEAST_TRUSTED))
+        limit, by_lang = f"{measure}_limit", stored(_limits(judged, measure, ["lang"]).where(F.col(f"{measure}_limit.n") >= LEAST_TRUSTED))
         whole = _limits(judged, measure, []).collect()  # one row at most
         of_all = F.lit(None) if not whole else F.struct(*(F.lit(v).alias(k) for k, v in whole[0][limit].asDict().items()))
-        out = out.join(F.broadcast(own) if own.count() <= BROADCAST_LANGUAGES else own, "lang", "left").withColumn(limit, F.coalesce(limit, of_all.cast(own.schema[limit].dataType)))
+        out = out.join(F.broadcast(by_lang) if by_lang.count() <= BROADCAST_LANGUAGES else by_lang, "lang", "left").withColumn(limit, F.coalesce(limit, of_all.cast(by_lang.schema[limit].dataType)))
         z = F.when(F.col("n_words") > 0, _z(measure, limit))
         inside = inside & (z <= F.col(f"{limit}.high")) & ((z >= F.col(f"{limit}.low")) | copied)
         out = out.withColumn("z" if measure == "nll" else "types_z", z)
