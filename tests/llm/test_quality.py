@@ -126,3 +126,35 @@ def test_joined_scores_equal_those_beside_a_broadcast(spark, texts, monkeypatch)
     for a, b in zip(beside, get(), strict=True):
         assert (a.doc_id, a.lang, a.n_words, a.kept) == (b.doc_id, b.lang, b.n_words, b.kept)
         assert all(x == y or x == pytest.approx(y, rel=1e-4, abs=1e-4) for x, y in zip(a[3:-1], b[3:-1], strict=True))
+
+
+@pytest.mark.parametrize("common", [0, 5, 1000])
+def test_scores_in_shards_equal_those_beside_a_broadcast(spark, texts, monkeypatch, common):
+    """Also where words beyond the common ones keep their hashes and meet their probabilities in a join."""
+    asked = spark.createDataFrame([(k, t) for k, t in enumerate([*texts, "unknown", "w1 unknown w1 w1", "unknown other " * 30, "w1 w1 w1 " * 50, "w2 other", " ".join(reversed(texts[3].split()))])], "of long, text string")
+    learnt = module.stored(spark.createDataFrame([(t,) for t in texts[:25]], "text string"))
+    words = module.stored(learnt.mapInArrow(module._word_counts, "w long, n long").groupBy("w").sum("n").toDF("w", "n"))
+    scorer = _Scorer(train(learnt))
+    monkeypatch.setattr(module, "BROADCAST_WORDS", common)
+    found = {r.of: r for r in module.sharded_scores(asked, learnt, words).collect()}
+    for of, text in asked.collect():
+        assert tuple(found[of])[1:] == pytest.approx(scorer(text), rel=1e-5, abs=1e-6), text
+
+
+def test_no_shuffle_of_the_scores_stays_on_disk(spark, texts, monkeypatch):
+    """Each round's trigrams are deleted before the next one's are written."""
+    monkeypatch.setattr(module, "BROADCAST_TRIGRAMS", 0)
+    docs = spark.createDataFrame([(k, t, "en") for k, t in enumerate(texts)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, 1) for k in range(len(texts))], "doc_id long, quality int")
+    tracker = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    real, left = module.tidily_stored, []
+
+    def watched(df):
+        before = tracker.shuffleStatuses().size()
+        found = real(df)
+        left.append(tracker.shuffleStatuses().size() - before)
+        return found
+
+    monkeypatch.setattr(module, "tidily_stored", watched)
+    quality(docs, labels).count()
+    assert len(left) > module.ROUNDS and max(left) <= 0

@@ -1,15 +1,19 @@
 """Quality classifier: an interpolated modified Kneser-Ney word model of trusted text, and language-specific quantiles.
 
-Counts, continuation counts, context totals and lower-order probabilities are tables hashed over the cluster's
-partitions and joined by n-gram and by context. The model learns from all trusted documents but those that set the
-quantiles. A small one is broadcast, and each document is scored where it is read; else the documents' trigrams are
-joined with its tables.
+The model learns from all trusted documents but those that set the quantiles. Counts, continuation counts, context
+totals and lower-order probabilities of a small one are tables joined by n-gram and by context; it is broadcast, and each
+document is scored where it is read. Else trigrams are dealt to shards by their middle word, which all orders of a
+trigram's counts have in common: trusted and judged ones meet there after one shuffle, and of the model only the
+commonest words travel. The shards are worked off in rounds, so that few of the trigrams are on disk at a time.
 """
 
 from __future__ import annotations
 
+import functools
+import itertools
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,36 +22,49 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from verdancy.llm.storage import dropped, frugal, parts, small_batches, stored
+from verdancy.llm.storage import dropped, frugal, parts, small_batches, stored, tidily_stored
 
 TRUSTED_PER_LANGUAGE = 300  # bound of a trusted sample: documents of each language
 SAMPLED_TENTHS = 6  # the model learns from these trusted documents, the others set the quantiles
 TRUSTED_CHARS = 30_000  # longer trusted documents are not in the sample
 LANGUAGES = 100  # languages with a share of their own in the sample; the others share one
 MODEL_CHARS = 30_000_000  # of the sample's texts over all languages together, an equal share for each
-BROADCAST_TRIGRAMS = 500_000  # a model of more is joined instead of broadcast, with the same results
-BROADCAST_WORDS = 1_000_000
+BROADCAST_TRIGRAMS = 500_000  # a model of texts with more is met in shards instead of broadcast, with the same results
+BROADCAST_WORDS = 1_000_000  # words of it that travel; others are met in shards and joined
+SHARD_WORDS = 2_000_000  # of the texts it learns from, on average
+SHARDS = 12  # in a round, at least
+ROUNDS = 3
+FILTER_BITS = 1 << 28  # of the filter of rarer words, at most
 MOST_TRIGRAMS = MODEL_CHARS // 2  # a word takes two characters at least; the driver gathers no more
 WORD_TYPES = 1e6  # the uniform distribution below the unigrams
 MEMORISED = 0.15  # above this share of known trigrams, and three times the usual share, a document copies trusted text in part
 LOW, HIGH = 0.003, 0.995  # quantiles of trusted documents between which a document is kept
 BROADCAST_LANGUAGES = 50_000
 LEAST_TRUSTED = 50  # a language with fewer judged trusted documents takes the quantiles of all
-START = -1
+START, UNKNOWN = -1, -2
 _SPACE = r"[\x20\x09-\x0D]+"  # words are parted here, in training and in scoring
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _CACHE_WORDS = 100_000
-_GRAMS = 100_000  # rows of trigrams that leave a worker at a time
+_GRAMS = 500_000  # trigrams that a worker holds before they leave it
+_MIX = 0x1E3779B97F4A7C15
+_RARE, _RARE_BITS = 1 << 62, (1 << 62) - 1
+_SUMS = ["n", "times", "lp", "p", "pp", "seen"]
+_PACKED = ["place", "shard", "kind", "of", "n", "times", "u", "v", "w"]
 
 
-def _discount(counts: DataFrame, name: str) -> tuple[Column, list[float]]:
-    """The modified discounts D1, D2, D3+ of a count column, kept rising and within what a count can give."""
-    found = {r["c"]: r["n"] for r in counts.groupBy(F.least(F.col(name), F.lit(5)).alias("c")).agg(F.count("*").alias("n")).collect()}
+def _steps(found: dict[int, int]) -> list[float]:
+    """The modified discounts D1, D2, D3+ from the numbers of n-grams that occur 1, 2, 3 and 4 times, kept rising and within what a count can give."""
     n = [max(1, found.get(k, 0)) for k in (1, 2, 3, 4)]
     y = n[0] / (n[0] + 2 * n[1])
     d = [1 - 2 * y * n[1] / n[0]]
     d.append(min(max(d[0], 2 - 3 * y * n[2] / n[1]), 1.9))
     d.append(min(max(d[1], 3 - 4 * y * n[3] / n[2]), 2.9))
+    return d
+
+
+def _discount(counts: DataFrame, name: str) -> tuple[Column, list[float]]:
+    """The modified discounts of a count column."""
+    d = _steps({r["c"]: r["n"] for r in counts.groupBy(F.least(F.col(name), F.lit(5)).alias("c")).agg(F.count("*").alias("n")).collect()})
     c = F.col(name)
     return F.when(c == 1, d[0]).when(c == 2, d[1]).otherwise(d[2]), d
 
@@ -183,38 +200,352 @@ def trusted_part(labels: DataFrame) -> DataFrame:
     return labels.where("quality = 1 and doc_id is not null").where(F.pmod(F.xxhash64("doc_id"), F.lit(10)) < SAMPLED_TENTHS).select("doc_id").distinct()
 
 
+def _squeezed(a: np.ndarray) -> bytes:
+    """Whole numbers byte plane by byte plane, compressed: few of their bytes differ."""
+    raw = np.ascontiguousarray(a.astype(np.int64).view(np.uint8).reshape(-1, 8).T).tobytes()
+    return len(a).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _plain(b: bytes) -> np.ndarray:
+    n = int.from_bytes(b[:8], "little")
+    return np.frombuffer(pa.decompress(b[8:], 8 * n, "zstd"), np.uint8).reshape(8, n).T.copy().view(np.int64).ravel()
+
+
+def _hashes(words: list[str]) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(w.encode(), 42) for w in words], np.uint64).view(np.int64)
+
+
 @frugal
-def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each text's distinct trigrams (u, v, w), hashed, and how often each occurs."""
-    for batch in parts(batches, 100):
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hashes of words and how often they occur, added up for some pieces of texts."""
+    counts: Counter[str] = Counter()
+
+    def rows() -> pa.RecordBatch:
+        found = pa.RecordBatch.from_arrays([pa.array(_hashes(list(counts))), pa.array(list(counts.values()), pa.int64())], ["w", "n"])
+        counts.clear()
+        return found
+
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            counts.update(_WORD.findall(text or ""))
+        if len(counts) > _CACHE_WORDS * 3:
+            yield rows()
+    yield rows()
+
+
+class _Book:
+    """Words by hash: the `common` have numbers in their order, `START` its own; any other that the filter of the model's words lets pass keeps a hash, the rest are UNKNOWN."""
+
+    def __init__(self, common: np.ndarray, bits: np.ndarray | None):
+        self.order = np.argsort(common)
+        self.hashes, self.bits = common[self.order], bits
+
+    def codes(self, h: np.ndarray) -> np.ndarray:
+        rest = np.full(len(h), UNKNOWN)
+        if self.bits is not None:
+            at = h % (8 * len(self.bits))
+            rest = np.where(self.bits[at >> 3] >> (at & 7) & 1, (h & _RARE_BITS) | _RARE, rest)
+        at, ok = _found(self.hashes, h)
+        return np.where(ok, self.order[at] if len(self.order) else rest, rest)
+
+
+def _filter(words: DataFrame) -> np.ndarray:
+    """Bits of words (w, a hash): 32 for each and FILTER_BITS in all at most, of which those at the words are set."""
+    bucket = 1 << 15  # bits of Spark's bitmaps
+    n = min(FILTER_BITS, -(-32 * max(1, words.count()) // bucket) * bucket)
+    place = F.pmod("w", F.lit(n)) + 1
+    rows = words.groupBy(F.bitmap_bucket_number(place).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    bits = np.zeros(n // 8, np.uint8)
+    for b, part in rows.collect():
+        bits[(b - 1) * bucket // 8 : b * bucket // 8] = np.frombuffer(bytes(part), np.uint8)
+    return bits
+
+
+def _dealt(book, shards: int, rounds: int, turn: int, judged: bool):
+    """A task that turns texts (columns of, text) into packed trigrams of the shards of one round: those of each text with how often they occur in it if judged, else of all its texts together."""
+
+    @frugal
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
-        out: list[np.ndarray] = []
-        for of, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            words = _WORD.findall(text)
-            if not words:
+        h, codes, shard = np.array([START], np.int64), np.array([START], np.int64), np.zeros(1, np.int64)
+        held: list[np.ndarray] = []
+        names: list[int] = []
+
+        def packed() -> Iterator[pa.RecordBatch]:
+            rows = np.concatenate(held, axis=1)
+            rows = rows[:, np.argsort((rows[0] << 32) + rows[1])]
+            held.clear()
+            at = np.flatnonzero(np.diff(rows[0], prepend=-1))
+            for one in np.split(rows, at[1:], axis=1):
+                of, n = np.unique(one[1], return_counts=True)
+                body = [_squeezed(np.array(names, np.int64)[of]), _squeezed(n), *map(_squeezed, one[2:])]
+                place = [pa.array([x], pa.int32()) for x in (one[0, 0] // rounds, one[0, 0], 1)]
+                yield pa.RecordBatch.from_arrays([*place, *(pa.array([x], pa.binary()) for x in body)], _PACKED)
+            names.clear()
+
+        for batch in parts(batches):
+            texts = [(of, w) for of, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if (w := _WORD.findall(text or ""))]
+            if not texts:
+                continue
+            if len(known) > _CACHE_WORDS * 3:
+                known, h, codes, shard = {}, h[:1], codes[:1], shard[:1]
+            new = list({w for _, words in texts for w in words}.difference(known))
+            known.update(zip(new, range(len(h), len(h) + len(new)), strict=True))
+            more = _hashes(new)
+            code = book.value.codes(more)
+            h, codes, shard = np.r_[h, more], np.r_[codes, code], np.r_[shard, np.where(code >= 0, code % shards, UNKNOWN)]
+            x = np.concatenate([np.fromiter((0, 0, *map(known.__getitem__, words)), np.int64, len(words) + 2) for _, words in texts])
+            of = np.repeat(np.arange(len(texts)) + len(names), [len(words) + 2 for _, words in texts])
+            names += [name for name, _ in texts]
+            # an unknown middle word has no counts to meet, so any shard will do and a frequent one fills none
+            to = shard[x[1:-1]]
+            lost = np.flatnonzero(to == UNKNOWN)
+            to[lost] = (h[x[lost]] * 31 + h[x[lost + 2]]) % shards
+            mine = np.flatnonzero((of[:-2] == of[2:]) & (to % rounds == turn))
+            u, v, w, of, to = x[mine], x[mine + 1], x[mine + 2], of[mine], to[mine]
+            key = (h[u] * 31 + h[v]) * 1000003 + h[w]
+            if judged:
+                key += of * _MIX
+            order = np.argsort(key)
+            first = _firsts(key[order])
+            at, times = order[first], np.diff(first, append=len(order))
+            if not len(at):
                 continue
-            known.update((w, xxhash.xxh64_intdigest(w.encode(), 42)) for w in set(words).difference(known))
-            h = np.r_[START, START, np.fromiter(map(known.__getitem__, words), np.uint64, len(words)).view(np.int64)]
-            _, at, times = np.unique((h[:-2] * 31 + h[1:-1]) * 1000003 + h[2:], return_index=True, return_counts=True)
-            out.append(np.stack([np.full(len(at), of, np.int64), h[:-2][at], h[1:-1][at], h[2:][at], times]))
-        if out:
-            rows = np.concatenate(out, axis=1)
-            for at in range(0, rows.shape[1], _GRAMS):
-                yield pa.RecordBatch.from_arrays(list(map(pa.array, rows[:, at : at + _GRAMS])), ["of", "u", "v", "w", "times"])
-
-
-def joined_scores(texts: DataFrame, model: dict) -> DataFrame:
-    """_Scorer's measures of texts (columns of, a hash of the text, and text) under a model of any size: of, nll, types_nll, spread, seen. Trigrams meet the model's tables by n-gram; texts that repeat are one row."""
-    grams = texts.mapInArrow(_grams, "of long, u long, v long, w long, times long")
-    p2, g3 = model["pairs"].where("p2 is not null").select("v", "w", "p2"), model["pairs"].select(F.col("v").alias("u"), F.col("w").alias("v"), "g3")
-    words = F.broadcast(model["words"]) if model["words"].count() <= BROADCAST_WORDS else model["words"]
-    p1, g2 = words.select("w", "p1"), words.select(F.col("w").alias("v"), "g2")
-    for table, by in ((model["triples"], ["u", "v", "w"]), (g3, ["u", "v"]), (p2, ["v", "w"]), (g2, ["v"]), (p1, ["w"])):
-        grams = grams.join(table, by, "left")
-    lower = F.coalesce("p2", F.coalesce("g2", F.lit(0.0)) + F.coalesce("p1", F.lit(model["floor"])))
-    p = F.coalesce("p3", F.coalesce("g3", F.lit(0.0)) + lower).cast("double")
-    each = grams.select("of", "times", p.alias("p"), F.col("p3").isNotNull().cast("double").alias("known"))
-    return each.groupBy("of").agg((-F.sum(F.col("p") * F.col("times")) / F.sum("times")).alias("nll"), (-F.avg("p")).alias("types_nll"), F.var_pop("p").alias("spread"), F.avg("known").alias("seen"))
+            v = codes[v[at]]
+            held.append(np.stack([to[at], of[at], times, codes[u[at]], np.where((v >= 0) & (v < _RARE), v // shards, v), codes[w[at]]]))
+            if sum(r.shape[1] for r in held) > _GRAMS:
+                yield from packed()
+        if held:
+            yield from packed()
+
+    return deal
+
+
+def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[dict]]]:
+    """The shards of a partition that is sorted by them, each with its rows."""
+    rows = (r for batch in batches for one in parts(iter([batch]), 1) for r in one.to_pylist())
+    return itertools.groupby(rows, lambda r: r["shard"])
+
+
+@frugal
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct trigrams of each shard with their counts, by middle, first and last word."""
+    for shard, rows in _by_shard(batches):
+        c, u, v, w = (np.concatenate(x) for x in zip(*([_plain(r[k]) for k in ("times", "u", "v", "w")] for r in rows), strict=True))
+        order = _order(v, u, w)
+        c, u, v, w = c[order], u[order], v[order], w[order]
+        at = _firsts(v, u, w)
+        body = [_squeezed(x) for x in (np.add.reduceat(c, at), u[at], v[at], w[at])]
+        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), *(pa.array([x], pa.binary()) for x in body)], ["shard", "times", "u", "v", "w"])
+
+
+def _order(*columns: np.ndarray) -> np.ndarray:
+    """The order of rows by their columns, the first before the next."""
+    key = np.zeros(len(columns[0]), np.int64)
+    for c in columns:
+        values, place = np.unique(c, return_inverse=True)
+        key = np.unique(key, return_inverse=True)[1] * len(values) + place
+    return np.argsort(key)
+
+
+def _firsts(*columns: np.ndarray) -> np.ndarray:
+    """Where rows that are sorted differ from those before them."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
+def _pairs(u: np.ndarray, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Middle and last words of a shard's distinct trigrams and the number of words before them."""
+    order = _order(v, w)
+    v, w = v[order], w[order]
+    at = _firsts(v, w)
+    return v[at], w[at], np.diff(at, append=len(v))
+
+
+@frugal
+def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What all shards have to know of each (level, shard, key, n): words before a word (1; with its shard), pairs (2) and trigrams (3) by their count, 5 for more."""
+    for batch in batches:
+        for r in batch.to_pylist():
+            c, u, v, w = (_plain(r[k]) for k in ("times", "u", "v", "w"))
+            _, last, n2 = _pairs(u, v, w)
+            key, n1 = np.unique(last, return_counts=True)
+            for level, k, n in ((1, key, n1), *((level, *np.unique(np.minimum(x, 5), return_counts=True)) for level, x in ((2, n2), (3, c)))):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), level), pa.int32()), pa.array(np.full(len(k), r["shard"]), pa.int32()), pa.array(k, pa.int64()), pa.array(n, pa.int64())], ["level", "shard", "key", "n"])
+
+
+def _stepped(c: np.ndarray, d: list[float]) -> np.ndarray:
+    return np.array(d)[np.minimum(c, 3) - 1]
+
+
+class _Shard:
+    """The part of the model whose trigrams have their middle words in one shard; without a row there are none."""
+
+    def __init__(self, row: dict | None, facts: dict):
+        self.facts, self.rare, self.middle = facts, [], []
+        if row is None:
+            return
+        c, u, v, w = (_plain(row[k]) for k in ("times", "u", "v", "w"))
+        d2, d3 = facts["d2"], facts["d3"]
+        self.rare = np.array(row["rare"] or [], np.int64)
+        order = np.argsort(self.rare)
+        self.rare, self.rare_p1 = self.rare[order], np.array(row["rare_p1"] or [], np.float64)[order]
+        self.middle = v[_firsts(v)]
+        self.vocabulary = np.unique(np.concatenate([u, w]))
+        self.n = len(self.vocabulary) + 1
+        self.places = np.full(len(facts["p1"]), -1)
+        common = np.flatnonzero((self.vocabulary >= 0) & (self.vocabulary < len(self.places)))
+        self.places[self.vocabulary[common]] = common
+        v2, w2, c2 = _pairs(u, v, w)
+        at = _firsts(v2)
+        t2 = np.add.reduceat(c2, at)
+        self.g2 = np.add.reduceat(_stepped(c2, d2), at) / t2
+        i = np.searchsorted(self.middle, v2)
+        self.pairs = i * self.n + np.searchsorted(self.vocabulary, w2)
+        self.p2 = (c2 - _stepped(c2, d2)) / t2[i] + self.g2[i] * np.exp(self.p1(w2))
+        at = _firsts(v, u)
+        t3 = np.add.reduceat(c, at)
+        self.contexts = np.searchsorted(self.middle, v[at]) * self.n + np.searchsorted(self.vocabulary, u[at])
+        self.g3 = np.add.reduceat(_stepped(c, d3), at) / t3
+        k = np.repeat(np.arange(len(at)), np.diff(at, append=len(v)))
+        self.triples = k * self.n + np.searchsorted(self.vocabulary, w)
+        lower = self.p2[np.searchsorted(self.pairs, np.searchsorted(self.middle, v) * self.n + np.searchsorted(self.vocabulary, w))]
+        self.p3 = np.log((c - _stepped(c, d3)) / t3[k] + self.g3[k] * lower)
+        self.p2, self.g2, self.g3 = np.log(self.p2), np.log(self.g2), np.log(self.g3)
+
+    def p1(self, w: np.ndarray) -> np.ndarray:
+        """Log-probabilities of words; NaN for a word that is neither common nor a last word in this shard's model."""
+        p1 = self.facts["p1"]
+        p = np.where(w == UNKNOWN, self.facts["floor"], np.nan)
+        common = (w >= 0) & (w < len(p1))
+        p[common] = p1[w[common]]
+        if len(self.rare):
+            at, ok = _found(self.rare, w)
+            p = np.where(ok, self.rare_p1[at], p)
+        return p
+
+    def __call__(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Log-probabilities of w after u and v, NaN where that of w alone is not here; what has to be added to that; and which trigrams the model has seen."""
+        if not len(self.middle):
+            return self.p1(w), np.zeros(len(w)), np.zeros(len(w), bool)
+        i, known = _found(self.middle, v)
+        base, p, seen = np.where(known, self.g2[i], 0), self.p1(w), np.zeros(len(w), bool)
+        k = np.flatnonzero(known)
+        (a, before), (b, after) = self.number(u[k]), self.number(w[k])
+        j, pair = _found(self.pairs, i[k] * self.n + b)
+        c, context = _found(self.contexts, i[k] * self.n + a)
+        above = np.where(context & before, self.g3[c], 0)
+        pair &= after
+        base[k] += above
+        p += base
+        p[k[pair]] = (above + self.p2[j])[pair]
+        both = np.flatnonzero(context & before & after)
+        t, ok = _found(self.triples, c[both] * self.n + b[both])
+        p[k[both[ok]]] = self.p3[t[ok]]
+        seen[k[both[ok]]] = True
+        return p, base, seen
+
+    def number(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of words in the shard's vocabulary, and which are in it."""
+        common = (codes >= 0) & (codes < len(self.places))
+        at = np.where(common, self.places[np.where(common, codes, 0)], -1) if len(self.places) else np.full(len(codes), -1)
+        rest = np.flatnonzero(~common)
+        k, ok = _found(self.vocabulary, codes[rest])
+        at[rest[ok]] = k[ok]
+        return np.maximum(at, 0), at >= 0
+
+
+def _found(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where sorted keys have what is asked, and which of it they have."""
+    if not len(keys):
+        return np.zeros(len(asked), np.int64), np.zeros(len(asked), bool)
+    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    return at, keys[at] == asked
+
+
+def _measured(facts):
+    """A task that reads each shard's part of the model and then the packed trigrams of texts: sums by text, and by last word w for those whose probability is not here, of what has to be added to that of w."""
+
+    @frugal
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _by_shard(batches):
+            part, rare = _Shard(None, facts.value), {"rare": None, "rare_p1": None}
+            for row in rows:
+                if row["kind"] == -1:
+                    rare = row
+                    continue
+                if row["kind"] == 0:
+                    part = _Shard(row | {k: rare[k] for k in ("rare", "rare_p1")}, facts.value)
+                    continue
+                times, u, v, w = (_plain(row[k]) for k in ("times", "u", "v", "w"))
+                of, n = _plain(row["of"]), _plain(row["n"])
+                p, base, seen = part(u, v, w)
+                lost = np.isnan(p)
+                if lost.any():
+                    one, b = np.ones(lost.sum()), base[lost]
+                    yield _sums(np.repeat(of, n)[lost], one, times[lost], b * times[lost], b, b * b, one - 1, pa.array(w[lost], pa.int64()))
+                p, at = np.where(lost, 0, p), np.r_[0, np.cumsum(n)[:-1]]
+                each = [np.add.reduceat(x, at) for x in ((~lost).astype(float), np.where(lost, 0, times), p * times, p, p * p, seen.astype(float))]
+                yield _sums(of, each[0], each[1], *each[2:], pa.nulls(len(of), pa.int64()))
+
+    return measure
+
+
+def _sums(of, n, times, lp, p, pp, seen, w) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), *(pa.array(x, pa.float64()) for x in (n, times, lp, p, pp, seen)), w], ["of", "n", "times", "lp", "p", "pp", "seen", "w"])
+
+
+def sharded_scores(texts: DataFrame, learnt: DataFrame, words: DataFrame) -> DataFrame:
+    """_Scorer's measures of texts (columns of, a hash of the text, and text) under the model of the stored texts `learnt`, of any size, whose words (w, a hash, and n) are counted and stored; drops both. Texts that repeat count their words each. Columns: of, n_words, nll, types_nll, spread, seen."""
+    spark = texts.sparkSession
+    common, total = words.orderBy(F.desc("n"), "w").limit(BROADCAST_WORDS).select("w").toArrow().column(0).to_numpy(), words.agg(F.sum("n")).first()[0]
+    whole = len(common) < BROADCAST_WORDS
+    book = spark.sparkContext.broadcast(_Book(common, None if whole else _filter(words)))
+    rounds, shards = ROUNDS, ROUNDS * max(SHARDS, -(-total // (SHARD_WORDS * ROUNDS)))
+    packed = "place int, shard int, kind int, of binary, n binary, times binary, u binary, v binary, w binary"
+
+    def gathered_by_shard(rows: DataFrame, n: int) -> DataFrame:
+        return rows.repartitionById(n, "place").sortWithinPartitions("shard", "kind")
+
+    dealt = learnt.select(F.lit(0).cast("long").alias("of"), "text").mapInArrow(_dealt(book, shards, 1, 0, False), packed)
+    counts = tidily_stored(gathered_by_shard(dealt, shards).mapInArrow(_counted, "shard int, times binary, u binary, v binary, w binary"))
+    dropped(learnt, words)
+    facts = tidily_stored(counts.mapInArrow(_facts, "level int, shard int, key long, n long"))
+    by_count = {level: {r["key"]: r["n"] for r in facts.where(F.col("level") == level).groupBy("key").agg(F.sum("n").alias("n")).collect()} for level in (2, 3)}
+    c1 = tidily_stored(facts.where("level = 1").groupBy("key").agg(F.sum("n").alias("c")))
+    discount, _ = _discount(c1, "c")
+    sums = c1.agg(F.sum("c").alias("t"), F.sum(discount).alias("g")).first()
+    floor = sums["g"] / sums["t"] / WORD_TYPES
+    p1 = c1.select("key", F.log((F.col("c") - discount) / F.lit(sums["t"]) + F.lit(floor)).alias("p1"))
+    key, value = _columns(p1.where(F.col("key").between(0, len(common) - 1)))
+    of_common = np.full(len(common), math.log(floor))
+    of_common[key] = value
+    known = spark.sparkContext.broadcast({"d2": _steps(by_count[2]), "d3": _steps(by_count[3]), "p1": of_common, "floor": math.log(floor)})
+    p1 = tidily_stored(p1.where(F.col("key") >= len(common)).withColumnRenamed("key", "w"))
+    rare = facts.where("level = 1").select("shard", F.col("key").alias("w")).join(p1, "w").groupBy("shard").agg(F.collect_list(F.struct("w", "p1")).alias("r"))
+    rare = tidily_stored(rare.select("shard", F.col("r.w").alias("rare"), F.col("r.p1").alias("rare_p1")))
+    dropped(facts, c1)
+    place = (F.col("shard") / rounds).cast("int").alias("place")
+    model = counts.select(place, F.lit(0).alias("kind"), "*").unionByName(rare.select(place, F.lit(-1).alias("kind"), "*"), allowMissingColumns=True)
+    found = []
+    for turn in range(rounds):
+        asked = texts.mapInArrow(_dealt(book, shards, rounds, turn, True), packed)
+        both = asked.unionByName(model.where(F.col("shard") % rounds == turn), allowMissingColumns=True)
+        out = gathered_by_shard(both, shards // rounds).mapInArrow(_measured(known), "of long, n double, times double, lp double, p double, pp double, seen double, w long")
+        found.append(tidily_stored(out.groupBy("of", "w").agg(*(F.sum(c).alias(c) for c in _SUMS))))
+    dropped(counts, rare)
+    sums = functools.reduce(DataFrame.unionByName, found)
+    alone = F.coalesce("p1", F.lit(math.log(floor)))
+    whole_p = [F.col("lp") + alone * F.col("times"), F.col("p") + alone * F.col("n"), F.col("pp") + 2 * alone * F.col("p") + alone * alone * F.col("n")]
+    rest = sums.where("w is not null").join(p1, "w", "left").select("of", "w", "n", "times", *(c.alias(k) for k, c in zip(("lp", "p", "pp"), whole_p, strict=True)), "seen")
+    each = sums.where("w is null").unionByName(rest).groupBy("of").agg(*(F.sum(c).alias(c) for c in _SUMS))
+    mean = F.col("p") / F.col("n")
+    scores = tidily_stored(each.select("of", F.col("times").cast("long").alias("n_words"), (-F.col("lp") / F.col("times")).alias("nll"), (-mean).alias("types_nll"), F.greatest(F.col("pp") / F.col("n") - mean * mean, F.lit(0.0)).alias("spread"), (F.col("seen") / F.col("n")).alias("seen")))
+    dropped(p1, *found)
+    return scores
 
 
 def _z(measure: str, limit: str = "limit") -> Column:
@@ -265,19 +596,24 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     small_batches(spark)
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality")
     own = stored(trusted_part(labels))
-    model = tables(docs.join(own, "doc_id", "left_semi").select("text").distinct())
+    learnt = tidily_stored(docs.join(own, "doc_id", "left_semi").select("text").distinct())
+    words = tidily_stored(learnt.mapInArrow(_word_counts, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")))
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("lang", F.lit("")).alias("lang"), "text")
-    if model["n"] <= BROADCAST_TRIGRAMS:
+    if (words.agg(F.sum("n")).first()[0] or 0) <= BROADCAST_TRIGRAMS:
+        model = tables(learnt)
         scored = stored(_scored_beside(rows, spark.sparkContext.broadcast(gathered(model))))
+        if model["n"]:
+            dropped(model["triples"], model["pairs"], model["words"])
+        dropped(learnt, words)
     else:
-        texts = rows.where("text is not null").select(F.xxhash64("text").alias("of"), "text")
-        found = stored(joined_scores(texts, model))
-        counted = rows.select("doc_id", "lang", F.xxhash64("text").alias("of"), F.coalesce(F.size(F.filter(F.split("text", _SPACE), lambda w: w != "")), F.lit(0)).cast("long").alias("n_words"))
+        named = rows.select("doc_id", "lang", F.xxhash64("text").alias("of"), "text")
+        texts = named.where("text is not null").select("of", "text")
+        scores = found = sharded_scores(texts, learnt, words)
         measures = [F.coalesce(m, F.lit(0.0)).alias(m) for m in ("nll", "types_nll", "spread", "seen")]
-        scored = stored(counted.join(found, "of", "left").select("doc_id", "lang", "n_words", *measures))
-        dropped(found)
-    if model["n"]:
-        dropped(model["triples"], model["pairs"], model["words"])
+        copies = named.groupBy("of").agg(F.count("*").alias("copies"))
+        found = found.join(copies, "of").withColumn("n_words", F.expr("n_words div copies"))
+        scored = tidily_stored(named.drop("text").join(found, "of", "left").select("doc_id", "lang", F.coalesce("n_words", F.lit(0)).cast("long").alias("n_words"), *measures))
+        dropped(scores)
     trusted = labels.where("quality = 1").select("doc_id").distinct().join(own, "doc_id", "left_anti")
     held_out = stored(scored.join(trusted, "doc_id", "left_semi").where(F.col("n_words") > 0))
     usual = held_out.agg(F.percentile(F.round("seen", 3), 0.5)).first()[0] or 0.0

@@ -32,6 +32,17 @@ def stored(df: DataFrame) -> DataFrame:
     return back
 
 
+def tidily_stored(df: DataFrame) -> DataFrame:
+    """stored(df), after which the files of its shuffles are deleted at once and not when the driver next collects garbage."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key)
+    conf.set(key, "true")
+    try:
+        return stored(df)
+    finally:
+        conf.set(key, before)
+
+
 def dropped(*tables: DataFrame) -> None:
     """Deletes tables of stored() that nothing reads any more."""
     for df in tables:
