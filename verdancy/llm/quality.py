@@ -13,11 +13,11 @@ import functools
 import itertools
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -211,26 +211,23 @@ def _plain(b: bytes) -> np.ndarray:
     return np.frombuffer(pa.decompress(b[8:], 8 * n, "zstd"), np.uint8).reshape(8, n).T.copy().view(np.int64).ravel()
 
 
-def _hashes(words: list[str]) -> np.ndarray:
-    return np.array([xxhash.xxh64_intdigest(w.encode(), 42) for w in words], np.uint64).view(np.int64)
+def _numbered(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How many words each text has, the words of all as numbers from 0, and the hash of each number."""
+    split = pc.ascii_split_whitespace(texts.fill_null(""))  # at _SPACE
+    words = split.flatten()
+    some = pc.greater(pc.binary_length(words), 0)
+    ends = np.r_[0, np.cumsum(some.to_numpy(zero_copy_only=False))][split.offsets.to_numpy() - split.offsets[0].as_py()]
+    found = words.filter(some).dictionary_encode()
+    hashes = np.array([xxhash.xxh64_intdigest(w, 42) for w in found.dictionary.cast(pa.binary()).to_pylist()], np.uint64).view(np.int64)
+    return np.diff(ends), found.indices.to_numpy(), hashes
 
 
 @frugal
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hashes of words and how often they occur, added up for some pieces of texts."""
-    counts: Counter[str] = Counter()
-
-    def rows() -> pa.RecordBatch:
-        found = pa.RecordBatch.from_arrays([pa.array(_hashes(list(counts))), pa.array(list(counts.values()), pa.int64())], ["w", "n"])
-        counts.clear()
-        return found
-
-    for batch in batches:
-        for text in batch.column(0).to_pylist():
-            counts.update(_WORD.findall(text or ""))
-        if len(counts) > _CACHE_WORDS * 3:
-            yield rows()
-    yield rows()
+    """Hashes of words and how often they occur in each piece of the texts."""
+    for batch in parts(batches, 1000):
+        _, x, hashes = _numbered(batch.column(0))
+        yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(np.bincount(x, minlength=len(hashes)), pa.int64())], ["w", "n"])
 
 
 class _Book:
@@ -266,8 +263,6 @@ def _dealt(book, shards: int, rounds: int, turn: int, judged: bool):
 
     @frugal
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
-        h, codes, shard = np.array([START], np.int64), np.array([START], np.int64), np.zeros(1, np.int64)
         held: list[np.ndarray] = []
         names: list[int] = []
 
@@ -283,26 +278,29 @@ def _dealt(book, shards: int, rounds: int, turn: int, judged: bool):
                 yield pa.RecordBatch.from_arrays([*place, *(pa.array([x], pa.binary()) for x in body)], _PACKED)
             names.clear()
 
-        for batch in parts(batches):
-            texts = [(of, w) for of, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if (w := _WORD.findall(text or ""))]
-            if not texts:
+        for batch in parts(batches, 1000):
+            n, numbers, hashes = _numbered(batch.column(1))
+            if not len(numbers):
                 continue
-            if len(known) > _CACHE_WORDS * 3:
-                known, h, codes, shard = {}, h[:1], codes[:1], shard[:1]
-            new = list({w for _, words in texts for w in words}.difference(known))
-            known.update(zip(new, range(len(h), len(h) + len(new)), strict=True))
-            more = _hashes(new)
-            code = book.value.codes(more)
-            h, codes, shard = np.r_[h, more], np.r_[codes, code], np.r_[shard, np.where(code >= 0, code % shards, UNKNOWN)]
-            x = np.concatenate([np.fromiter((0, 0, *map(known.__getitem__, words)), np.int64, len(words) + 2) for _, words in texts])
-            of = np.repeat(np.arange(len(texts)) + len(names), [len(words) + 2 for _, words in texts])
-            names += [name for name, _ in texts]
+            h = np.r_[START, hashes]
+            codes = np.r_[START, book.value.codes(hashes)]
+            shard = np.where(codes >= 0, codes % shards, codes)
+            shard[0] = 0
+            doc = np.repeat(np.arange(len(n)), n)
+            x = np.zeros(len(numbers) + 2 * len(n), np.int64)  # two words START stand before each text
+            x[np.arange(len(numbers)) + 2 * doc + 2] = numbers + 1
+            here = (shard % rounds == turn) | (shard == UNKNOWN)
+            mine = np.flatnonzero(here[x[1:-1]] & (x[2:] > 0))
+            u, v, w = x[mine], x[mine + 1], x[mine + 2]
             # an unknown middle word has no counts to meet, so any shard will do and a frequent one fills none
-            to = shard[x[1:-1]]
+            to = shard[v]
             lost = np.flatnonzero(to == UNKNOWN)
-            to[lost] = (h[x[lost]] * 31 + h[x[lost + 2]]) % shards
-            mine = np.flatnonzero((of[:-2] == of[2:]) & (to % rounds == turn))
-            u, v, w, of, to = x[mine], x[mine + 1], x[mine + 2], of[mine], to[mine]
+            to[lost] = (h[u[lost]] * 31 + h[w[lost]]) % shards
+            if len(lost):
+                of_turn = np.flatnonzero(to % rounds == turn)
+                mine, to, u, v, w = mine[of_turn], to[of_turn], u[of_turn], v[of_turn], w[of_turn]
+            of = np.repeat(np.arange(len(n)) + len(names), n + 2)[mine]
+            names += batch.column(0).to_pylist()
             key = (h[u] * 31 + h[v]) * 1000003 + h[w]
             if judged:
                 key += of * _MIX
@@ -341,10 +339,13 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _order(*columns: np.ndarray) -> np.ndarray:
     """The order of rows by their columns, the first before the next."""
-    key = np.zeros(len(columns[0]), np.int64)
+    key, most = np.zeros(len(columns[0]), np.int64), 1
     for c in columns:
         values, place = np.unique(c, return_inverse=True)
-        key = np.unique(key, return_inverse=True)[1] * len(values) + place
+        if most * len(values) >= 1 << 62:
+            found, key = np.unique(key, return_inverse=True)
+            most = len(found)
+        key, most = key * len(values) + place, most * len(values)
     return np.argsort(key)
 
 
