@@ -4,6 +4,7 @@ import math
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 from verdancy.llm import quality as module
@@ -158,3 +159,21 @@ def test_no_shuffle_of_the_scores_stays_on_disk(spark, texts, monkeypatch):
     monkeypatch.setattr(module, "tidily_stored", watched)
     quality(docs, labels).count()
     assert len(left) > module.ROUNDS and max(left) <= 0
+
+
+def test_words_are_split_and_hashed_together(monkeypatch):
+    """As one by one, in whole batches and slices of them; only words too long for that are hashed by themselves."""
+    r, asked = random.Random(2), []
+    monkeypatch.setattr(module.xxhash, "xxh64_intdigest", lambda w, seed: asked.append(len(w)) or hash(bytes(w)) % (1 << 64))
+    bits = ["a", "b", " ", "\t", "\v", "\f", "\r\n", "é", " ", "\x1c", "\x85", "\x00", "y" * 8, "z" * 9, "q" * 64, "p" * (64 + 1)]
+    texts = [None, "", " ", *(r.choice([None, "".join(r.choices(bits, k=r.randrange(12)))]) for _ in range(2000)), "end"]
+    whole = pa.array(texts, pa.string())
+    for start, n in ((0, len(texts)), (0, 1), (1, 1), (700, 900), (len(texts) - 1, 1), (5, 0)):
+        asked.clear()
+        counts, numbers, hashes = module._numbered(whole.slice(start, n))
+        words = [module._WORD.findall(t or "") for t in texts[start : start + n]]
+        assert counts.tolist() == [len(w) for w in words]
+        known = {}
+        assert numbers.tolist() == [known.setdefault(w, len(known)) for ws in words for w in ws]
+        assert len(hashes) == len(known) == len(set(hashes.tolist()))
+        assert asked == [len(w.encode()) for ws in words for w in ws if len(w.encode()) > 64]

@@ -17,7 +17,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -44,6 +43,9 @@ LEAST_TRUSTED = 50  # a language with fewer judged trusted documents takes the q
 START, UNKNOWN = -1, -2
 _SPACE = r"[\x20\x09-\x0D]+"  # words are parted here, in training and in scoring
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
+_IS_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_LANES = 64  # bytes of a word that is hashed along with others
+_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # the first k of a lane
 _CACHE_WORDS = 100_000
 _GRAMS = 500_000  # trigrams that a worker holds before they leave it
 _MIX = 0x1E3779B97F4A7C15
@@ -211,15 +213,49 @@ def _plain(b: bytes) -> np.ndarray:
     return np.frombuffer(pa.decompress(b[8:], 8 * n, "zstd"), np.uint8).reshape(8, n).T.copy().view(np.int64).ravel()
 
 
+def _split(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all texts with room for a lane behind them, where their words begin, how long these are, and how many words each text has; parted at _SPACE."""
+    texts = texts.fill_null("").cast(pa.large_binary())
+    _, ends, data = texts.buffers()
+    ends = np.frombuffer(ends, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.zeros(ends[-1] - ends[0] + 8, np.uint8)
+    if len(raw) > 8:
+        raw[:-8] = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]]
+    word, ends = ~_IS_SPACE[raw[:-8]], ends - ends[0]
+    first, last = word.copy(), word.copy()
+    first[1:] &= ~word[:-1]
+    last[:-1] &= ~word[1:]
+    edges = ends[(ends > 0) & (ends < len(word))]  # words end with their text
+    first[edges], last[edges - 1] = word[edges], word[edges - 1]
+    at = np.flatnonzero(first)
+    return raw, at, np.flatnonzero(last) + 1 - at, np.diff(np.searchsorted(at, ends))
+
+
+def _hashed(raw: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A hash of each word of _split(), by lanes of eight bytes over all words at once; long words one by one."""
+    lanes = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
+    h, todo = size.astype(np.uint64) * np.uint64(_MIX), np.arange(len(at))
+    for word in np.flatnonzero(size > _LANES).tolist():
+        h[word] = xxhash.xxh64_intdigest(raw[at[word] : at[word] + size[word]], 42)
+    if len(at) and size.max() > _LANES:
+        todo = np.flatnonzero(size <= _LANES)
+    for k in range(0, _LANES, 8):
+        x = lanes[at[todo] + k] & _BYTES[np.minimum(size[todo] - k, 8)] ^ h[todo]
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0x94D049BB133111EB)
+        h[todo] = x ^ x >> np.uint64(29)
+        todo = todo[size[todo] > k + 8]
+        if not len(todo):
+            break
+    return h.view(np.int64)
+
+
 def _numbered(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """How many words each text has, the words of all as numbers from 0, and the hash of each number."""
-    split = pc.ascii_split_whitespace(texts.fill_null(""))  # at _SPACE
-    words = split.flatten()
-    some = pc.greater(pc.binary_length(words), 0)
-    ends = np.r_[0, np.cumsum(some.to_numpy(zero_copy_only=False))][split.offsets.to_numpy() - split.offsets[0].as_py()]
-    found = words.filter(some).dictionary_encode()
-    hashes = np.array([xxhash.xxh64_intdigest(w, 42) for w in found.dictionary.cast(pa.binary()).to_pylist()], np.uint64).view(np.int64)
-    return np.diff(ends), found.indices.to_numpy(), hashes
+    raw, at, size, n = _split(texts)
+    found = pa.array(_hashed(raw, at, size), pa.int64()).dictionary_encode()
+    return n, found.indices.to_numpy(), found.dictionary.to_numpy()
 
 
 @frugal
@@ -242,8 +278,11 @@ class _Book:
         if self.bits is not None:
             at = h % (8 * len(self.bits))
             rest = np.where(self.bits[at >> 3] >> (at & 7) & 1, (h & _RARE_BITS) | _RARE, rest)
-        at, ok = _found(self.hashes, h)
-        return np.where(ok, self.order[at] if len(self.order) else rest, rest)
+        asked = np.argsort(h)  # near ones one after another
+        at, ok = _found(self.hashes, h[asked])
+        if ok.any():
+            rest[asked[ok]] = self.order[at[ok]]
+        return rest
 
 
 def _filter(words: DataFrame) -> np.ndarray:
