@@ -307,8 +307,8 @@ def _dealt(book, shards: int, rounds: int, turn: int, judged: bool):
 
         def packed() -> Iterator[pa.RecordBatch]:
             rows = np.concatenate(held, axis=1)
-            rows = rows[:, np.argsort((rows[0] << 32) + rows[1])]
             held.clear()
+            rows = rows[:, np.argsort((rows[0] << 32) + rows[1])]
             at = np.flatnonzero(np.diff(rows[0], prepend=-1))
             for one in np.split(rows, at[1:], axis=1):
                 of, n = np.unique(one[1], return_counts=True)
@@ -317,10 +317,10 @@ def _dealt(book, shards: int, rounds: int, turn: int, judged: bool):
                 yield pa.RecordBatch.from_arrays([*place, *(pa.array([x], pa.binary()) for x in body)], _PACKED)
             names.clear()
 
-        for batch in parts(batches, 1000):
+        def hold(batch: pa.RecordBatch) -> None:
             n, numbers, hashes = _numbered(batch.column(1))
             if not len(numbers):
-                continue
+                return
             h = np.r_[START, hashes]
             codes = np.r_[START, book.value.codes(hashes)]
             shard = np.where(codes >= 0, codes % shards, codes)
@@ -339,7 +339,7 @@ def _dealt(book, shards: int, rounds: int, turn: int, judged: bool):
                 of_turn = np.flatnonzero(to % rounds == turn)
                 mine, to, u, v, w = mine[of_turn], to[of_turn], u[of_turn], v[of_turn], w[of_turn]
             of = np.repeat(np.arange(len(n)) + len(names), n + 2)[mine]
-            names += batch.column(0).to_pylist()
+            names.extend(batch.column(0).to_pylist())
             key = (h[u] * 31 + h[v]) * 1000003 + h[w]
             if judged:
                 key += of * _MIX
@@ -347,9 +347,12 @@ def _dealt(book, shards: int, rounds: int, turn: int, judged: bool):
             first = _firsts(key[order])
             at, times = order[first], np.diff(first, append=len(order))
             if not len(at):
-                continue
+                return
             v = codes[v[at]]
             held.append(np.stack([to[at], of[at], times, codes[u[at]], np.where((v >= 0) & (v < _RARE), v // shards, v), codes[w[at]]]))
+
+        for batch in parts(batches, 1000):
+            hold(batch)
             if sum(r.shape[1] for r in held) > _GRAMS:
                 yield from packed()
         if held:
